@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsift.operators.skew import spread_lookup
-from pairsift.session import bucket_count
+from pairsift.session import bucket_count, materialise
 
+FEW_VALUES = 100_000
 SAMPLES_PER_BUCKET = 16
 COARSE = 32
 
@@ -55,70 +56,91 @@ def _bucket(key: Column, cuts: Column) -> Column:
     return F.when(block == 0, 0).otherwise(start + F.size(F.filter(rest, lambda c: c <= key)))
 
 
-def value_positions(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    """One row per distinct value: (value, ties, below, n).
+def value_positions(
+    df: DataFrame, values: list[str], buckets: int | None = None, few: int = FEW_VALUES
+) -> DataFrame:
+    """One row per column and distinct value: (which, v, ties, below, n).
+
+    ``below`` counts the rows with a smaller value in that column, ``n`` all rows that have
+    one; nulls and NaN take no part. Equal values are counted on the map side, so a value
+    that fills a third of the table is one row from then on. All columns share one pass.
 
-    ``below`` counts the rows with a smaller value, ``n`` all rows that have one; nulls and
-    NaN take no part. Equal values are counted on the map side, so a value that fills a
-    third of the table is one row from then on.
+    The counts are written once. When there are no more than ``few`` of them (read from the
+    file footers), one window per column is enough; otherwise the order is cut into buckets.
     """
     buckets = buckets or bucket_count(df.sparkSession)
+    cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("v")) for c in values]
     counts = (
-        df.select(F.col(value).cast("double").alias("v"))
+        df.select(F.inline(F.array(*cells)))
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("v")
+        .groupBy("which", "v")
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    placed = place(counts, F.col("v"), cut_points(counts, "v", buckets))
-    sizes = placed.groupBy("bucket").agg(F.sum("ties").alias("size"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(  # at most buckets + 1 rows
+    counts = materialise(counts, "counts")
+    column = Window.partitionBy("which")
+    if counts.count() <= few:
+        upto = F.sum("ties").over(column.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        return counts.select(
+            "which", "v", "ties", (upto - F.col("ties")).alias("below"), F.sum("ties").over(column).alias("n")
+        )
+    counts = counts.withColumn("k", F.struct("which", "v"))
+    placed = place(counts, F.col("k"), cut_points(counts, "k", buckets)).drop("k")
+    sizes = placed.groupBy("which", "bucket").agg(F.sum("ties").alias("size"))
+    before = column.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(  # at most buckets + 1 rows per column
+        "which",
         "bucket",
         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
-        F.sum("size").over(everything).alias("n"),
+        F.sum("size").over(column).alias("n"),
     )
-    inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("which", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn("upto", F.sum("ties").over(inside))
-        .join(F.broadcast(offsets), "bucket", "left")
-        .select(
-            F.col("v").alias(value),
-            "ties",
-            (F.col("offset") + F.col("upto") - F.col("ties")).alias("below"),
-            "n",
-        )
+        .join(F.broadcast(offsets), ["which", "bucket"], "left")
+        .select("which", "v", "ties", (F.col("offset") + F.col("upto") - F.col("ties")).alias("below"), "n")
     )
 
 
-def pct_rank_avg(df: DataFrame, value: str, out: str, spread_by: str, buckets: int | None = None) -> DataFrame:
-    """Add the percentile rank of ``value``: ties share their average rank, divided by the
-    number of rows that have a value. Null and NaN stay null."""
-    pos = value_positions(df, value, buckets).select(
-        F.col(value).alias("_v"),
-        "ties",
-        "n",
-        ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")).alias(out),
+def pct_ranks(df: DataFrame, outs: dict[str, str], spread_by: str, buckets: int | None = None) -> DataFrame:
+    """Add percentile ranks, ``outs`` = {value column: rank column}.
+
+    Ties share their average rank, divided by the number of rows that have a value; null
+    and NaN stay null. The position table is written once and looked up per column, so the
+    plan grows with the number of columns, not with its power.
+    """
+    rank = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")
+    positions = materialise(
+        value_positions(df, list(outs), buckets).select("which", "v", "ties", "n", rank.alias("rank")), "positions"
     )
-    keyed = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double")))
-    return spread_lookup(keyed, pos, "_v", weight="ties", total="n", spread_by=spread_by).drop("_v")
+    for value, out in outs.items():
+        facts = positions.where(F.col("which") == value).select(
+            F.col("v").alias("_v"), "ties", "n", F.col("rank").alias(out)
+        )
+        keyed = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double")))
+        df = spread_lookup(keyed, facts, "_v", weight="ties", total="n", spread_by=spread_by).drop("_v")
+    return df
+
+
+def pct_rank_avg(df: DataFrame, value: str, out: str, spread_by: str, buckets: int | None = None) -> DataFrame:
+    """The percentile rank of one column."""
+    return pct_ranks(df, {value: out}, spread_by, buckets)
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row, one column per name."""
-    pos = value_positions(df, value, buckets)
+    pos = value_positions(df, [value], buckets)
 
     def at(k: Column) -> Column:
         inside = (F.col("below") <= k) & (k < F.col("below") + F.col("ties"))
-        return F.max(F.when(inside, F.col(value)))
+        return F.max(F.when(inside, F.col("v")))
 
     picks = []
     for name, p in probs.items():
-        place = (F.col("n") - 1) * p
+        spot = (F.col("n") - 1) * p
         picks += [
-            at(F.floor(place)).alias(f"{name}_lo"),
-            at(F.ceil(place)).alias(f"{name}_hi"),
-            F.max(place - F.floor(place)).alias(f"{name}_part"),
+            at(F.floor(spot)).alias(f"{name}_lo"),
+            at(F.ceil(spot)).alias(f"{name}_hi"),
+            F.max(spot - F.floor(spot)).alias(f"{name}_part"),
         ]
     row = pos.agg(*picks)
     return row.select(

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import flags as fl
 from pairsift.functions import text as tx
+from pairsift.operators.fence import where_computed
 from pairsift.profile import ENGLISH_OCCITAN, LangProfile
 
+# fixed values: the limits of a usable pair
+CHAR_RATIO = (0.1, 10)
+CHAR_BOUNDS = (2, 500)  # inclusive
+TOKEN_BOUNDS = (1, 100)  # exclusive
+TOKEN_RATIO = (0.33, 3)
+
 
 def with_flags(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN, cols=("src", "tgt")) -> DataFrame:
     """Add the five quality flags of each side."""
@@ -45,8 +52,9 @@ def route_three_way(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN):
     input first if more than one of them is written."""
     flagged = with_route(df, profile)
     keep = df.columns
-    main = flagged.where(~F.col("is_discarded") & ~F.col("is_single")).select(*keep)
-    return flagged.where("is_discarded"), flagged.where("is_single"), main
+    discarded, single = F.col("is_discarded"), F.col("is_single")
+    main = where_computed(flagged, ~discarded & ~single).select(*keep)
+    return where_computed(flagged, discarded), where_computed(flagged, single), main
 
 
 # -- pair predicates: True means keep -----------------------------------------
@@ -90,22 +98,26 @@ def with_token_counts(df: DataFrame) -> DataFrame:
     return df.withColumns({"tok_src": tx.token_count(F.col("src")), "tok_tgt": tx.token_count(F.col("tgt"))})
 
 
-def filter_char_ratio(df: DataFrame, low: float = 0.1, high: float = 10) -> DataFrame:
-    return with_lengths(df).where(ratio_between(F.col("len_src"), F.col("len_tgt"), low, high))
+def filter_char_ratio(df: DataFrame) -> DataFrame:
+    return with_lengths(df).where(ratio_between(F.col("len_src"), F.col("len_tgt"), *CHAR_RATIO))
+
 
+def filter_char_bounds(df: DataFrame) -> DataFrame:
+    return with_lengths(df).where(F.col("len_src").between(*CHAR_BOUNDS) & F.col("len_tgt").between(*CHAR_BOUNDS))
 
-def filter_char_bounds(df: DataFrame, low: int = 2, high: int = 500) -> DataFrame:
-    return with_lengths(df).where(F.col("len_src").between(low, high) & F.col("len_tgt").between(low, high))
 
+def inside(x: Column, low: int, high: int) -> Column:
+    return (x > low) & (x < high)
 
-def filter_token_bounds(df: DataFrame, low: int = 1, high: int = 100) -> DataFrame:
-    """Bounds are exclusive."""
-    inside = [(F.col(c) > low) & (F.col(c) < high) for c in ("tok_src", "tok_tgt")]
-    return with_token_counts(df).where(inside[0] & inside[1])
+
+def filter_token_bounds(df: DataFrame) -> DataFrame:
+    return where_computed(
+        with_token_counts(df), inside(F.col("tok_src"), *TOKEN_BOUNDS) & inside(F.col("tok_tgt"), *TOKEN_BOUNDS)
+    )
 
 
-def filter_token_ratio(df: DataFrame, low: float = 0.33, high: float = 3) -> DataFrame:
-    return with_token_counts(df).where(ratio_between(F.col("tok_src"), F.col("tok_tgt"), low, high))
+def filter_token_ratio(df: DataFrame) -> DataFrame:
+    return where_computed(with_token_counts(df), ratio_between(F.col("tok_src"), F.col("tok_tgt"), *TOKEN_RATIO))
 
 
 def normalise_for_stage_c(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> DataFrame:
@@ -116,20 +128,25 @@ def normalise_for_stage_c(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN)
 
 
 def stage_c(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> DataFrame:
-    """Normalise, then the filters from cheap to dear; adds the four length columns."""
-    return (
-        normalise_for_stage_c(df, profile)
-        .transform(filter_empty)
-        .transform(filter_char_ratio)
-        .transform(filter_char_bounds)
-        .transform(filter_token_bounds)
-        .transform(filter_token_ratio)
-        .transform(filter_containment)
-        .transform(filter_anagram)
+    """Normalise, then the filters from cheap to dear; adds the four length columns.
+
+    The text rules, the lengths and the token counts are each computed once per row.
+    """
+    len_src, len_tgt = F.col("len_src"), F.col("len_tgt")
+    tok_src, tok_tgt = F.col("tok_src"), F.col("tok_tgt")
+    sized = where_computed(
+        with_lengths(normalise_for_stage_c(df, profile)),
+        len_src.between(*CHAR_BOUNDS) & len_tgt.between(*CHAR_BOUNDS) & ratio_between(len_src, len_tgt, *CHAR_RATIO),
+    )
+    counted = where_computed(
+        with_token_counts(sized),
+        inside(tok_src, *TOKEN_BOUNDS) & inside(tok_tgt, *TOKEN_BOUNDS) & ratio_between(tok_src, tok_tgt, *TOKEN_RATIO),
+    )
+    return where_computed(
+        counted, not_contained(F.col("src"), F.col("tgt")) & not_anagram(F.col("src"), F.col("tgt"))
     )
 
 
 def filter_indicator_count(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN, fewer_than: int = 2) -> DataFrame:
-    return df.withColumn("indicators", tx.indicator_count(F.col("tgt"), profile)).where(
-        F.col("indicators") < fewer_than
-    )
+    counted = df.withColumn("indicators", tx.indicator_count(F.col("tgt"), profile))
+    return where_computed(counted, F.col("indicators") < fewer_than)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsift.operators import routing, scoring
+from pairsift.session import materialise
 from pairsift.sources.corpus import read_table, widen
 
 PAIR_STRIDE = 100003  # more than the number of lines a document can have
@@ -244,7 +245,8 @@ scored_in AS (
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.score_pairs(scored_in(spark, sf))
+    """Scored pairs, written once: most users of it read it more than once."""
+    return materialise(scoring.score_pairs(scored_in(spark, sf)), "scored")
 
 
 def pct_rank_sql(c: str) -> str:

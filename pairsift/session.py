@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "pairsift", partitions: int = 8) -> SparkSession:
@@ -39,6 +39,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used where one result feeds several branches: the work before it is done once, and a
+    lost executor costs a re-read, not a re-run.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(spark: SparkSession) -> int:
     """How many ordered buckets a global ordering is cut into."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
