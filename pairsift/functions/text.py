@@ -51,6 +51,16 @@ def may_match(x: Column, patterns) -> Column:
     return any_of(folded, *dict.fromkeys(literal_in(p) for p in patterns))
 
 
+def fold_patterns(x: Column, patterns) -> Column:
+    """Delete the patterns one after another.
+
+    A fold over an array keeps the generated code small: sixteen nested replacements in
+    two columns would push a stage over the size limit of a method. The patterns are
+    compiled per row here, so this belongs behind a cheap test.
+    """
+    return F.aggregate(F.array(*[F.lit(p) for p in patterns]), x, lambda acc, p: F.regexp_replace(acc, p, F.lit("")))
+
+
 # -- whitespace and tokens ----------------------------------------------------
 
 def null_to_empty(x: Column) -> Column:
@@ -186,7 +196,7 @@ def remove_spaced_entities(x: Column) -> Column:
 
 def remove_corpus_metadata(x: Column, profile: LangProfile) -> Column:
     """Delete boilerplate; a cheap probe keeps clean rows out of the 16 replacements."""
-    y = reduce(lambda acc, p: F.regexp_replace(acc, f"(?iUd){p}", ""), profile.metadata_patterns, x)
+    y = fold_patterns(x, [f"(?iUd){p}" for p in profile.metadata_patterns])
     return only_if(may_match(x, profile.metadata_patterns), y, x)
 
 
@@ -218,24 +228,20 @@ def fix_placeholder_spacing(x: Column) -> Column:
 def cut_at_garbage(x: Column, profile: LangProfile) -> Column:
     """Keep what stands before the first hit of each indicator, in order.
 
-    Each indicator sees the text left by the one before it, hence a fold. Reading the
-    text twice per indicator would double the expression each time, so the fold is one
-    ``regexp_replace`` per indicator; the final trim equals trimming after every cut
-    except where an indicator is anchored at the end, which sees trimmed text here too.
+    Each indicator sees the text left by the one before it. Leading blanks are trimmed once
+    at the end; blanks before a hit go with the hit, so a later indicator that is anchored
+    at the end sees trimmed text.
     """
+    cut = fold_patterns(x, [rf"(?iUsd)\s*(?:{p}).*" for p in profile.garbage_patterns])
     probe = "(?iUd)" + "|".join(f"(?:{p})" for p in profile.garbage_patterns)
-    cut = x
-    for p in profile.garbage_patterns:
-        cut = F.regexp_replace(cut, rf"(?iUsd)\s*(?:{p}).*", "")
     hit = may_match(x, profile.garbage_patterns) & x.rlike(probe)
     return F.when(hit, strip(cut)).otherwise(x)
 
 
 def expand_contractions(x: Column, profile: LangProfile) -> Column:
-    y = x
-    for short, full in profile.contractions:
-        y = F.replace(y, F.lit(short), F.lit(full))
-    return collapse_whitespace(y)
+    pairs = F.array(*[F.struct(F.lit(a).alias("short"), F.lit(b).alias("full")) for a, b in profile.contractions])
+    folded = F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["short"], p["full"]))
+    return collapse_whitespace(folded)
 
 
 def sorted_chars(x: Column) -> Column:
@@ -263,6 +269,7 @@ def extract_numbers(x: Column, strip_trailing_dot: bool = False) -> Column:
 
 
 def indicator_count(x: Column, profile: LangProfile) -> Column:
-    """How many different source-language stop words occur in the text."""
-    hits = [contains_word(x, w).cast("int") for w in profile.source_stop_words]
-    return reduce(lambda a, b: a + b, hits)
+    """How many different source-language stop words occur in the text, found in one pass."""
+    words = "|".join(profile.source_stop_words)
+    found = F.regexp_extract_all(x, F.lit(rf"(?iU)\b({words})\b"), 1)
+    return F.size(F.array_distinct(F.transform(found, lambda w: F.translate(F.lower(w), "\u017f", "s"))))

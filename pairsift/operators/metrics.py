@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import flags as fl
 from pairsift.functions import text as tx
+from pairsift.operators.fence import where_computed
 
 BLEU_ORDER = 4
 CHRF_ORDER = 6
@@ -34,43 +35,65 @@ def tokenize_13a(x: Column) -> Column:
     return tx.tokens(y)
 
 
-def characters(x: Column) -> Column:
-    solid = tx.remove_whitespace(x)
-    return F.filter(F.split(solid, ""), lambda c: c != "")
+def code_points(x: Column) -> Column:
+    """Code points of the text without whitespace."""
+    chars = F.filter(F.split(tx.remove_whitespace(x), ""), lambda c: c != "")
+    return F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
 
 
-def _grams(units: Column, order: int, glue: str) -> Column:
-    """All n-grams for n = 1..order as structs (n, gram)."""
+def _windows(units: Column, order: int) -> Column:
+    """One struct (u1..u_order) per start position; null past the end."""
+    return F.arrays_zip(*[F.slice(units, k, F.size(units) + 1).alias(f"u{k}") for k in range(1, order + 1)])
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(units) - n + 1, F.lit(1)))
-        rows = F.transform(
-            starts, lambda i: F.struct(F.lit(n).alias("n"), F.concat_ws(glue, F.slice(units, i, n)).alias("gram"))
-        )
-        return F.when(F.size(units) >= n, rows).otherwise(F.slice(rows, 1, 0))
 
-    return F.concat(*[of(n) for n in range(1, order + 1)])
+def word_keys(order: int) -> list[list[Column]]:
+    """Key columns of the n-gram that starts in a window, for n = 1..order."""
+    empty = F.lit("")
+    return [[F.col(f"u{k}") if k <= n else empty for k in range(1, order + 1)] for n in range(1, order + 1)]
+
+
+def packed_keys(order: int) -> list[list[Column]]:
+    """The same for code points, three to a 64-bit number: hashing two longs is far cheaper
+    than hashing strings, and it is exact (a code point has 21 bits)."""
+    room = 1 << 21
+
+    def pack(first: int, last: int) -> Column:
+        out = F.lit(0).cast("bigint")
+        for k in range(first, last + 1):
+            out = out * room + F.col(f"u{k}")
+        return out
+
+    return [
+        [pack(first, min(n, first + 2)) for first in range(1, order + 1, 3)]
+        for n in range(1, order + 1)
+    ]
 
 
 def ngram_stats(
-    df: DataFrame, units, order: int, glue: str, key: str, system: str | None, hyp: str, ref: str
+    df: DataFrame, units, keys: list[list[Column]], key: str, system: str | None, hyp: str, ref: str
 ) -> DataFrame:
     """Per system and n: n-grams of hypothesis and reference, clipped matches; hypothesis
     n-grams of sentences whose reference has none of that order are given separately."""
     groups = [system] if system else []
-    rows = (
-        df.select(*groups, F.col(key).alias("_id"), F.col(hyp).alias("h"), F.col(ref).alias("r"))
-        .repartition(*groups, "_id")
-        .withColumns({"h": units(F.col("h")), "r": units(F.col("r"))})
+    order, width = len(keys), len(keys[0])
+    ks = [f"k{i}" for i in range(width)]
+    rows = df.select(*groups, F.col(key).alias("_id"), F.col(hyp).alias("h"), F.col(ref).alias("r")).repartition(
+        *groups, "_id"
     )
     both = F.array(
-        F.struct(_grams(F.col("h"), order, glue).alias("gs"), F.lit(1).alias("hc"), F.lit(0).alias("rc")),
-        F.struct(_grams(F.col("r"), order, glue).alias("gs"), F.lit(0).alias("hc"), F.lit(1).alias("rc")),
+        F.struct(F.col("h").alias("text"), F.lit(1).alias("hc"), F.lit(0).alias("rc")),
+        F.struct(F.col("r").alias("text"), F.lit(0).alias("hc"), F.lit(1).alias("rc")),
+    )
+    sides = rows.select(*groups, "_id", F.inline(both))
+    units_of = sides.select(*groups, "_id", "hc", "rc", units(F.col("text")).alias("us"))
+    windows = units_of.select(*groups, "_id", "hc", "rc", F.inline(_windows(F.col("us"), order)))
+    grams = F.array(
+        *[F.struct(F.lit(n).alias("n"), *[c.alias(k) for c, k in zip(cols, ks)]) for n, cols in enumerate(keys, 1)]
     )
     per_gram = (
-        rows.select(*groups, "_id", F.inline(both))
-        .select(*groups, "_id", "hc", "rc", F.inline("gs"))
-        .groupBy(*groups, "_id", "n", "gram")
+        windows.select(*groups, "_id", "hc", "rc", F.inline(grams))
+        .dropna(subset=ks)  # windows that reach past the end
+        .groupBy(*groups, "_id", "n", *ks)
         .agg(F.sum("hc").alias("hc"), F.sum("rc").alias("rc"))
     )
     per_sentence = per_gram.groupBy(*groups, "_id", "n").agg(
@@ -112,7 +135,7 @@ def _bleu(order: int) -> Column:
 def corpus_bleu(
     df: DataFrame, key: str = "pair_id", system: str | None = None, hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a
 ) -> DataFrame:
-    stats = ngram_stats(df, tokenizer, BLEU_ORDER, " ", key, system, hyp, ref)
+    stats = ngram_stats(df, tokenizer, word_keys(BLEU_ORDER), key, system, hyp, ref)
     row = _one_row(stats, BLEU_ORDER, system)
     return row.select(*([system] if system else []), _bleu(BLEU_ORDER).alias("bleu"))
 
@@ -134,7 +157,7 @@ def _chrf(order: int, beta: int) -> Column:
 
 
 def corpus_chrf(df: DataFrame, key: str = "pair_id", system: str | None = None, hyp: str = "hyp", ref: str = "gold") -> DataFrame:
-    stats = ngram_stats(df, characters, CHRF_ORDER, "", key, system, hyp, ref)
+    stats = ngram_stats(df, code_points, packed_keys(CHRF_ORDER), key, system, hyp, ref)
     row = _one_row(stats, CHRF_ORDER, system)
     return row.select(*([system] if system else []), _chrf(CHRF_ORDER, CHRF_BETA).alias("chrf"))
 
@@ -156,7 +179,7 @@ def blank_degenerate(df: DataFrame, hyp: str = "hyp") -> DataFrame:
 
 
 def filter_degenerate(df: DataFrame, hyp: str = "hyp") -> DataFrame:
-    return df.where(~fl.is_degenerate(F.col(hyp)))
+    return where_computed(df, ~fl.is_degenerate(F.col(hyp)))
 
 
 def truncate_degenerate(df: DataFrame, **kw) -> DataFrame:

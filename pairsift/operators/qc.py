@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import generation as gen
 from pairsift.functions import text as tx
+from pairsift.operators.fence import where_computed
 from pairsift.profile import ENGLISH_OCCITAN, LangProfile
 
 
@@ -29,7 +30,8 @@ def qc_generations(
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) from raw generations; rejected rows keep their reason."""
     judged = with_reason(postprocess_causal(df, profile, first_line=False), profile, check_times)
-    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
+    reason = F.col("reason")
+    return where_computed(judged, reason.isNull()).drop("reason"), where_computed(judged, reason.isNotNull())
 
 
 def rejection_summary(judged: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pairsift.functions import scores as sc
 from pairsift.operators import cleaning, dedup, langid, metrics, qc, routing, scoring, select
 from pairsift.operators.stats import describe_scores, histogram50
 from pairsift.profile import ENGLISH_OCCITAN, LangProfile
+from pairsift.session import materialise
 
 
 def usable_pairs(pairs: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> DataFrame:
@@ -38,9 +39,12 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str = "pair_id")
 
 
 def curate(pairs: DataFrame, lang_scores: DataFrame, sims: DataFrame, profile: LangProfile = ENGLISH_OCCITAN, key: str = "pair_id") -> DataFrame:
-    """Raw pairs to scored pairs. ``sims`` has key, sim_a and sim_b."""
+    """Raw pairs to scored pairs. ``sims`` has key, sim_a and sim_b.
+
+    The cleaned table is written once; the scoring reads it several times.
+    """
     final = pre_similarity_clean(usable_pairs(pairs, profile), lang_scores, profile, key)
-    return scoring.score_pairs(final.join(sims, key), key)
+    return scoring.score_pairs(materialise(final.join(sims, key), "final"), key)
 
 
 def early_stop_set(scored: DataFrame, key: str = "pair_id", n: int = select.EARLY_STOP_ROWS) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairsift.functions import examples as ex
-from pairsift.operators import aligning, catalog, cleaning, distill, examples, ordering, select
+from pairsift.operators import aligning, catalog, cleaning, distill, examples, langid, ordering, select
+from pairsift.plans import curate
 from pairsift.profile import ENGLISH_OCCITAN as P
 from pairsift.registry import inputs as inp
 from pairsift.registry.core import query
+from pairsift.registry.cleaning import chain_ctes
+from pairsift.registry.pairs import GATE, LANG_SCORES, ROUTED, sql_anagram, sql_indicators, stage_c_ctes
 from pairsift.registry.scoring import PARTS, r6, sql_r6
 from pairsift.session import scratch_path
 from pairsift.sources import corpus
@@ -286,12 +289,45 @@ def combine_weights(spark, sf):
 def _stream_input(spark, sf):
     """The noisy pairs as a folder of files with an arrival time."""
     path = scratch_path(spark, "arrivals")
-    stamped = inp.noisy_pairs(spark, sf).withColumn("arrived", F.timestamp_seconds(F.col("pair_id") % 1000))
+    stamped = inp.noisy_pairs(spark, sf).withColumn("arrived", F.timestamp_seconds(F.col("pair_id") % 1000 + 1_700_000_000))
     stamped.write.parquet(path)
     return spark.readStream.schema(stamped.schema).parquet(path)
 
 
-@query("clean_stream")
+USABLE = f"""{ROUTED},
+main_rows AS MATERIALIZED (SELECT pair_id, src, tgt FROM routed WHERE NOT is_discarded AND NOT is_single),
+{chain_ctes('main_rows', 'pair_id', 'src', False, 's')},
+{chain_ctes('main_rows', 'pair_id', 'tgt', True, 't')},
+cleaned AS MATERIALIZED (SELECT s.pair_id, s.clean AS src, t.clean AS tgt FROM s JOIN t ON s.pair_id = t.pair_id),
+{stage_c_ctes('cleaned', 'usable')}"""
+USABLE_SQL = f"WITH {USABLE} SELECT pair_id, src, tgt, len_src, len_tgt, tok_src, tok_tgt FROM usable"
+
+
+@query("usable_pairs", USABLE_SQL)
+def usable_pairs(spark, sf):
+    return curate.usable_pairs(inp.noisy_pairs(spark, sf))
+
+
+CURATED = f"""{USABLE},
+uniq AS MATERIALIZED (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY pair_id) = 1),
+{LANG_SCORES},
+final AS MATERIALIZED (SELECT u.*, s.prob AS tgt_score FROM uniq u JOIN lang_scores s ON s.pair_id = u.pair_id AND s.name = 'Occitan'
+  WHERE {GATE} AND NOT ({sql_anagram()}) AND {sql_indicators('tgt')} < 2),
+{inp.SIMS},
+scored_in AS (SELECT p.*, sim_a, sim_b FROM final p JOIN sims s ON s.pair_idx = p.pair_id % (SELECT count(*) FROM sims)),
+{inp.SCORING_CTES}"""
+
+
+@query("curate", f"WITH {CURATED} SELECT pair_id, src, tgt, {sql_r6(*PARTS)}, veto FROM scored")
+def curated(spark, sf):
+    """The whole curation: route, clean, filter, dedup, language, similarity, score."""
+    pairs = inp.noisy_pairs(spark, sf)
+    scores = langid.langid_scores(inp.langpred(pairs), inp.lang_names(spark))
+    sims = inp.with_sims(pairs.select("pair_id"), spark, sf)
+    return curate.curate(pairs, scores, sims).select("pair_id", "src", "tgt", *r6(*PARTS), "veto")
+
+
+@query("clean_stream", USABLE_SQL)
 def clean_stream(spark, sf):
     out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     cs.run_available(cs.clean_stream(_stream_input(spark, sf)), out, checkpoint)

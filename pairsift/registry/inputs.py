@@ -253,8 +253,7 @@ def pct_rank_sql(c: str) -> str:
     return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()"
 
 
-SCORED = f"""{SCORED_IN},
-stats AS (
+SCORING_CTES = f"""stats AS (
   SELECT avg(sim_a) AS ma, greatest(stddev_samp(sim_a), 1e-6) AS sa, avg(sim_b) AS mb, greatest(stddev_samp(sim_b), 1e-6) AS sb
   FROM scored_in),
 ranked AS (
@@ -273,6 +272,7 @@ scored AS (
   SELECT *, 0.35 * lang_prob_score + 0.30 * length_score + 0.25 * sim_rank + 0.10 * min_embedding_score AS score,
     (lr < 0.40 OR lr > 2.00) AND min_embedding_score < 0.75 AS veto
   FROM parts)"""
+SCORED = f"{SCORED_IN},\n{SCORING_CTES}"
 
 
 # -- generations and logits ------------------------------------------------------
