@@ -36,10 +36,14 @@ def letter_ratio(x: Column) -> Column:
 
 
 def disallowed_char(x: Column, profile: LangProfile) -> Column:
-    """A character outside the allowed ranges, or one that does not print."""
+    """A character outside the allowed ranges, or one that does not print.
+
+    Plain ASCII text, the common case, takes one short test.
+    """
+    ascii_bad = x.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
     outside = x.rlike(f"[^{tx.java_class(profile.allowed_ranges)}]")
     unprintable = x.rlike(r"[\p{C}\p{Z}&&[^ \t\n\r]]")
-    return outside | unprintable
+    return F.when(tx.has_non_ascii(x), outside | unprintable).otherwise(ascii_bad)
 
 
 def contains_emoji(x: Column) -> Column:

@@ -1,9 +1,9 @@
 """Corpus BLEU and chrF for any number of systems in one job.
 
-n-gram counts never leave the row's partition: the sentences are partitioned by
+BLEU: n-gram counts never leave the row's partition. The sentences are partitioned by
 ``(system, id)`` once, and the groupings on ``(system, id, n, gram)`` that follow are
-satisfied by that partitioning, so only the texts are shuffled, not their n-grams. Every
-``(system, id)`` group is one sentence pair, and the corpus sums combine on the map side.
+satisfied by that partitioning, so only the texts are shuffled, not their n-grams.
+chrF: the rows are counted where they are. The corpus sums combine on the map side.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import flags as fl
 from pairsift.functions import text as tx
+from pairsift.functions.char_ngrams import char_overlap
 from pairsift.operators.fence import where_computed
 
 BLEU_ORDER = 4
@@ -35,12 +36,6 @@ def tokenize_13a(x: Column) -> Column:
     return tx.tokens(y)
 
 
-def code_points(x: Column) -> Column:
-    """Code points of the text without whitespace."""
-    chars = F.filter(F.split(tx.remove_whitespace(x), ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
-
-
 def _windows(units: Column, order: int) -> Column:
     """One struct (u1..u_order) per start position; null past the end."""
     return F.arrays_zip(*[F.slice(units, k, F.size(units) + 1).alias(f"u{k}") for k in range(1, order + 1)])
@@ -52,23 +47,6 @@ def word_keys(order: int) -> list[list[Column]]:
     return [[F.col(f"u{k}") if k <= n else empty for k in range(1, order + 1)] for n in range(1, order + 1)]
 
 
-def packed_keys(order: int) -> list[list[Column]]:
-    """The same for code points, three to a 64-bit number: hashing two longs is far cheaper
-    than hashing strings, and it is exact (a code point has 21 bits)."""
-    room = 1 << 21
-
-    def pack(first: int, last: int) -> Column:
-        out = F.lit(0).cast("bigint")
-        for k in range(first, last + 1):
-            out = out * room + F.col(f"u{k}")
-        return out
-
-    return [
-        [pack(first, min(n, first + 2)) for first in range(1, order + 1, 3)]
-        for n in range(1, order + 1)
-    ]
-
-
 def ngram_stats(
     df: DataFrame, units, keys: list[list[Column]], key: str, system: str | None, hyp: str, ref: str
 ) -> DataFrame:
@@ -78,7 +56,7 @@ def ngram_stats(
     order, width = len(keys), len(keys[0])
     ks = [f"k{i}" for i in range(width)]
     rows = df.select(*groups, F.col(key).alias("_id"), F.col(hyp).alias("h"), F.col(ref).alias("r")).repartition(
-        *groups, "_id"
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "_id"
     )
     both = F.array(
         F.struct(F.col("h").alias("text"), F.lit(1).alias("hc"), F.lit(0).alias("rc")),
@@ -140,6 +118,21 @@ def corpus_bleu(
     return row.select(*([system] if system else []), _bleu(BLEU_ORDER).alias("bleu"))
 
 
+def _char_sums(df: DataFrame, order: int, system: str | None, hyp: str, ref: str) -> DataFrame:
+    """Sums over sentences; n-grams of a hypothesis count only where the reference has some."""
+    groups = [system] if system else []
+    sums = []
+    for n in range(1, order + 1):
+        h, r, m = (F.get("c", F.lit(3 * (n - 1) + k)) for k in range(3))
+        sums += [
+            F.sum(F.when(r > 0, h).otherwise(0)).alias(f"hyp_with_ref{n}"),
+            F.sum(r).alias(f"ref{n}"),
+            F.sum(m).alias(f"match{n}"),
+        ]
+    counted = df.select(*groups, char_overlap(F.col(hyp), F.col(ref), order).alias("c"))
+    return counted.groupBy(*groups).agg(*sums)
+
+
 def _chrf(order: int, beta: int) -> Column:
     """Mean precision and recall over the orders both sides have, then F-beta, times 100."""
     orders = range(1, order + 1)
@@ -156,16 +149,15 @@ def _chrf(order: int, beta: int) -> Column:
     return F.coalesce(100.0 * F.try_divide((1 + b2) * p * r, b2 * p + r), F.lit(0.0))
 
 
-def corpus_chrf(df: DataFrame, key: str = "pair_id", system: str | None = None, hyp: str = "hyp", ref: str = "gold") -> DataFrame:
-    stats = ngram_stats(df, code_points, packed_keys(CHRF_ORDER), key, system, hyp, ref)
-    row = _one_row(stats, CHRF_ORDER, system)
+def corpus_chrf(df: DataFrame, system: str | None = None, hyp: str = "hyp", ref: str = "gold") -> DataFrame:
+    row = _char_sums(df, CHRF_ORDER, system, hyp, ref)
     return row.select(*([system] if system else []), _chrf(CHRF_ORDER, CHRF_BETA).alias("chrf"))
 
 
 def score_systems(df: DataFrame, key: str = "pair_id", system: str = "system", hyp: str = "hyp", ref: str = "gold") -> DataFrame:
     """BLEU and chrF of every system."""
     bleu = corpus_bleu(df, key, system, hyp, ref)
-    return bleu.join(corpus_chrf(df, key, system, hyp, ref), system)
+    return bleu.join(corpus_chrf(df, system, hyp, ref), system)
 
 
 # -- degenerate output --------------------------------------------------------

@@ -57,6 +57,14 @@ def route_three_way(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN):
     return where_computed(flagged, discarded), where_computed(flagged, single), main
 
 
+def with_routes(df: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> DataFrame:
+    """One row per pair and route, in a single pass: discarded, single (may be both) or main."""
+    discarded, single = F.col("is_discarded"), F.col("is_single")
+    names = [F.when(discarded, "discarded"), F.when(single, "single"), F.when(~discarded & ~single, "main")]
+    routes = F.filter(F.array(*names), lambda r: r.isNotNull())
+    return with_route(df, profile).select(*df.columns, F.explode(routes).alias("route"))
+
+
 # -- pair predicates: True means keep -----------------------------------------
 
 def not_anagram(a: Column, b: Column) -> Column:

@@ -97,15 +97,20 @@ def sql_13a(x):
     return inp.sql_tokens(y)
 
 
-def ngram_ctes(name: str, source: str, units, order: int) -> str:
+WORDS = ("len({x})", "array_to_string({x}[i:i + n - 1], chr(1))")
+CHARS = ("length({x})", "substr({x}, i, n)")
+
+
+def ngram_ctes(name: str, source: str, units, order: int, how=WORDS) -> str:
     """(system, n, hyp, hyp_with_ref, ref, match) summed over sentences."""
+    size, gram = how
     return f"""{name}_u AS MATERIALIZED (SELECT system, pair_id, {units('hyp')} AS h, {units('gold')} AS r FROM {source}),
 {name}_g AS (
-  SELECT system, pair_id, n, array_to_string(h[i:i + n - 1], chr(1)) AS g, 1 AS hc, 0 AS rc FROM (
-    SELECT system, pair_id, n, h, unnest(range(1, len(h) - n + 2)) AS i FROM {name}_u, (SELECT unnest(range(1, {order + 1})) AS n))
+  SELECT system, pair_id, n, {gram.format(x="h")} AS g, 1 AS hc, 0 AS rc FROM (
+    SELECT system, pair_id, n, h, unnest(range(1, {size.format(x="h")} - n + 2)) AS i FROM {name}_u, (SELECT unnest(range(1, {order + 1})) AS n))
   UNION ALL
-  SELECT system, pair_id, n, array_to_string(r[i:i + n - 1], chr(1)), 0, 1 FROM (
-    SELECT system, pair_id, n, r, unnest(range(1, len(r) - n + 2)) AS i FROM {name}_u, (SELECT unnest(range(1, {order + 1})) AS n))),
+  SELECT system, pair_id, n, {gram.format(x="r")}, 0, 1 FROM (
+    SELECT system, pair_id, n, r, unnest(range(1, {size.format(x="r")} - n + 2)) AS i FROM {name}_u, (SELECT unnest(range(1, {order + 1})) AS n))),
 {name}_c AS (SELECT system, pair_id, n, g, sum(hc) AS hc, sum(rc) AS rc FROM {name}_g GROUP BY ALL),
 {name}_s AS (SELECT system, pair_id, n, sum(hc) AS hyp, sum(rc) AS ref, sum(least(hc, rc)) AS m FROM {name}_c GROUP BY ALL),
 {name}_t AS (SELECT system, n, sum(hyp)::DOUBLE AS hyp, sum(CASE WHEN ref > 0 THEN hyp ELSE 0 END)::DOUBLE AS hyp_r, sum(ref)::DOUBLE AS ref, sum(m)::DOUBLE AS m
@@ -119,12 +124,8 @@ def bleu_ctes(source: str, out: str, units=sql_13a) -> str:
     * exp(avg(ln(CASE WHEN m > 0 THEN m ELSE pow(2.0, -zeros) END / CASE WHEN hyp > 0 THEN hyp END))) ELSE 0.0 END AS bleu FROM {out}b_z GROUP BY system)"""
 
 
-def sql_chars(x):
-    return f"list_filter(string_split({inp.sql_solid(x)}, ''), lambda c: c <> '')"
-
-
 def chrf_ctes(source: str, out: str) -> str:
-    return f"""{ngram_ctes(out + 'c', source, sql_chars, 6)},
+    return f"""{ngram_ctes(out + 'c', source, inp.sql_solid, 6, CHARS)},
 {out}_pr AS (SELECT system, avg(m / hyp_r) FILTER (hyp_r > 0 AND ref > 0) AS p, avg(m / ref) FILTER (hyp_r > 0 AND ref > 0) AS r FROM {out}c_t GROUP BY system),
 {out} AS (SELECT system, coalesce(CASE WHEN 4 * p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) END, 0.0) AS chrf FROM {out}_pr)"""
 

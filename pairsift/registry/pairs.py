@@ -78,9 +78,22 @@ UNION ALL SELECT 'single', pair_id, src, tgt FROM routed WHERE is_single
 UNION ALL SELECT 'main', pair_id, src, tgt FROM routed WHERE NOT is_discarded AND NOT is_single""",
 )
 def route_three_way(spark, sf):
-    frames = zip(("discarded", "single", "main"), routing.route_three_way(inp.noisy_pairs(spark, sf)))
-    parts = [df.select(F.lit(name).alias("route"), "pair_id", "src", "tgt") for name, df in frames]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return routing.with_routes(inp.noisy_pairs(spark, sf))
+
+
+@query("route_main", f"WITH {ROUTED} SELECT pair_id, src, tgt FROM routed WHERE NOT is_discarded AND NOT is_single")
+def route_main(spark, sf):
+    return routing.route_three_way(inp.noisy_pairs(spark, sf))[2]
+
+
+@query("route_discarded", f"WITH {ROUTED} SELECT pair_id, src, tgt FROM routed WHERE is_discarded")
+def route_discarded(spark, sf):
+    return routing.route_three_way(inp.noisy_pairs(spark, sf))[0].select("pair_id", "src", "tgt")
+
+
+@query("route_single", f"WITH {ROUTED} SELECT pair_id, src, tgt FROM routed WHERE is_single")
+def route_single(spark, sf):
+    return routing.route_three_way(inp.noisy_pairs(spark, sf))[1].select("pair_id", "src", "tgt")
 
 
 @query("project_pairs", f"WITH {inp.LINE_PAIRS} SELECT src, tgt FROM line_pairs")
