@@ -24,8 +24,8 @@ def _codes(text: str) -> np.ndarray:
 def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarray:
     """Per row: hyp, ref and clipped matches for n = 1..order, shape (rows, order, 3)."""
     texts = [t for pair in pairs for t in pair]
-    sizes = np.array([len(t) for t in texts])
-    codes = np.concatenate(texts) if len(texts) else np.empty(0, np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.concatenate(texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the end
     out = np.zeros((len(pairs), order, 3), np.int64)
@@ -56,7 +56,8 @@ def char_overlap(hyp: Column, ref: Column, order: int) -> Column:
             if size >= CHUNK:
                 done.append(_overlap(chunk, order))
                 chunk, size = [], 0
-        done.append(_overlap(chunk, order))
-        return pd.Series(list(np.concatenate(done).reshape(-1, order * 3)))
+        if chunk:
+            done.append(_overlap(chunk, order))
+        return pd.Series([row for part in done for row in part.reshape(-1, order * 3)])
 
     return counts(hyp, ref)

@@ -57,7 +57,7 @@ def _bucket(key: Column, cuts: Column) -> Column:
 
 
 def value_positions(
-    df: DataFrame, values: list[str], buckets: int | None = None, few: int = FEW_VALUES
+    df: DataFrame, values: list[str], buckets: int | None = None, few: int | None = None
 ) -> DataFrame:
     """One row per column and distinct value: (which, v, ties, below, n).
 
@@ -78,7 +78,7 @@ def value_positions(
     )
     counts = materialise(counts, "counts")
     column = Window.partitionBy("which")
-    if counts.count() <= few:
+    if counts.count() <= (FEW_VALUES if few is None else few):
         upto = F.sum("ties").over(column.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
         return counts.select(
             "which", "v", "ties", (upto - F.col("ties")).alias("below"), F.sum("ties").over(column).alias("n")
