@@ -11,6 +11,7 @@ from pairsift.functions import text as tx
 from pairsift.operators.aligning import lookup_language_name
 from pairsift.operators.skew import spread_lookup
 from pairsift.profile import ENGLISH_OCCITAN, LangProfile
+from pairsift.session import materialise
 
 UNDETERMINED = "und"
 MIN_PROB = 0.05
@@ -19,23 +20,27 @@ TOP_LABELS = 5
 
 @dataclass(frozen=True)
 class TokenModel:
-    """``labels``: one row per language (label, prior, unseen). ``gains``: one row per token,
-    (tok, gains) with the log-probability gain over an unseen token per language."""
+    """``labels``: one row per language (label, prior, unseen). ``gains``: one row per token and
+    language that has it, (tok, label, gain), the log-probability gain over an unseen token."""
 
     labels: DataFrame
     gains: DataFrame
 
 
 def _exploded(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(tx.tokens(F.lower(text))).alias("tok"))
+    """One row per token; blanks are dropped after the explode, inside generated code."""
+    return df.select(*keep, F.explode(tx.split_blank(F.lower(text))).alias("tok")).where("tok <> ''")
 
 
 def langid_train(df: DataFrame, text: str = "text", label: str = "label") -> TokenModel:
     """Per-language token log-probabilities with add-one smoothing.
 
     Counting combines on the map side, so neither a hot token nor a hot language matters.
+    The counts are written once; everything else in the model is derived from them.
     """
-    counts = _exploded(df, text, label).groupBy(label, "tok").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(
+        _exploded(df, text, label).groupBy(label, "tok").agg(F.count(F.lit(1)).alias("n")), "token-counts"
+    )
     vocabulary = counts.groupBy("tok").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("v")).scalar()
     sizes = counts.groupBy(label).agg(F.sum("n").alias("n_tokens"))
     docs = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -49,9 +54,7 @@ def langid_train(df: DataFrame, text: str = "text", label: str = "label") -> Tok
             (-F.ln("_room")).alias("unseen"),
         )
     )
-    gains = counts.groupBy("tok").agg(  # at most one entry per language
-        F.collect_list(F.struct(F.col(label).alias("label"), F.ln(F.col("n") + 1).alias("gain"))).alias("gains")
-    )
+    gains = counts.select("tok", F.col(label).alias("label"), F.ln(F.col("n") + 1).alias("gain"))
     return TokenModel(labels, gains)
 
 
@@ -62,11 +65,11 @@ def langid_predict(df: DataFrame, model: TokenModel, key: str = "doc_id", text:
     shuffled; the rest are joined by token (``spread_lookup``).
     """
     toks = _exploded(df, text, key)
-    weights = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("weight"))
+    weights = materialise(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("weight")), "token-weights")
     n_toks = F.coalesce(weights.agg(F.sum("weight").alias("s")).scalar(), F.lit(0))
     facts = weights.join(model.gains, "tok").withColumn("total", n_toks)
     found = spread_lookup(toks, facts, "tok", weight="weight", total="total", spread_by=key)
-    gained = found.select(key, F.inline("gains"))
+    gained = found.where(F.col("gain").isNotNull()).select(key, "label", "gain")
     all_labels = model.labels.agg(F.collect_list(F.struct("label", "prior", "unseen")).alias("ls")).scalar()
     base = (
         df.select(key, tx.token_count(F.col(text)).alias("_n"))

@@ -17,7 +17,7 @@ def spread_lookup(
     spread_by: str,
     slots: int = HOT_SLOTS,
 ) -> DataFrame:
-    """Left join ``rows`` to ``facts`` (one row per key) without a hot reducer.
+    """Left join ``rows`` to ``facts`` (a few rows per key) without a hot reducer.
 
     ``facts[weight]`` is the number of rows with that key and ``facts[total]`` the number of
     all rows. A key is hot when it holds more than ``total / slots`` rows; there can be no
@@ -31,8 +31,11 @@ def spread_lookup(
     hot = facts.where(is_hot).select(
         F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values]
     )
+    # always 0, but not a literal: Catalyst would fold a literal into a filter and shuffle the
+    # answered rows by their hot key again
+    never = F.col(weight) < 0
     cold = facts.where(~is_hot).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_salt"), *[F.col(c).alias(f"_cold_{c}") for c in values]
+        F.col(key).alias("_key"), never.cast("int").alias("_salt"), *[F.col(c).alias(f"_cold_{c}") for c in values]
     )
     free = F.col("_hot").isNotNull() | F.col(key).isNull()
     tagged = rows.join(F.broadcast(hot), key, "left").withColumn(
