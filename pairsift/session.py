@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,14 @@ def local_session(cores: str = "8", app: str = "pairsift", partitions: int = 8)
     )
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="pairsift-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only when none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="pairsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
