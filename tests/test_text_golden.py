@@ -169,4 +169,4 @@ def test_number_words(spark):
     r = one(spark, "twenty one and three", n=alt.alt_number_words_src(F.col("t")))
     assert r.n == [21, 1, 3, 20]
     r = one(spark, "cinquanta un e dos cent, 17", n=alt.alt_number_words_tgt(F.col("t")))
-    assert r.n[-1] == 17 and 51 in r.n or sum(r.n[:-1]) > 0
+    assert r.n == [253, 17]  # 50 + 1 + 2 + 2 * 100
