@@ -30,8 +30,26 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder()
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A single-machine session without that setting gets a temporary folder, which all its tasks see.
+    On a cluster the setting is required: executors would each write to a disk of their own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _own_folder()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a copy in the shared folder; Spark's cleaner removes it when configured to."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
