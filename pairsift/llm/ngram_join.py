@@ -18,6 +18,7 @@ that are in different components; no link between components is lost. Tiles are
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -46,15 +47,17 @@ class Bands:
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, -(-last * self.den // self.num)))
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
+            self._grow()
+        return bisect_right(self.starts, size) - 1
+
+    def _grow(self) -> None:
+        last = self.starts[-1]
+        self.starts.append(max(last + 1, -(-last * self.den // self.num)))
 
     def parts(self, band: int) -> int:
         """One more than the most shingles in which linked sets of ``band`` and the next band differ."""
-        self.of(self.starts[-1])
         while len(self.starts) < band + 2:
-            self.of(self.starts[-1])
+            self._grow()
         small = self.starts[band + 1] - 1
         both = small + small * self.den // self.num
         return both * (self.den - self.num) // (self.den + self.num) + 1
