@@ -43,6 +43,7 @@ HINTS = {
 OUT = frozenset(HINTS["out"])
 GENERIC = INLINE | frozenset("html body div section ul ol li table tbody thead tfoot tr td th".split())  # used for anything
 LINK_SCORE = -0.5
+OUT_SCORE = -0.5  # of a whole stretch of text, which is left out anyway: it may lie between two paragraphs
 NEVER = RAW | {"head", "form", "nav", "aside", "footer", "button", "menu", "dialog", "select"}
 _PRIOR = 5.0
 
@@ -137,14 +138,14 @@ def learn_weights(inside: Counter, outside: Counter) -> dict[str, float]:
 def word_score(context: tuple[tuple[str, ...], ...], weights: dict[str, float]) -> tuple[float, bool]:
     """Score of a word by the names around it, and whether it may be part of the text at all.
 
-    Parts that are never content are far below zero; elements that are used for anything say nothing; words of links
-    are a little below zero, so that a list of links isn't taken for text but a link in a sentence stays.
+    Elements that are used for anything say nothing; words of links are a little below zero, so that a list of links
+    isn't taken for text but a link in a sentence stays.
     """
     tags = {names[0] for names in context}
     inner = max((k for k, names in enumerate(context) if names[0] in ("article", "main")), default=0)
     out = tags & NEVER or "header" in tags and not tags & {"article", "main"}
     if out or any(n in OUT and n != "header" for names in context[inner:] for n in names[0 if names[0] != "body" else 1 :]):
-        return -4.0, False
+        return 0.0, False
     total = 0.25 + sum(weights.get(n, 0.0) for names in context for k, n in enumerate(names) if k or n not in GENERIC)
     return max(-1.0, min(1.0, total)) if "a" not in tags else LINK_SCORE, True
 
@@ -160,7 +161,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             if context not in scores:
                 scores[context] = word_score(context, weights)
             own, stays = scores[context]
-            gain = own * len(text.split())
+            gain = own * len(text.split()) if stays else OUT_SCORE
         else:
             gain, stays = TAG_SCORE, True
         tokens.append((kind, text, stays))

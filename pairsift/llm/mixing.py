@@ -75,7 +75,7 @@ def with_repetitions(docs: DataFrame, weights: dict[str, float], seed: int, by:
 def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 1, by: str = "source", key: str = "doc_id") -> DataFrame:
     """The mixture: every row of ``docs`` as often as drawn, with ``copy`` (1, 2, ...) and ``mix_key``, in its order.
 
-    Needs columns ``key``, ``by`` and text; all columns pass unchanged (``copy`` and ``mix_key`` must be free names).
+    Needs columns ``key``, ``by`` and text; all columns pass unchanged (columns named ``copy`` or ``mix_key`` are replaced).
     An empty table gives an empty mixture. Weights of sources that don't occur are lost, not given to others.
     """
     taken = with_repetitions(docs, weights, seed, by, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_n", F.lit(1).cast("long")))))

@@ -90,9 +90,10 @@ SELECT ids.doc_id, n_shingles, component_id,
   coalesce(min(ids.doc_id) OVER (PARTITION BY s) < ids.doc_id AND s IS NOT NULL, false) AS is_copy
 FROM ids LEFT JOIN sets ON sets.doc_id = ids.doc_id"""
 
-OP3_SQL = """WITH RECURSIVE d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-h AS (SELECT doc_id, b, hex(b) AS x, octet_length(b) AS n FROM d),
-w AS (SELECT doc_id, i AS s, md5(substr(x, 2 * i - 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(1, n - 400 + 2)) AS i FROM h WHERE n >= 400)),
+OP3_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+parts AS (SELECT doc_id, n, j, substr(x, 800 * j + 1, 1598) AS x FROM (SELECT doc_id, x, n, unnest(range(0, (n - 400) // 400 + 1)) AS j FROM h WHERE n >= 400)),
+w AS (SELECT doc_id, 400 * j + i AS s, md5(substr(x, 2 * i - 1, 800)) AS k FROM (SELECT doc_id, j, x, unnest(range(1, least(400, n - 400 - 400 * j + 1) + 1)) AS i FROM parts)),
 twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 hit AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w SEMI JOIN twice USING (k)),
 runs AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM hit),
@@ -130,17 +131,6 @@ scores AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5"""
 
-_P1 = "('0x' || substr(md5({x}), 1, 15))::BIGINT"
-OP9_SQL = f"""WITH r AS (
-  SELECT doc_id, (strlen(coalesce(text, '')) + {sharding.ROW_BYTES})::BIGINT AS size, coalesce(text, '') AS t,
-    {_P1.format(x="coalesce(text, '')")} AS k1, {_P1.format(x="coalesce(doc_id::VARCHAR, '')")} AS k2 FROM documents),
-g AS (SELECT *, sum(size) OVER (PARTITION BY k1) AS bytes, sum(size) OVER () AS total FROM r),
-p AS (SELECT *, bytes * {sharding.GROUP} > total / 24.0 AS big,
-  sum(size) OVER (ORDER BY k1, k2, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY k1, k2, doc_id, size) AS row FROM g),
-m AS (SELECT *, CASE WHEN big THEN 2 * (upto - size) + size ELSE 2 * min(upto - size) OVER (PARTITION BY k1) + bytes END AS middle FROM p),
-s AS (SELECT *, least(23, floor(middle * 24 / (2.0 * total)))::INT AS shard FROM m)
-SELECT doc_id, size, {{crc}} AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY row) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
-
 OP10_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scores AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(x.v, x.v))) AS score

@@ -272,8 +272,10 @@ def encode_pieces(docs: DataFrame, model: str, unigram: bool = False, chunk: int
 
     ``model``: path of the model file, the same on all machines; its normalizer must be the identity with a blank put
     in front. ``unigram``: find the best-scoring segmentation instead of BPE merges. Null and empty texts have
-    no pieces; all rows and other columns stay (``ids`` must be a free name). Byte fallback is used as the model has it.
+    no pieces; all rows and other columns stay (a column named ``ids`` is replaced). Byte fallback is used as the model
+    has it.
     """
+    docs = docs.drop("ids")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "ids array<int>"])
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
     small = docs.where(~giant).mapInArrow(_small_rows(model, unigram), shape)
@@ -307,6 +309,7 @@ def _decoded_rows(path: str):
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``ids`` (null for null). Undoes ``encode_pieces`` but for U+2581, a blank."""
+    rows = rows.drop("decoded")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "decoded string"])
     return rows.mapInArrow(_decoded_rows(model), shape)
 
