@@ -6,11 +6,11 @@
    pigeonhole principle two linked sets agree on the whole of at least one part. The tile of a set is
    (bands, part, hash of the set's shingles in that part): linked sets share a tile, and sets that only share a
    passage rarely do.
-3. In a tile, sizes and the Hamming distance of the sets' hashed 1024-bit parity bitmaps bound the overlap from
+3. In a tile, sizes and the Hamming distance of the sets' hashed parity bitmaps bound the overlap from
    above: ``|A & B| <= (|A| + |B| - hamming) / 2``. Pairs below the threshold's overlap are ruled out.
 4. The others are decided by an exact intersection of their sorted arrays.
 
-A tile is compared in two rounds. In the first, each set is paired with one leader, so a group of near copies costs as
+Tiles are compared in two rounds. In the first, each set is paired with one leader, so a group of near copies costs as
 many pairs as it has members. After the links are joined to components, the second round pairs the members of a tile
 that are in different components; no link between components is lost. Tiles are handled in blocks of
 ``BLOCK`` sets, and pairs of blocks are dealt out like tiles.
@@ -32,7 +32,7 @@ from pairsift.llm.components import components
 from pairsift.llm.words import mix, shingle_sets
 from pairsift.session import checkpoint
 
-BITS = 1024
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 BLOCK = 4096
 _SEED = {name: np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)) for k, name in enumerate(("class", "check", "part", "tile"), 1)}
 
@@ -94,10 +94,19 @@ def class_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the counts of hashes, modulo a power of two that follows the size of the set."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << len(shingles).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, longer ones folded by XOR to the shortest: parities modulo its length."""
+    words = min(map(len, bitmaps)) // 8
+    rows = [np.frombuffer(x, np.uint64) for x in bitmaps]
+    return np.array([np.bitwise_xor.reduce(r.reshape(-1, words)) if len(r) > words else r for r in rows])
+
+
 def _set_rows(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("bits", pa.binary())])
 
@@ -203,24 +212,20 @@ def _pair_rows(num: int, den: int, cross: bool):
         for table in keyed_runs(batches, keys):
             starts = np.append(run_starts(table, keys), table.num_rows)
             cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            maps = table.column("bits").to_pylist()
             root = table.column("root").to_numpy() if cross else None
             left, right = [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                rest = np.arange(a, b)
-                if cross:
-                    for i in range(a, b):
-                        rest = np.arange(i + 1, b)
-                        found = _bounds(n, bits, i, rest[root[rest] != root[i]], bands)
-                        left.append(np.full(len(found), cls[i]))
-                        right.append(cls[found])
-                    continue
+                own, bits = n[a:b], folded(maps[a:b])
+                rest = np.arange(b - a)
                 while len(rest) > 1:
                     i, rest = rest[0], rest[1:]
-                    found = _bounds(n, bits, i, rest, bands)
-                    left.append(np.full(len(found), cls[i]))
-                    right.append(cls[found])
-                    rest = np.setdiff1d(rest, found, assume_unique=True)
+                    ask = rest[root[a:b][rest] != root[a + i]] if cross else rest
+                    found = _bounds(own, bits, i, ask, bands)
+                    left.append(np.full(len(found), cls[a + i]))
+                    right.append(cls[a + found])
+                    if not cross:  # they follow this leader
+                        rest = np.setdiff1d(rest, found, assume_unique=True)
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -270,8 +275,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     texts = docs.join(wanted, "t", "left_semi").select("text")
     arrays = texts.mapInArrow(_array_rows(width), "cls long, shingles binary")
     arrays = checkpoint(arrays.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("shingles").alias("shingles")))
-    left = pairs.join(arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
-    both = left.join(arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
+    # by b first: most pairs share their leader a, whose array then needn't be copied for each of them
+    right = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
+    both = right.join(arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
     return both.select("a", "b", "left", "right").mapInArrow(_verified_rows(num, den), "a long, b long")
 
 
@@ -297,7 +303,7 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
 
     order = ["tile", "block", "n", "cls"]
     first = tiles.repartition("tile", "block").sortWithinPartitions(*order).mapInArrow(_pair_rows(num, den, False), "a long, b long")
-    first = checkpoint(first.distinct())
+    first = checkpoint(first.groupBy("b").agg(F.min("a").alias("a")))  # one leader each; the second round finds the rest
     links = checkpoint(_verify(first, classes, rows, width, num, den))
     found = components(links)
 
