@@ -10,10 +10,12 @@
    above: ``|A & B| <= (|A| + |B| - hamming) / 2``. Pairs below the threshold's overlap are ruled out.
 4. The others are decided by an exact intersection of their sorted arrays.
 
-Tiles are compared in two rounds. In the first, each set is paired with one leader, so a group of near copies costs as
-many pairs as it has members. After the links are joined to components, the second round pairs the members of a tile
-that are in different components; no link between components is lost. Tiles are handled in blocks of
-``BLOCK`` sets, and pairs of blocks are dealt out like tiles.
+Only links that join components matter, so pairs are verified in rounds, and a group of near copies costs about as many
+pairs as it has members. In the first round, each set is paired with the tile leader (the first member) that it shares
+most tiles with. In ``NEAREST_ROUNDS`` further rounds, each set is paired with the nearest member, by bitmaps, of another
+component in its tiles. The last round takes all pairs of a tile whose members are still in different
+components and whose bounds allow a link; so no link between components is lost. Tiles are handled in blocks
+of ``BLOCK`` sets, and pairs of blocks are dealt out like tiles; tiles within one component are done.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pairsift.llm.words import mix, shingle_sets
 from pairsift.session import checkpoint
 
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
-BLOCK = 4096
+BLOCK = 1024
+NEAREST_ROUNDS = 2
 _SEED = {name: np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)) for k, name in enumerate(("class", "check", "part", "tile"), 1)}
 
 
@@ -195,40 +198,46 @@ def _tile_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _bounds(n: np.ndarray, bits: np.ndarray, i: int, rest: np.ndarray, bands: Bands) -> np.ndarray:
-    """Which of ``rest`` may be linked with ``i``, by sizes and bitmaps."""
-    total = n[i] + n[rest]
-    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-    most = np.minimum((total - differ) // 2, np.minimum(n[i], n[rest]))
-    return rest[bands.linked(most, total)]
+def _leader_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each run of (tile, block): its first member with each other one."""
+    for table in keyed_runs(batches, ["tile", "block"]):
+        starts, cls = run_starts(table, ["tile", "block"]), table.column("cls").to_numpy()
+        leader = np.repeat(cls[starts], np.diff(np.append(starts, len(cls))))
+        yield pa.RecordBatch.from_arrays([pa.array(leader[leader != cls]), pa.array(cls[leader != cls])], ["a", "b"])
 
 
-def _pair_rows(num: int, den: int, cross: bool):
-    """Pairs to verify in each run of (tile, block, other): with leaders, or between components."""
-    keys = ["tile", "block", "other"] if cross else ["tile", "block"]
+def _pair_rows(num: int, den: int, nearest: bool):
+    """In each run of (tile, block, other), pairs of different components whose bounds allow a link: (a, b, gap).
+
+    ``nearest``: for each member only the one with the least gap, a bitmap distance relative to the sizes.
+    """
+    keys = ["tile", "block", "other"]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for table in keyed_runs(batches, keys):
             starts = np.append(run_starts(table, keys), table.num_rows)
-            cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+            cls, n, root = (table.column(k).to_numpy() for k in ("cls", "n", "root"))
             maps = table.column("bits").to_pylist()
-            root = table.column("root").to_numpy() if cross else None
-            left, right = [], []
+            out = ([], [], [])
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                own, bits = n[a:b], folded(maps[a:b])
-                rest = np.arange(b - a)
-                while len(rest) > 1:
-                    i, rest = rest[0], rest[1:]
-                    ask = rest[root[a:b][rest] != root[a + i]] if cross else rest
-                    found = _bounds(own, bits, i, ask, bands)
-                    left.append(np.full(len(found), cls[a + i]))
-                    right.append(cls[a + found])
-                    if not cross:  # they follow this leader
-                        rest = np.setdiff1d(rest, found, assume_unique=True)
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                size, own, bits = n[a:b], root[a:b], folded(maps[a:b])
+                for i in range(b - a):
+                    rest = np.flatnonzero(own != own[i]) if nearest else i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+                    if not len(rest):
+                        continue
+                    total = size[i] + size[rest]
+                    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    most = np.minimum((total - differ) // 2, np.minimum(size[i], size[rest]))
+                    found = np.flatnonzero(bands.linked(most, total))
+                    gap = differ[found] / total[found]
+                    if nearest and len(found):
+                        found, gap = found[[gap.argmin()]], gap[[gap.argmin()]]
+                    out[0].append(np.full(len(found), cls[a + i]))
+                    out[1].append(cls[a + rest[found]])
+                    out[2].append(gap)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b", "gap"])
 
     return rows
 
@@ -281,6 +290,22 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, n
     return both.select("a", "b", "left", "right").mapInArrow(_verified_rows(num, den), "a long, b long")
 
 
+def _open_tiles(tiles: DataFrame, found: DataFrame) -> DataFrame:
+    """The tiles with members in different components, with each member's ``root``."""
+    placed = tiles.select("tile", "block", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
+    return checkpoint(placed.join(mixed, "tile", "left_semi"))
+
+
+def _dealt(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with sizes and bitmaps, once for each pair of blocks of their tile, sorted by (tile, block, other)."""
+    blocks = tiles.groupBy("tile").agg(F.max("block").alias("blocks"))
+    dealt = tiles.join(blocks, "tile").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
+    dealt = dealt.withColumns({"other": F.greatest("block", "with"), "block": F.least("block", "with")}).drop("with", "blocks")
+    dealt = dealt.join(classes.select("cls", "n", "bits"), "cls")
+    return dealt.repartition("tile", "block", "other").sortWithinPartitions("tile", "block", "other", "cls")
+
+
 def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, is_copy) per row of ``docs`` (doc_id long, text string).
 
@@ -298,24 +323,26 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
     classes = checkpoint(groups)
     keys = rows.select("text").mapInArrow(_key_rows(width, num, den), "key long, cls long")
     tiles = keys.repartition("key").sortWithinPartitions("key", "cls")
-    tiles = tiles.mapInArrow(_tile_rows, "tile long, block int, cls long").dropDuplicates(["tile", "block", "cls"])
-    tiles = checkpoint(tiles.join(classes.select("cls", "n", "bits"), "cls"))
-
-    order = ["tile", "block", "n", "cls"]
-    first = tiles.repartition("tile", "block").sortWithinPartitions(*order).mapInArrow(_pair_rows(num, den, False), "a long, b long")
-    first = checkpoint(first.groupBy("b").agg(F.min("a").alias("a")))  # one leader each; the second round finds the rest
-    links = checkpoint(_verify(first, classes, rows, width, num, den))
-    found = components(links)
-
-    placed = tiles.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("tile").agg(F.max("block").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    dealt = placed.join(mixed.select("tile", "blocks"), "tile").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
-    dealt = dealt.withColumns({"other": F.greatest("block", "with"), "block": F.least("block", "with")}).drop("with", "blocks")
-    order = ["tile", "block", "other", "cls"]
-    second = dealt.repartition("tile", "block", "other").sortWithinPartitions(*order).mapInArrow(_pair_rows(num, den, True), "a long, b long")
-    second = checkpoint(second.where("a <> b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = checkpoint(_verify(second, classes, rows, width, num, den))
-    found = checkpoint(components(links.unionByName(more)))
+    tiles = checkpoint(tiles.mapInArrow(_tile_rows, "tile long, block int, cls long").dropDuplicates(["tile", "block", "cls"]))
+
+    led = tiles.repartition("tile", "block").sortWithinPartitions("tile", "block", "cls").mapInArrow(_leader_rows, "a long, b long")
+    shared = led.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    asked = checkpoint(shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    links = checkpoint(_verify(asked, classes, rows, width, num, den))
+    found = checkpoint(components(links))
+    for turn in range(NEAREST_ROUNDS + 1):
+        last = turn == NEAREST_ROUNDS
+        tiles = _open_tiles(tiles, found)
+        pairs = _dealt(tiles, classes).mapInArrow(_pair_rows(num, den, not last), "a long, b long, gap double")
+        if not last:
+            best = pairs.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("best"))
+            pairs = best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+        else:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        asked_now = checkpoint(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
+        links = checkpoint(links.unionByName(_verify(asked_now, classes, rows, width, num, den)))
+        asked = asked.unionByName(asked_now)
+        found = checkpoint(components(links))
 
     reps = classes.select("cls", "chk", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
