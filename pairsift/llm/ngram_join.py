@@ -7,7 +7,8 @@
    (bands, part, hash of the set's shingles in that part): linked sets share a tile, and sets that only share a
    passage rarely do.
 3. In a tile, sizes and the Hamming distance of the sets' hashed parity bitmaps bound the overlap from
-   above: ``|A & B| <= (|A| + |B| - hamming) / 2``. Pairs below the threshold's overlap are ruled out.
+   above: ``|A & B| <= (|A| + |B| - hamming) / 2``. Pairs below the threshold's overlap are ruled out: in tiles by
+   bitmaps of ``LEAST_BITS`` bits, then pair by pair by bitmaps that follow the size of the sets.
 4. The others are decided by an exact intersection of their sorted arrays.
 
 Only links that join components matter, so pairs are verified in rounds, and a group of near copies costs about as many
@@ -103,15 +104,15 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def folded(bitmaps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, longer ones folded by XOR to the shortest: parities modulo its length."""
-    words = min(map(len, bitmaps)) // 8
+def folded(bitmaps: list[bytes], bits: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, longer ones folded by XOR to the shortest (or ``bits``): parities modulo it."""
+    words = bits // 64 if bits else min(map(len, bitmaps)) // 8
     rows = [np.frombuffer(x, np.uint64) for x in bitmaps]
     return np.array([np.bitwise_xor.reduce(r.reshape(-1, words)) if len(r) > words else r for r in rows])
 
 
 def _set_rows(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("bits", pa.binary()), ("short", pa.binary())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,6 +120,7 @@ def _set_rows(width: int):
             for first, texts in text_slices(batch.column("text")):
                 sets = shingle_sets(texts, width)
                 named = [class_of(s) if len(s) else (None, None) for s in sets]
+                maps = [bitmap(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, len(texts)),
@@ -126,7 +128,8 @@ def _set_rows(width: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([a for a, _ in named], pa.int64()),
                         pa.array([b for _, b in named], pa.int64()),
-                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array(maps, pa.binary()),
+                        pa.array([m and folded([m], LEAST_BITS).tobytes() for m in maps], pa.binary()),
                     ],
                     schema=schema,
                 )
@@ -277,8 +280,24 @@ def _verified_rows(num: int, den: int):
     return rows
 
 
+def _possible_rows(num: int, den: int):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in ("an", "bn", "abits", "bbits")), strict=True):
+                one, two = folded([x, y])
+                keep.append(bool(bands.linked(min(m, n, (m + n - int(np.bitwise_count(one ^ two).sum())) // 2), m + n)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose shingle arrays reach the threshold. ``pairs`` is read twice."""
+    """The pairs whose shingle arrays reach the threshold; whole bitmaps rule out most others beforehand."""
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}n"), F.col("bits").alias(f"{end}bits")), end)
+    pairs = checkpoint(pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_possible_rows(num, den), "a long, b long"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = ends.join(classes.select("cls", "t"), "cls").select("t").distinct()
     texts = docs.join(wanted, "t", "left_semi").select("text")
@@ -302,7 +321,7 @@ def _dealt(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = tiles.groupBy("tile").agg(F.max("block").alias("blocks"))
     dealt = tiles.join(blocks, "tile").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
     dealt = dealt.withColumns({"other": F.greatest("block", "with"), "block": F.least("block", "with")}).drop("with", "blocks")
-    dealt = dealt.join(classes.select("cls", "n", "bits"), "cls")
+    dealt = dealt.join(classes.select("cls", "n", F.col("short").alias("bits")), "cls")
     return dealt.repartition("tile", "block", "other").sortWithinPartitions("tile", "block", "other", "cls")
 
 
@@ -317,9 +336,9 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
     class member (equal shingle sets) has a smaller doc_id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("t"))
-    shape = "doc_id long, t long, n long, cls long, chk long, bits binary"
+    shape = "doc_id long, t long, n long, cls long, chk long, bits binary, short binary"
     sets = checkpoint(rows.mapInArrow(_set_rows(width), shape))
-    groups = sets.where("n > 0").groupBy("cls", "chk", "n").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("bits").alias("bits"))
+    groups = sets.where("n > 0").groupBy("cls", "chk", "n").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("bits").alias("bits"), F.min("short").alias("short"))
     classes = checkpoint(groups)
     keys = rows.select("text").mapInArrow(_key_rows(width, num, den), "key long, cls long")
     tiles = keys.repartition("key").sortWithinPartitions("key", "cls")
