@@ -17,8 +17,8 @@ CHUNK = 1_000_000
 CODE_BITS = 21
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+def _codes(text: str | None) -> np.ndarray:
+    return np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
 def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarray:

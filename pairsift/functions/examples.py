@@ -40,10 +40,11 @@ def pad_array(ids: Column, to: Column, filler: int, side: str) -> Column:
     return F.concat(gap, ids) if side == "left" else F.concat(ids, gap)
 
 
-def log_prob_of_gold(logits: Column, gold: Column, temperature: float = 2.0, floor: float = 1e-8) -> Column:
-    """log softmax(logits / T)[gold], floored at ln(floor); null where gold is the ignore marker."""
+def log_prob_of_gold(logits: Column, gold: Column, temperature: float = 2.0, floor: float | None = 1e-8) -> Column:
+    """log softmax(logits / T)[gold], floored at ln(floor) if given; null where gold is the ignore marker."""
     z = F.transform(logits.cast("array<double>"), lambda v: v / temperature)
     top = F.array_max(z)
     total = F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - top))
     picked = F.get(z, gold)
-    return F.when(gold != IGNORE, F.greatest(picked - top - F.ln(total), F.ln(F.lit(floor))))
+    log_prob = picked - top - F.ln(total)
+    return F.when(gold != IGNORE, log_prob if floor is None else F.greatest(log_prob, F.ln(F.lit(floor))))

@@ -7,7 +7,6 @@ text the regular expression is then never run.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,17 +37,9 @@ def has_non_ascii(x: Column) -> Column:
     return F.octet_length(x) != F.length(x)
 
 
-def literal_in(pattern: str) -> str:
-    """The longest plain piece that every match of a simple pattern must contain."""
-    optional = r"(?:\\.|\[[^\]]*\]|.)(?:[?*]|\{\d*,?\d*\})"
-    pieces = re.split(r"\\.|\[[^\]]*\]|[.^$+()\n]", re.sub(optional, "\n", pattern))
-    return max(pieces, key=len).lower()
-
-
 def may_match(x: Column, patterns) -> Column:
-    """Cheap necessary test for any of several case-insensitive patterns."""
-    folded = F.replace(F.lower(x), F.lit("\u017f"), F.lit("s"))
-    return any_of(folded, *dict.fromkeys(literal_in(p) for p in patterns))
+    """Whether any of several case-insensitive patterns occurs: all of them as one alternation."""
+    return x.rlike("(?iUd)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def fold_patterns(x: Column, patterns) -> Column:
@@ -239,9 +230,7 @@ def cut_at_garbage(x: Column, profile: LangProfile) -> Column:
     at the end sees trimmed text.
     """
     cut = fold_patterns(x, [rf"(?iUsd)\s*(?:{p}).*" for p in profile.garbage_patterns])
-    probe = "(?iUd)" + "|".join(f"(?:{p})" for p in profile.garbage_patterns)
-    hit = may_match(x, profile.garbage_patterns) & x.rlike(probe)
-    return F.when(hit, strip(cut)).otherwise(x)
+    return F.when(may_match(x, profile.garbage_patterns), strip(cut)).otherwise(x)
 
 
 def expand_contractions(x: Column, profile: LangProfile) -> Column:

@@ -19,13 +19,13 @@ def dedup_keep_first(
     """
     whole = F.struct(*df.columns)
     if not prefer_repeated:
-        return df.groupBy(by).agg(F.min_by(whole, order_by).alias("_r")).select("_r.*")
+        return df.groupBy(by).agg(F.min_by(whole, F.struct(F.col(order_by).isNull(), order_by)).alias("_r")).select("_r.*")
     first_of_pair = df.groupBy(*pair).agg(F.min(order_by).alias(order_by)).select(order_by)
     repeats = df.join(first_of_pair, order_by, "left_anti").select(*df.columns)
     tagged = df.withColumn("_prio", F.lit(1)).unionByName(repeats.withColumn("_prio", F.lit(0)))
     return (
         tagged.groupBy(by)
-        .agg(F.min_by(whole, F.struct("_prio", order_by)).alias("_r"))
+        .agg(F.min_by(whole, F.struct("_prio", F.col(order_by).isNull(), order_by)).alias("_r"))
         .select("_r.*")
     )
 

@@ -15,13 +15,15 @@ Every row is kept; the sample only places the borders.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsift.operators.skew import spread_lookup
 from pairsift.session import bucket_count, materialise
 
-FEW_VALUES = 100_000
 SAMPLES_PER_BUCKET = 16
 COARSE = 32
 
@@ -57,7 +59,7 @@ def _bucket(key: Column, cuts: Column) -> Column:
 
 
 def value_positions(
-    df: DataFrame, values: list[str], buckets: int | None = None, few: int | None = None
+    df: DataFrame, values: list[str], buckets: int | None = None
 ) -> DataFrame:
     """One row per column and distinct value: (which, v, ties, below, n).
 
@@ -65,8 +67,7 @@ def value_positions(
     one; nulls and NaN take no part. Equal values are counted on the map side, so a value
     that fills a third of the table is one row from then on. All columns share one pass.
 
-    The counts are written once. When there are no more than ``few`` of them (read from the
-    file footers), one window per column is enough; otherwise the order is cut into buckets.
+    The counts are written once; their order is cut into buckets.
     """
     buckets = buckets or bucket_count(df.sparkSession)
     cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("v")) for c in values]
@@ -78,11 +79,6 @@ def value_positions(
     )
     counts = materialise(counts, "counts")
     column = Window.partitionBy("which")
-    if counts.count() <= (FEW_VALUES if few is None else few):
-        upto = F.sum("ties").over(column.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(
-            "which", "v", "ties", (upto - F.col("ties")).alias("below"), F.sum("ties").over(column).alias("n")
-        )
     counts = counts.withColumn("k", F.struct("which", "v"))
     placed = place(counts, F.col("k"), cut_points(counts, "k", buckets)).drop("k")
     sizes = placed.groupBy("which", "bucket").agg(F.sum("ties").alias("size"))
@@ -176,12 +172,14 @@ def number_rows(
         .agg(F.count(F.lit(1)).alias("_size"))
         .select(*groups, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
+    facts = offsets.select("_offset", *[F.col(g).alias(f"_of_{g}") for g in groups])
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups])  # a null group is a group
     inside = Window.partitionBy(*groups).orderBy(*order_by)
     return (
         placed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, groups, "left")
+        .join(facts, same, "left")
         .withColumn(out, F.col("_offset") + F.col("_rn") - 1 + start)
-        .drop("_bucket", "_rn", "_offset")
+        .drop("_bucket", "_rn", "_offset", *facts.columns)
     )
 
 

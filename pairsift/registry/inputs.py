@@ -13,7 +13,7 @@ from pairsift.operators import routing, scoring
 from pairsift.session import materialise
 from pairsift.sources.corpus import read_table, widen
 
-PAIR_STRIDE = 100003  # more than the number of lines a document can have
+PAIR_STRIDE = 1 << 32  # more than the number of lines a document can have
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

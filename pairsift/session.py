@@ -69,6 +69,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """How many ordered buckets a global ordering is cut into."""
+    """How many ordered buckets a global ordering is cut into: two per shuffle partition."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(1024, partitions * 2))
+    return max(8, partitions * 2)

@@ -26,9 +26,8 @@ def test_golden_rank_and_quantiles(spark):
     assert [round(x, 9) for x in q] == [1.3, 1.75, 2.0, 2.5]
 
 
-@pytest.mark.parametrize("few", [100_000, 0], ids=["one window", "buckets"])
-def test_positions_equal_pandas(values, few):
-    got = ordering.value_positions(values, ["v"], buckets=16, few=few).toPandas().sort_values("v")
+def test_positions_equal_pandas(values):
+    got = ordering.value_positions(values, ["v"], buckets=16).toPandas().sort_values("v")
     series = values.toPandas().v.dropna()
     counts = series.value_counts().sort_index()
     assert list(got.v) == list(counts.index)
@@ -37,8 +36,7 @@ def test_positions_equal_pandas(values, few):
     assert set(got.n) == {len(series)}
 
 
-def test_ranks_with_a_hot_value(values, monkeypatch):
-    monkeypatch.setattr(ordering, "FEW_VALUES", 0)
+def test_ranks_with_a_hot_value(values):
     pdf = ordering.pct_rank_avg(values, "v", "r", "id", buckets=16).toPandas().set_index("id").sort_index()
     expected = values.toPandas().set_index("id").sort_index().v.rank(pct=True)
     assert len(pdf) == 3002
@@ -112,3 +110,9 @@ def test_distill_and_eval_sets_are_disjoint(spark):
     distill, held_out = select.build_distill_eval_sets(dev, devtest, "pair_id")
     assert (distill.count(), held_out.count()) == (20 + 503, 500)
     assert distill.select("pair_id").intersect(held_out.select("pair_id")).count() == 0
+
+
+def test_rows_of_a_null_group_are_numbered(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, None)], "id int, g string")
+    got = {r["id"]: r["idx"] for r in ordering.number_rows(df, ["id"], within=["g"]).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 2}
