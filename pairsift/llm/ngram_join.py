@@ -21,6 +21,7 @@ of ``BLOCK`` sets, and pairs of blocks are dealt out like tiles; tiles within on
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -38,6 +39,7 @@ from pairsift.session import checkpoint
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
 BLOCK = 1024
 NEAREST_ROUNDS = 2
+HELD_SHINGLES = 2_000_000  # a task's memory for shingle arrays while it verifies pairs
 _SEED = {name: np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)) for k, name in enumerate(("class", "check", "part", "tile"), 1)}
 
 
@@ -245,15 +247,17 @@ def _pair_rows(num: int, den: int, nearest: bool):
     return rows
 
 
-def _array_rows(width: int):
+def _class_texts(width: int):
+    """(cls, text) of each class in a batch, packed: a packed text takes a third of the bytes of its shingle array."""
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
             for _, texts in text_slices(batch.column("text")):
-                kept = [(class_of(s)[0], s.tobytes()) for s in shingle_sets(texts, width) if len(s)]
-                kept = [x for x in kept if not seen(x[0])]
+                named = [(class_of(s)[0], x) for s, x in zip(shingle_sets(texts, width), texts, strict=True) if len(s)]
+                kept = [(c, zlib.compress(x, 1)) for c, x in named if not seen(c)]
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.binary())], ["cls", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.binary())], ["cls", "packed"])
 
     return rows
 
@@ -267,14 +271,18 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _verified_rows(num: int, den: int):
+def _verified_rows(width: int, num: int, den: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, held, size = Bands(num, den), {}, 0
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(bool(bands.linked(common_count(one, two), len(one) + len(two))))
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "left", "right")), strict=True):
+                if size > HELD_SHINGLES:
+                    held, size = {}, 0
+                new = {k: zlib.decompress(v) for k, v in ((a, x), (b, y)) if k not in held}
+                for k, s in zip(new, shingle_sets(list(new.values()), width), strict=True):
+                    held[k], size = s, size + len(s)
+                keep.append(bool(bands.linked(common_count(held[a], held[b]), len(held[a]) + len(held[b]))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows
@@ -294,19 +302,22 @@ def _possible_rows(num: int, den: int):
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose shingle arrays reach the threshold; whole bitmaps rule out most others beforehand."""
+    """The pairs whose shingle arrays reach the threshold; whole bitmaps rule out most others beforehand.
+
+    Packed texts are shuffled and their arrays made beside the intersection, so that less is written to disk.
+    """
     for end in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}n"), F.col("bits").alias(f"{end}bits")), end)
     pairs = checkpoint(pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_possible_rows(num, den), "a long, b long"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = ends.join(classes.select("cls", "t"), "cls").select("t").distinct()
     texts = docs.join(wanted, "t", "left_semi").select("text")
-    arrays = texts.mapInArrow(_array_rows(width), "cls long, shingles binary")
-    arrays = checkpoint(arrays.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("shingles").alias("shingles")))
-    # by b first: most pairs share their leader a, whose array then needn't be copied for each of them
-    right = pairs.join(arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
-    both = right.join(arrays.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(_verified_rows(num, den), "a long, b long")
+    packed = texts.mapInArrow(_class_texts(width), "cls long, packed binary")
+    packed = checkpoint(packed.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("packed").alias("packed")))
+    # by b first: most pairs share their leader a, whose text then needn't be copied for each of them
+    right = pairs.join(packed.select(F.col("cls").alias("b"), F.col("packed").alias("right")), "b")
+    both = right.join(packed.select(F.col("cls").alias("a"), F.col("packed").alias("left")), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(_verified_rows(width, num, den), "a long, b long")
 
 
 def _open_tiles(tiles: DataFrame, found: DataFrame) -> DataFrame:
@@ -317,10 +328,15 @@ def _open_tiles(tiles: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _dealt(tiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members with sizes and bitmaps, once for each pair of blocks of their tile, sorted by (tile, block, other)."""
-    blocks = tiles.groupBy("tile").agg(F.max("block").alias("blocks"))
-    dealt = tiles.join(blocks, "tile").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
-    dealt = dealt.withColumns({"other": F.greatest("block", "with"), "block": F.least("block", "with")}).drop("with", "blocks")
+    """Members with sizes and bitmaps, once for each pair of blocks of their tile, sorted by (tile, block, other).
+
+    Pairs of blocks whose members are all in one component are left out.
+    """
+    blocks = tiles.groupBy("tile", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    others = blocks.select("tile", F.col("block").alias("with"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    mixed = blocks.join(others, "tile").where(F.least("lo", "lo2") < F.greatest("hi", "hi2")).select("tile", "block", "with")
+    dealt = tiles.join(mixed, ["tile", "block"])
+    dealt = dealt.withColumns({"other": F.greatest("block", "with"), "block": F.least("block", "with")}).drop("with")
     dealt = dealt.join(classes.select("cls", "n", F.col("short").alias("bits")), "cls")
     return dealt.repartition("tile", "block", "other").sortWithinPartitions("tile", "block", "other", "cls")
 
