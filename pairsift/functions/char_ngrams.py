@@ -1,4 +1,4 @@
-"""Character n-gram overlap of two texts in one row.
+"""Character and word n-gram overlap of two texts in one row.
 
 Both texts are already in the row, so no shuffle is needed. Exploding every character six
 times over and grouping would make a hash table of all n-grams of a partition; here a
@@ -21,8 +21,8 @@ def _codes(text: str | None) -> np.ndarray:
     return np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
-def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarray:
-    """Per row: hyp, ref and clipped matches for n = 1..order, shape (rows, order, 3)."""
+def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int = CODE_BITS) -> np.ndarray:
+    """Per row: hyp, ref and clipped matches for n = 1..order, shape (rows, order, 3). Codes have ``bits`` bits."""
     texts = [t for pair in pairs for t in pair]
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     codes = np.concatenate(texts)
@@ -34,7 +34,7 @@ def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarr
     for n in range(1, order + 1):
         keep = left[start] >= n
         start, gram = start[keep], gram[keep]
-        _, first, gram = np.unique((gram << CODE_BITS) | codes[start + n - 1], return_index=True, return_inverse=True)
+        _, first, gram = np.unique((gram << bits) | codes[start + n - 1], return_index=True, return_inverse=True)
         is_ref = owner[start] % 2 == 1
         hyp = np.bincount(gram[~is_ref], minlength=len(first))
         ref = np.bincount(gram[is_ref], minlength=len(first))
@@ -44,20 +44,42 @@ def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarr
     return out
 
 
+def _word_overlap(pairs: list, order: int) -> np.ndarray:
+    """As ``_overlap`` for arrays of tokens, numbered within the chunk."""
+    numbers: dict[str, int] = {}
+    coded = [tuple(np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in pair) for pair in pairs]
+    return _overlap(coded, order, len(numbers).bit_length())
+
+
+def _in_chunks(rows, order: int, count) -> pd.Series:
+    done, chunk, size = [], [], 0
+    for pair in rows:
+        chunk.append(pair)
+        size += len(pair[0]) + len(pair[1])
+        if size >= CHUNK:
+            done.append(count(chunk, order))
+            chunk, size = [], 0
+    if chunk:
+        done.append(count(chunk, order))
+    return pd.Series([row for part in done for row in part.reshape(-1, order * 3)])
+
+
 def char_overlap(hyp: Column, ref: Column, order: int) -> Column:
-    """array<bigint> of (hyp, ref, match) for n = 1..order."""
+    """array<bigint> of (hyp, ref, match) for n = 1..order; a null text is empty."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def counts(h: pd.Series, r: pd.Series) -> pd.Series:
+        return _in_chunks(((_codes(a), _codes(b)) for a, b in zip(h, r)), order, _overlap)
+
+    return counts(hyp, ref)
+
+
+def word_overlap(hyp: Column, ref: Column, order: int) -> Column:
+    """array<bigint> of (hyp, ref, match) for n = 1..order of two arrays of tokens; a null array is empty."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def counts(h: pd.Series, r: pd.Series) -> pd.Series:
-        done, chunk, size = [], [], 0
-        for a, b in zip(h, r):
-            chunk.append((_codes(a), _codes(b)))
-            size += len(chunk[-1][0]) + len(chunk[-1][1])
-            if size >= CHUNK:
-                done.append(_overlap(chunk, order))
-                chunk, size = [], 0
-        if chunk:
-            done.append(_overlap(chunk, order))
-        return pd.Series([row for part in done for row in part.reshape(-1, order * 3)])
+        none = ()
+        return _in_chunks(((none if a is None else a, none if b is None else b) for a, b in zip(h, r)), order, _word_overlap)
 
     return counts(hyp, ref)

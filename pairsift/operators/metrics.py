@@ -1,9 +1,6 @@
 """Corpus BLEU and chrF for any number of systems in one job.
 
-BLEU: n-gram counts never leave the row's partition. The sentences are partitioned by
-``(system, id)`` once, and the groupings on ``(system, id, n, gram)`` that follow are
-satisfied by that partitioning, so only the texts are shuffled, not their n-grams.
-chrF: the rows are counted where they are. The corpus sums combine on the map side.
+The n-grams of a row are counted where it is; only the sums per system are shuffled, combined on the map side.
 """
 
 from __future__ import annotations
@@ -15,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import flags as fl
 from pairsift.functions import text as tx
-from pairsift.functions.char_ngrams import char_overlap
+from pairsift.functions.char_ngrams import char_overlap, word_overlap
 from pairsift.operators.fence import where_computed
 
 BLEU_ORDER = 4
@@ -36,63 +33,24 @@ def tokenize_13a(x: Column) -> Column:
     return tx.tokens(y)
 
 
-def _windows(units: Column, order: int) -> Column:
-    """One struct (u1..u_order) per start position; null past the end."""
-    return F.arrays_zip(*[F.slice(units, k, F.size(units) + 1).alias(f"u{k}") for k in range(1, order + 1)])
+def _overlap_sums(counts: str, order: int) -> list[Column]:
+    """Corpus sums of an array of (hyp, ref, match) per order; n-grams of a hypothesis whose reference has none
+    of that order are also given separately."""
+    sums = []
+    for n in range(1, order + 1):
+        h, r, m = (F.get(counts, F.lit(3 * (n - 1) + k)) for k in range(3))
+        with_ref = F.sum(F.when(r > 0, h).otherwise(0))
+        for name, total in (("hyp", F.sum(h)), ("hyp_with_ref", with_ref), ("ref", F.sum(r)), ("match", F.sum(m))):
+            sums.append(F.coalesce(total, F.lit(0)).alias(f"{name}{n}"))
+    return sums
 
 
-def word_keys(order: int) -> list[list[Column]]:
-    """Key columns of the n-gram that starts in a window, for n = 1..order."""
-    empty = F.lit("")
-    return [[F.col(f"u{k}") if k <= n else empty for k in range(1, order + 1)] for n in range(1, order + 1)]
+def _counted(df: DataFrame, system: str | None, **counts: Column) -> DataFrame:
+    return df.select(*([system] if system else []), *[c.alias(k) for k, c in counts.items()])
 
 
-def ngram_stats(
-    df: DataFrame, units, keys: list[list[Column]], key: str, system: str | None, hyp: str, ref: str
-) -> DataFrame:
-    """Per system and n: n-grams of hypothesis and reference, clipped matches; hypothesis
-    n-grams of sentences whose reference has none of that order are given separately."""
-    groups = [system] if system else []
-    order, width = len(keys), len(keys[0])
-    ks = [f"k{i}" for i in range(width)]
-    rows = df.select(*groups, F.col(key).alias("_id"), F.col(hyp).alias("h"), F.col(ref).alias("r")).repartition(
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *groups, "_id"
-    )
-    both = F.array(
-        F.struct(F.col("h").alias("text"), F.lit(1).alias("hc"), F.lit(0).alias("rc")),
-        F.struct(F.col("r").alias("text"), F.lit(0).alias("hc"), F.lit(1).alias("rc")),
-    )
-    sides = rows.select(*groups, "_id", F.inline(both))
-    units_of = sides.select(*groups, "_id", "hc", "rc", units(F.col("text")).alias("us"))
-    windows = units_of.select(*groups, "_id", "hc", "rc", F.inline(_windows(F.col("us"), order)))
-    grams = F.array(
-        *[F.struct(F.lit(n).alias("n"), *[c.alias(k) for c, k in zip(cols, ks)]) for n, cols in enumerate(keys, 1)]
-    )
-    per_gram = (
-        windows.select(*groups, "_id", "hc", "rc", F.inline(grams))
-        .dropna(subset=ks)  # windows that reach past the end
-        .groupBy(*groups, "_id", "n", *ks)
-        .agg(F.sum("hc").alias("hc"), F.sum("rc").alias("rc"))
-    )
-    per_sentence = per_gram.groupBy(*groups, "_id", "n").agg(
-        F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"), F.sum(F.least("hc", "rc")).alias("match")
-    )
-    return per_sentence.groupBy(*groups, "n").agg(
-        F.sum("hyp").alias("hyp"),
-        F.sum(F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0)).alias("hyp_with_ref"),
-        F.sum("ref").alias("ref"),
-        F.sum("match").alias("match"),
-    )
-
-
-def _one_row(stats: DataFrame, order: int, system: str | None) -> DataFrame:
-    names = ("hyp", "hyp_with_ref", "ref", "match")
-    picks = [
-        F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
-        for n in range(1, order + 1)
-        for c in names
-    ]
-    return stats.groupBy(*([system] if system else [])).agg(*picks)
+def _penalty() -> Column:
+    return F.when(F.col("hyp1") > 0, F.least(F.lit(1.0), F.exp(1.0 - F.try_divide("ref1", "hyp1")))).otherwise(0.0)
 
 
 def _bleu(order: int) -> Column:
@@ -105,32 +63,19 @@ def _bleu(order: int) -> Column:
         logs.append(F.ln(F.try_divide(shown, total)))
     any_match = reduce(lambda a, b: a | b, [F.col(f"match{n}") > 0 for n in range(1, order + 1)])
     every_order = F.col(f"hyp{order}") > 0
-    penalty = F.least(F.lit(1.0), F.exp(1.0 - F.try_divide(F.col("ref1"), F.col("hyp1"))))
     mean = reduce(lambda a, b: a + b, logs) / order
-    return F.when(any_match & every_order, 100.0 * penalty * F.exp(mean)).otherwise(0.0)
+    return F.when(any_match & every_order, 100.0 * _penalty() * F.exp(mean)).otherwise(0.0)
 
 
-def corpus_bleu(
-    df: DataFrame, key: str = "pair_id", system: str | None = None, hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a
-) -> DataFrame:
-    stats = ngram_stats(df, tokenizer, word_keys(BLEU_ORDER), key, system, hyp, ref)
-    row = _one_row(stats, BLEU_ORDER, system)
-    return row.select(*([system] if system else []), _bleu(BLEU_ORDER).alias("bleu"))
+def _words(hyp: str, ref: str, tokenizer) -> Column:
+    return word_overlap(tokenizer(F.col(hyp)), tokenizer(F.col(ref)), BLEU_ORDER)
 
 
-def _char_sums(df: DataFrame, order: int, system: str | None, hyp: str, ref: str) -> DataFrame:
-    """Sums over sentences; n-grams of a hypothesis count only where the reference has some."""
+def corpus_bleu(df: DataFrame, system: str | None = None, hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a) -> DataFrame:
+    """Every row is a sentence, whatever its id; null texts are empty."""
     groups = [system] if system else []
-    sums = []
-    for n in range(1, order + 1):
-        h, r, m = (F.get("c", F.lit(3 * (n - 1) + k)) for k in range(3))
-        sums += [
-            F.sum(F.when(r > 0, h).otherwise(0)).alias(f"hyp_with_ref{n}"),
-            F.sum(r).alias(f"ref{n}"),
-            F.sum(m).alias(f"match{n}"),
-        ]
-    counted = df.select(*groups, char_overlap(F.col(hyp), F.col(ref), order).alias("c"))
-    return counted.groupBy(*groups).agg(*sums)
+    row = _counted(df, system, w=_words(hyp, ref, tokenizer)).groupBy(*groups).agg(*_overlap_sums("w", BLEU_ORDER))
+    return row.select(*groups, _bleu(BLEU_ORDER).alias("bleu"))
 
 
 def _chrf(order: int, beta: int) -> Column:
@@ -150,14 +95,30 @@ def _chrf(order: int, beta: int) -> Column:
 
 
 def corpus_chrf(df: DataFrame, system: str | None = None, hyp: str = "hyp", ref: str = "gold") -> DataFrame:
-    row = _char_sums(df, CHRF_ORDER, system, hyp, ref)
-    return row.select(*([system] if system else []), _chrf(CHRF_ORDER, CHRF_BETA).alias("chrf"))
+    groups = [system] if system else []
+    counted = _counted(df, system, c=char_overlap(F.col(hyp), F.col(ref), CHRF_ORDER))
+    return counted.groupBy(*groups).agg(*_overlap_sums("c", CHRF_ORDER)).select(*groups, _chrf(CHRF_ORDER, CHRF_BETA).alias("chrf"))
 
 
-def score_systems(df: DataFrame, key: str = "pair_id", system: str = "system", hyp: str = "hyp", ref: str = "gold") -> DataFrame:
-    """BLEU and chrF of every system."""
-    bleu = corpus_bleu(df, key, system, hyp, ref)
-    return bleu.join(corpus_chrf(df, system, hyp, ref), system)
+def score_systems(df: DataFrame, system: str = "system", hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a) -> DataFrame:
+    """BLEU and chrF of every system in one pass, with BLEU's components: precisions in percent, penalty, lengths."""
+    counted = _counted(df, system, w=_words(hyp, ref, tokenizer), c=char_overlap(F.col(hyp), F.col(ref), CHRF_ORDER))
+    sums = counted.groupBy(system).agg(
+        F.struct(*_overlap_sums("w", BLEU_ORDER)).alias("w"), F.struct(*_overlap_sums("c", CHRF_ORDER)).alias("c")
+    )
+    precisions = F.array(*[F.coalesce(100.0 * F.try_divide(f"match{n}", f"hyp{n}"), F.lit(0.0)) for n in range(1, BLEU_ORDER + 1)])
+    bleu = sums.select(system, "c", "w.*").select(
+        system,
+        "c",
+        _bleu(BLEU_ORDER).alias("bleu"),
+        precisions.alias("precisions"),
+        _penalty().alias("brevity_penalty"),
+        F.col("hyp1").alias("hyp_len"),
+        F.col("ref1").alias("ref_len"),
+    )
+    shown = ("bleu", "precisions", "brevity_penalty", "hyp_len", "ref_len")
+    chrf = bleu.select(system, *shown, "c.*").select(system, *shown, _chrf(CHRF_ORDER, CHRF_BETA).alias("chrf"))
+    return chrf.select(system, "bleu", "chrf", *shown[1:])
 
 
 # -- degenerate output --------------------------------------------------------

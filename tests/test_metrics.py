@@ -70,6 +70,18 @@ def test_metrics_equal_plain_python(pairs):
         assert abs(got[system].chrf - plain_chrf(mine)) < 1e-9
 
 
+def test_ids_do_not_matter_and_nulls_are_empty(spark):
+    rows = [("lo gat es negre e", "lo gat es blanc e"), ("lo lo gat es", "gat es lo lo negre"), (None, "lo gat"), ("e blanc", None), (None, None)]
+    df = spark.createDataFrame([(7, 0, *r) for r in rows], "pair_id long, system int, hyp string, gold string")
+    plain = [(h or "", r or "") for h, r in rows]
+    got = metrics.score_systems(df).first()
+    assert abs(got.bleu - plain_bleu(plain)) < 1e-9 and abs(got.chrf - plain_chrf(plain)) < 1e-9
+    assert abs(metrics.corpus_bleu(df).first().bleu - got.bleu) < 1e-12
+    assert got.hyp_len == 11 and got.ref_len == 12 and abs(got.precisions[0] - 100 * 8 / 11) < 1e-9
+    empty = metrics.score_systems(df.where("hyp IS NULL")).first()
+    assert (empty.bleu, empty.chrf, empty.hyp_len, empty.brevity_penalty) == (0.0, 0.0, 0, 0.0)
+
+
 def test_identical_texts_score_100(spark):
     df = spark.createDataFrame([(1, "lo gat es negre .", "lo gat es negre .")], "pair_id long, hyp string, gold string")
     assert abs(metrics.corpus_bleu(df).first().bleu - 100) < 1e-9
