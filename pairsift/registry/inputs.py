@@ -90,7 +90,7 @@ line_pairs AS (
   SELECT doc_id * {PAIR_STRIDE} + k AS pair_id, lines[k + 1] AS src, lines[(k + 1) % len(lines) + 1] AS tgt, lang
   FROM (SELECT doc_id, lang, lines, unnest(range(len(lines))) AS k FROM doc_lines))"""
 
-# (keep the source line, text after it, keep the target line, text after it)
+# (source line or not, text after it, target line or not, text after it)
 PAIR_NOISE = (
     (True, "", True, ""),
     (False, "12345 678 !!", True, ""),
@@ -112,25 +112,37 @@ PAIR_NOISE = (
 )
 
 
+EXTRA = 1 << 31  # added to the id of the pair that an extra pair is made of
+
+
 def noisy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line pair whole, with text after it; where a trigger replaces a side, it is an extra pair beside the whole one."""
     p = line_pairs(spark, sf)
     i = F.col("pair_id")
+    whole = pick([n[0] and n[2] for n in PAIR_NOISE], i)
 
     def side(c: str, keep: int, suffix: int) -> Column:
         kept = pick([n[keep] for n in PAIR_NOISE], i)
         return F.concat(F.when(kept, F.col(c)).otherwise(""), pick([n[suffix] for n in PAIR_NOISE], i))
 
-    return p.select("pair_id", side("src", 0, 1).alias("src"), side("tgt", 2, 3).alias("tgt"))
+    made = F.struct((i + F.when(whole, 0).otherwise(EXTRA)).alias("pair_id"), side("src", 0, 1).alias("src"), side("tgt", 2, 3).alias("tgt"))
+    return p.select(F.inline(F.when(whole, F.array(made)).otherwise(F.array(F.struct("pair_id", "src", "tgt"), made))))
+
+
+def _sql_flags(flags) -> str:
+    flags = ", ".join(str(x).lower() for x in flags)
+    return f"([{flags}])[(pair_id % {len(PAIR_NOISE)} + 1)::INT]"
 
 
 def _sql_side(c: str, keep: int, suffix: int) -> str:
-    flags = "[" + ", ".join(str(n[keep]).lower() for n in PAIR_NOISE) + "]"
-    n = len(PAIR_NOISE)
-    return f"(CASE WHEN ({flags})[(pair_id % {n} + 1)::INT] THEN {c} ELSE '' END) || {sql_pick([x[suffix] for x in PAIR_NOISE], 'pair_id')}"
+    return f"(CASE WHEN {_sql_flags(n[keep] for n in PAIR_NOISE)} THEN {c} ELSE '' END) || {sql_pick([x[suffix] for x in PAIR_NOISE], 'pair_id')}"
 
 
+_WHOLE = _sql_flags(n[0] and n[2] for n in PAIR_NOISE)
 NOISY_PAIRS = f"""{LINE_PAIRS},
-noisy_pairs AS (SELECT pair_id, {_sql_side('src', 0, 1)} AS src, {_sql_side('tgt', 2, 3)} AS tgt FROM line_pairs)"""
+noisy_pairs AS (
+  SELECT CASE WHEN {_WHOLE} THEN pair_id ELSE pair_id + {EXTRA} END AS pair_id, {_sql_side('src', 0, 1)} AS src, {_sql_side('tgt', 2, 3)} AS tgt FROM line_pairs
+  UNION ALL SELECT pair_id, src, tgt FROM line_pairs WHERE NOT {_WHOLE})"""
 
 
 # -- similarities, language labels, names --------------------------------------
