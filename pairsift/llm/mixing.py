@@ -64,11 +64,9 @@ def with_repetitions(docs: DataFrame, weights: dict[str, float], seed: int, by:
     drawn = docs.withColumn("_own", bucket_of(weights, by))
     joined = drawn.join(rates, F.col("_own").eqNullSafe(F.col("_bucket")))
 
-    def one(acc: Column, part: Column) -> Column:
-        u = uniform(f"{seed}", F.col(key), part)
-        return acc + F.size(F.filter("_upto", lambda p: p <= u)).cast("long")
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0).cast("long"), one)
+    # an array of its own: inside the filter, the hash would be made anew for each entry of the table
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: uniform(f"{seed}", F.col(key), part))
+    count = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter("_upto", lambda p: p <= u)).cast("long"))
     return joined.withColumn("_n", count).select(*docs.columns, "_n")
 
 
