@@ -8,12 +8,12 @@
    passage rarely do.
 3. In a tile, sizes and the Hamming distance of the sets' hashed parity bitmaps bound the overlap from
    above: ``|A & B| <= (|A| + |B| - hamming) / 2``. Pairs below the threshold's overlap are ruled out: in tiles by
-   bitmaps of ``LEAST_BITS`` bits, then pair by pair by bitmaps that follow the size of the sets.
+   bitmaps of at most ``SHORT_BITS`` bits, then pair by pair by bitmaps of up to ``MOST_BITS``; they follow the size of the sets.
 4. The others are decided by an exact intersection of their sorted arrays.
 
 Only links that join components matter, so pairs are verified in rounds, and a group of near copies costs about as many
 pairs as it has members. In the first round, each set is paired with the tile leader (the first member) that it shares
-most tiles with. In ``NEAREST_ROUNDS`` further rounds, each set is paired with the nearest member, by bitmaps, of another
+most tiles with. In ``NEAREST_ROUNDS`` further rounds (one), each set is paired with the nearest member, by bitmaps, of another
 component in its tiles. The last round takes all pairs of a tile whose members are still in different
 components and whose bounds allow a link; so no link between components is lost. Tiles are handled in blocks
 of ``BLOCK`` sets, and pairs of blocks are dealt out like tiles; tiles within one component are done.
@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import Seen, keyed_runs, run_starts, text_slices
+from pairsift.llm.common import Seen, keyed_runs, run_starts, text_key, text_slices
 from pairsift.llm.components import components
 from pairsift.llm.words import mix, shingle_sets
 from pairsift.session import checkpoint
 
-LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+LEAST_BITS, SHORT_BITS, MOST_BITS = 1 << 10, 1 << 13, 1 << 16
 BLOCK = 1024
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
+SENT_IDS = 1 << 20  # the most class ids that are broadcast; more are shuffled
 HELD_SHINGLES = 2_000_000  # a task's memory for shingle arrays while it verifies pairs
 _SEED = {name: np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)) for k, name in enumerate(("class", "check", "part", "tile"), 1)}
 
@@ -114,11 +115,11 @@ def folded(bitmaps: list[bytes], bits: int | None = None) -> np.ndarray:
 
 
 def _set_rows(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("bits", pa.binary()), ("short", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("chk", pa.int64()), ("bits", pa.binary()), ("short", pa.binary())])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, t = batch.column("doc_id"), batch.column("t")
+            ids, t, t2 = (batch.column(k) for k in ("doc_id", "t", "t2"))
             for first, texts in text_slices(batch.column("text")):
                 sets = shingle_sets(texts, width)
                 named = [class_of(s) if len(s) else (None, None) for s in sets]
@@ -127,11 +128,12 @@ def _set_rows(width: int):
                     [
                         ids.slice(first, len(texts)),
                         t.slice(first, len(texts)),
+                        t2.slice(first, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([a for a, _ in named], pa.int64()),
                         pa.array([b for _, b in named], pa.int64()),
                         pa.array(maps, pa.binary()),
-                        pa.array([m and folded([m], LEAST_BITS).tobytes() for m in maps], pa.binary()),
+                        pa.array([m and folded([m], min(8 * len(m), SHORT_BITS)).tobytes() for m in maps], pa.binary()),
                     ],
                     schema=schema,
                 )
@@ -247,19 +249,16 @@ def _pair_rows(num: int, den: int, nearest: bool):
     return rows
 
 
-def _class_texts(width: int):
-    """(cls, text) of each class in a batch, packed: a packed text takes a third of the bytes of its shingle array."""
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in batches:
-            for _, texts in text_slices(batch.column("text")):
-                named = [(class_of(s)[0], x) for s, x in zip(shingle_sets(texts, width), texts, strict=True) if len(s)]
-                kept = [(c, zlib.compress(x, 1)) for c, x in named if not seen(c)]
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.binary())], ["cls", "packed"])
-
-    return rows
+def _packed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, t2, packed) of the texts, copies in a task once: a packed text takes a third of the bytes of its shingle array."""
+    seen = Seen()
+    for batch in batches:
+        keys = list(zip(batch.column("t").to_pylist(), batch.column("t2").to_pylist(), strict=True))
+        for first, texts in text_slices(batch.column("text")):
+            kept = [(*keys[i], zlib.compress(x, 1)) for i, x in enumerate(texts, first) if x and not seen(keys[i])]
+            if kept:
+                types = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], ["t", "t2", "packed"])
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -301,19 +300,25 @@ def _possible_rows(num: int, den: int):
     return rows
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _packed_texts(rows: DataFrame, tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, packed): one text of each class that shares a tile with another, packed and shuffled once for all rounds."""
+    named = tiles.select("cls").distinct().join(classes.select("cls", "t", "t2"), "cls")
+    texts = rows.mapInArrow(_packed_rows, "t long, t2 long, packed binary").join(named, ["t", "t2"])
+    return texts.groupBy("cls").agg(F.min("packed").alias("packed"))
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, packed: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose shingle arrays reach the threshold; whole bitmaps rule out most others beforehand.
 
-    Packed texts are shuffled and their arrays made beside the intersection, so that less is written to disk.
+    Packed texts are joined and their arrays made beside the intersection, so that less is written to disk.
     """
     for end in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("cls").alias(end), F.col("n").alias(f"{end}n"), F.col("bits").alias(f"{end}bits")), end)
     pairs = checkpoint(pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(_possible_rows(num, den), "a long, b long"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = ends.join(classes.select("cls", "t"), "cls").select("t").distinct()
-    texts = docs.join(wanted, "t", "left_semi").select("text")
-    packed = texts.mapInArrow(_class_texts(width), "cls long, packed binary")
-    packed = checkpoint(packed.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("packed").alias("packed")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    if pairs.count() * 2 <= SENT_IDS:
+        ends = F.broadcast(ends)
+    packed = packed.join(ends, "cls", "left_semi")
     # by b first: most pairs share their leader a, whose text then needn't be copied for each of them
     right = pairs.join(packed.select(F.col("cls").alias("b"), F.col("packed").alias("right")), "b")
     both = right.join(packed.select(F.col("cls").alias("a"), F.col("packed").alias("left")), "a")
@@ -351,20 +356,21 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
     repeated results. Other columns are not used. An empty table gives an empty result. ``is_copy``: another
     class member (equal shingle sets) has a smaller doc_id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("t"))
-    shape = "doc_id long, t long, n long, cls long, chk long, bits binary, short binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns(dict(zip(("t", "t2"), text_key(F.col("text")), strict=True)))
+    shape = "doc_id long, t long, t2 long, n long, cls long, chk long, bits binary, short binary"
     sets = checkpoint(rows.mapInArrow(_set_rows(width), shape))
-    groups = sets.where("n > 0").groupBy("cls", "chk", "n").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.min("bits").alias("bits"), F.min("short").alias("short"))
-    classes = checkpoint(groups)
+    groups = sets.where("n > 0").groupBy("cls", "chk", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("t", "t2")).alias("t"), F.min("bits").alias("bits"), F.min("short").alias("short"))
+    classes = checkpoint(groups.select("cls", "chk", "n", "rep", "t.t", "t.t2", "bits", "short"))
     keys = rows.select("text").mapInArrow(_key_rows(width, num, den), "key long, cls long")
     tiles = keys.repartition("key").sortWithinPartitions("key", "cls")
     tiles = checkpoint(tiles.mapInArrow(_tile_rows, "tile long, block int, cls long").dropDuplicates(["tile", "block", "cls"]))
+    packed = checkpoint(_packed_texts(rows, tiles, classes))
 
     led = tiles.repartition("tile", "block").sortWithinPartitions("tile", "block", "cls").mapInArrow(_leader_rows, "a long, b long")
     shared = led.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     asked = checkpoint(shared.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
-    links = checkpoint(_verify(asked, classes, rows, width, num, den))
-    found = checkpoint(components(links))
+    found = checkpoint(components(_verify(asked, classes, packed, width, num, den)))
     for turn in range(NEAREST_ROUNDS + 1):
         last = turn == NEAREST_ROUNDS
         tiles = _open_tiles(tiles, found)
@@ -375,9 +381,9 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
         else:
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         asked_now = checkpoint(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
-        links = checkpoint(links.unionByName(_verify(asked_now, classes, rows, width, num, den)))
+        links = _verify(asked_now, classes, packed, width, num, den)
         asked = asked.unionByName(asked_now)
-        found = checkpoint(components(links))
+        found = checkpoint(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
     reps = classes.select("cls", "chk", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
