@@ -38,12 +38,15 @@ CHUNK = 1 << 20
 
 
 def window_anchors(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, place, first window, last window) of the anchors of all windows, in chunks of a long text."""
-    width = length - gram + 1  # grams in a window
+    """(gram hash, place, first window, last window) of the anchors of all windows, in chunks of a long text.
+
+    The last anchor of a chunk waits for the next chunk, whose first windows may have the same one: a place is one row.
+    """
+    width, held = length - gram + 1, None  # grams in a window
     for base in range(0, max(1, len(text) - length + 1), CHUNK):
         part = text[base : base + CHUNK + length - 1]
         if len(part) < length:
-            return
+            break
         sums = prefix_sums(np.frombuffer(part, np.uint8))
         start = np.arange(len(part) - gram + 1)
         hashes = spans_hash(sums, start, start + gram)
@@ -52,7 +55,16 @@ def window_anchors(text: bytes, length: int, gram: int) -> Iterator[tuple[np.nda
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
         at = place[first]
-        yield hashes[at].view(np.int64), at + base, first + base, last + base
+        found = hashes[at].view(np.int64), at + base, first + base, last + base
+        if held is not None:
+            if held[1][0] == found[1][0]:
+                found[2][0] = held[2][0]
+            else:
+                yield held
+        yield tuple(x[:-1] for x in found)
+        held = tuple(x[-1:] for x in found)
+    if held is not None:
+        yield held
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairsift.llm import mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_counts
@@ -110,6 +111,48 @@ def test_removal_equals_brute_force(edge_docs, length, crowd):
     assert got == brute_removal(rows, length)
 
 
+def rows_without_spark(texts, length):
+    """The steps of ``covered`` on one task's batches, with the rows that reach the report."""
+    gram = length // 4
+    ids = range(len(texts))
+    batch = pa.RecordBatch.from_pydict({"c1": pa.array(ids, pa.int64()), "c2": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())})
+    anchors = pa.Table.from_batches(list(suffix_dedup._anchor_rows(length, gram)([batch])))
+    ordered = anchors.sort_by([(k, "ascending") for k in ("g", "c1", "c2", "place")]).combine_chunks().to_batches(max_chunksize=3)
+    per_text = defaultdict(list)
+    for part in suffix_dedup._repeated_rows(20_000)(ordered):
+        for a in part.to_pylist():
+            per_text[a["c1"]].append(a)
+    joined = pa.RecordBatch.from_pylist([{"c1": i, "c2": i, "text": texts[i], "anchors": per_text[i]} for i in per_text])
+    contexts = pa.Table.from_batches(list(suffix_dedup._context_rows(length)([joined])))
+    one_each = list({(c["g"], c["c1"], c["place"]): c for c in contexts.to_pylist()}.values())
+    sorted_rows = pa.RecordBatch.from_pylist(sorted(one_each, key=lambda c: c["g"]), contexts.schema)
+    spans = defaultdict(list)
+    for part in suffix_dedup._cover_rows(length)([sorted_rows]):
+        for c in part.to_pylist():
+            spans[c["c1"]].append((c["start"], c["stop"]))
+    return [suffix_dedup.merged(spans[i]) for i in ids]
+
+
+def test_repeats_at_chunk_boundaries(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    r, length, lost, split = random.Random(11), 80, 0, 0
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    for offset in range(-150, 60, 14):  # a passage that starts shortly before or behind byte k * 1000
+        passages = [word(r.randint(length, 140)) for _ in range(4)]
+        whole = word(1000 + offset)
+        for p in passages[1:]:
+            whole += p
+            whole += word(-(len(whole) - offset) % 1000)
+        texts = [word(1000 + offset) + passages[0] + word(900), whole, *[word(30) + p + word(30) for p in passages]]
+        seen = Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+        brute = [suffix_dedup.merged([(k, k + length) for k in range(len(t) - length + 1) if seen[t[k : k + length]] > 1]) for t in texts]
+        lost += rows_without_spark(texts, length) != brute
+        for t in texts:  # each window has one anchor, and one place is one row
+            _, place, first, last = (np.concatenate(x) for x in zip(*suffix_dedup.window_anchors(t.encode(), length, length // 4), strict=True))
+            split += len(set(place)) < len(place) or (first[1:] != last[:-1] + 1).any() or last[-1] != len(t) - length
+    assert (lost, split) == (0, 0)
+
+
 def test_removal_of_overlapping_partial_matches(spark):
     r = random.Random(5)
     a, b, c = ("".join(r.choice("abcdef") for _ in range(90)) for _ in range(3))
