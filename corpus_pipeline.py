@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsift.llm import mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup
-from pairsift.llm.settings import MIX_SEED, MIX_WEIGHTS, REPEAT_BYTES, tokenizer_file
+from pairsift.llm.settings import MIX_SEED, MIX_WEIGHTS, REPEAT_BYTES, REPEAT_WORDS, tokenizer_file
 from pairsift.session import scratch_path
 
 
@@ -25,8 +25,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of ``REPEAT_BYTES`` bytes or more that also start anywhere else."""
-    return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES)
+    """Texts without the strings of ``REPEAT_BYTES`` bytes or ``REPEAT_WORDS`` words or more that also start anywhere else."""
+    return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, words=REPEAT_WORDS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 # target shares of bytes; all other sources share the rest
 MIX_WEIGHTS = {"src0": 0.25, "src1": 0.10, "src2": 0.05, "src3": 0.05}
 MIX_SEED = 1
-REPEAT_BYTES = 256  # under 50 words of five letters
+# a repeated string is cut when it has so many bytes, or so many words in fewer bytes
+REPEAT_BYTES = 256
+REPEAT_WORDS = 50
 
 
 def tokenizer_file(name: str) -> str:

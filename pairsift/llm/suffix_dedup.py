@@ -12,6 +12,8 @@
    Every comparison is made on bytes.
 4. Groups with more than ``CROWD`` contexts don't fit one task. Their windows are named by 128-bit hashes and
    counted by Spark with partial aggregation instead, so a passage of a third of all documents is spread.
+5. With ``words``, runs of so many words repeat too, however short the words are. Those of ``length`` bytes or more
+   are found above; the few shorter ones are named by 128-bit hashes and counted in the same way.
 
 Whole copies are counted beforehand; each distinct text takes part once.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pairsift.llm.common import Seen, keyed_runs, run_starts, text_key, text_slices
 from pairsift.llm.deep_shallow import common_prefix, deep_shallow_order
-from pairsift.llm.words import prefix_sums, spans_hash
+from pairsift.llm.words import SPACE, prefix_sums, spans_hash, word_spans
 from pairsift.session import checkpoint
 
 CROWD = 20_000
@@ -275,8 +277,64 @@ def _crowd_cover(contexts: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, "name").select("c1", "c2", "start", (F.col("start") + length).alias("stop"))
 
 
-def covered(texts: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(c1, c2, spans) for the distinct texts that share a string of ``length`` bytes; ``texts``: c1, c2, text."""
+def short_runs(text: bytes, length: int, words: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of each run of ``words`` words that has under ``length`` bytes, in chunks of a long text."""
+    start, stop = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        while end < len(text) and text[end] not in SPACE:  # no word is cut
+            end += 1
+        a, b = word_spans(np.frombuffer(text, np.uint8, end - at, at))
+        start, stop = np.concatenate((start, a + at)), np.concatenate((stop, b + at))
+        if len(start) >= words:
+            first, last = start[: len(start) - words + 1], stop[words - 1 :]
+            short = last - first < length
+            yield from zip(first[short].tolist(), last[short].tolist(), strict=True)
+            start, stop = start[len(first) :], stop[len(first) :]
+        at = end
+
+
+RUN = "c1 long, c2 long, start int, stop int, name binary"
+
+
+def _run_rows(length: int, words: int):
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("name", pa.binary())])
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            c1, c2 = batch.column("c1").to_pylist(), batch.column("c2").to_pylist()
+            out: list[tuple] = []
+
+            def packed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+            for begin, texts in text_slices(batch.column("text")):
+                for i, text in enumerate(texts, begin):
+                    if len(text) < 2 * words - 1 or seen((c1[i], c2[i])):
+                        continue
+                    for a, b in short_runs(text, length, words):
+                        out.append((c1[i], c2[i], a, b, hashlib.blake2b(text[a:b], digest_size=16).digest()))
+                        if len(out) == 50_000:
+                            yield packed()
+                            out.clear()
+            if out:
+                yield packed()
+
+    return rows
+
+
+def _short_run_cover(texts: DataFrame, length: int, words: int) -> DataFrame:
+    """(c1, c2, start, stop) of the short runs of words that also start anywhere else."""
+    runs = checkpoint(texts.where(F.octet_length("text") >= 2 * words - 1).mapInArrow(_run_rows(length, words), RUN))
+    place = F.struct("c1", "c2", "start")  # a text that several tasks read gives the same place again
+    twice = runs.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("name")
+    return runs.join(twice, "name").select("c1", "c2", "start", "stop")
+
+
+def covered(texts: DataFrame, length: int, crowd: int, words: int | None = None) -> DataFrame:
+    """(c1, c2, spans) for the distinct texts that share a string of ``length`` bytes or ``words`` words; ``texts``: c1, c2, text."""
     gram = max(1, length // 4)
     anchors = texts.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), ANCHOR)
     repeated = (
@@ -289,6 +347,8 @@ def covered(texts: DataFrame, length: int, crowd: int) -> DataFrame:
     contexts = checkpoint(contexts.dropDuplicates(["g", "c1", "c2", "place"]))
     few = contexts.where("NOT crowded").repartition("g").sortWithinPartitions("g").mapInArrow(_cover_rows(length), COVER)
     spans = few.unionByName(_crowd_cover(contexts.where("crowded"), length))
+    if words:
+        spans = spans.unionByName(_short_run_cover(texts, length, words))
     return spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
@@ -303,17 +363,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = CROWD, words: int | None = None) -> DataFrame:
     """``docs`` (any columns, one of them ``text``) with ``_spans``: the byte spans to remove, unmerged, or null.
 
     A span covers bytes of strings of ``length`` UTF-8 bytes that also start anywhere else, in the same text or in
-    another row; strings never cross rows. Judged on the input. A null or short text has none.
+    another row; strings never cross rows. Judged on the input. A null or short text has none. With ``words``, runs of
+    so many words (of bytes but ASCII white space) count as well, with the white space between them.
     """
     keyed = docs.withColumns(dict(zip(("_c1", "_c2"), text_key(F.col("text")), strict=True)))
     texts = keyed.select(F.col("_c1").alias("c1"), F.col("_c2").alias("c2"), F.col("text").cast("string").alias("text"))
-    copies = texts.where(F.octet_length("text") >= length).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("stop")))
-    marks = copies.select("c1", "c2", whole.alias("whole")).join(covered(texts, length, crowd), ["c1", "c2"], "full")
+    size, blank = F.octet_length("text"), F.lit(SPACE.decode())
+    enough, start, stop = size >= length, F.lit(0), size
+    if words:  # a shorter text repeats from its first word to its last
+        many = F.size(F.split(F.trim("text", blank), f"[{SPACE.decode()}]+")) >= words
+        start = F.when(enough, 0).otherwise(size - F.octet_length(F.ltrim("text", blank)))
+        stop = F.when(enough, size).otherwise(F.octet_length(F.rtrim("text", blank)))
+        enough = F.when(enough, True).when(size >= 2 * words - 1, many).otherwise(False)
+    copies = texts.where(enough).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max(start).alias("start"), F.max(stop).alias("stop")).where("n > 1")
+    whole = F.array(F.struct("start", "stop"))
+    marks = copies.select("c1", "c2", whole.alias("whole")).join(covered(texts, length, crowd, words), ["c1", "c2"], "full")
     marks = marks.select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("whole", "spans").alias("_spans"))
     return keyed.join(marks, ["_c1", "_c2"], "left").drop("_c1", "_c2")
 
@@ -361,11 +429,11 @@ def removal_report(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> Da
     return repeated_spans(rows, length, crowd).select("doc_id", "text", "_spans").mapInArrow(_digest_rows, shape)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = CROWD, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated strings cut from ``text``; all rows and other columns stay as they are.
 
     A multi-byte character of which a part is removed goes as a whole. A text that is all repeats becomes empty.
     """
-    marked = repeated_spans(docs, length, crowd)
+    marked = repeated_spans(docs, length, crowd, words)
     kept = marked.select(*docs.columns, "_spans").mapInArrow(_kept_texts, docs.schema)
     return kept

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from pairsift.llm import mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_counts
 from pairsift.llm.deep_shallow import common_prefix, deep_shallow_order
 from pairsift.llm.settings import tokenizer_file
@@ -171,6 +172,38 @@ def test_repeats_are_cut_from_texts(edge_docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs, 256).count() == suffix_dedup.removal_report(no_docs).count() == 0
 
 
+def test_repeats_of_many_short_words(spark, monkeypatch):
+    r, length, least = random.Random(2), 256, 50
+    say = lambda n, long: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, long))) for _ in range(n))
+    a, b, c, d = say(51, 4), say(50, 2), say(49, 3), say(60, 9)
+    assert len(a) < length and len(b) < length and len(c) < length
+    texts = [say(30, 6) + " " + a + "\n" + say(9, 5), "\t" + a + "  " + say(7, 7), b + "  ", say(80, 3) + " " + b, c, "x " + c, d + " é", d, " " + b + " \n", " " + b + " \n"]
+    texts += [say(20, 8) + " " + a + "z " + a[:150], None, c, c, "one two", "日 " * 70, a.replace(" ", "  "), (say(4, 1) + " ") * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = [(t or "").encode() for t in texts]
+    runs = []
+    for t in rows:
+        at = [m.span() for m in WORD.finditer(t)]
+        runs.append([(k, k + length) for k in range(len(t) - length + 1)] + [(at[k][0], at[k + least - 1][1]) for k in range(len(at) - least + 1)])
+    seen = Counter(t[x:y] for t, spans in zip(rows, runs, strict=True) for x, y in spans)
+    want = {i: suffix_dedup.cut(t, suffix_dedup.merged([(x, y) for x, y in set(s) if seen[t[x:y]] > 1])).decode() for i, (t, s) in enumerate(zip(rows, runs, strict=True))}
+    got = {x["doc_id"]: x["text"] or "" for x in suffix_dedup.remove_repeats(docs, length, words=least).collect()}
+    assert got == want and a not in got[0] and a not in got[1] and b not in got[3]
+    assert got[4] == c and got[12] == c  # 49 words of under 256 bytes stay
+    text = " ".join(say(400, 4).split()).encode()
+    plain = list(suffix_dedup.short_runs(text, length, least))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 70)
+    assert plain and list(suffix_dedup.short_runs(text, length, least)) == plain
+
+
+def test_pipeline_cuts_passages_of_short_words(spark):
+    passage = " ".join(f"w{k}" for k in range(51))
+    assert len(passage) < 256 and len(passage.split()) == 51
+    docs = spark.createDataFrame([(1, "first head " + passage + " one tail"), (2, "other start " + passage + " two ends")], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, SF).collect()}
+    assert kept == {1: "first head  one tail", 2: "other start  two ends"}
+
+
 def test_deep_shallow_sorts():
     r = random.Random(3)
     for _ in range(30):
