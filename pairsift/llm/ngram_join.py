@@ -346,16 +346,8 @@ def _dealt(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.repartition("tile", "block", "other").sortWithinPartitions("tile", "block", "other", "cls")
 
 
-def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, is_copy) per row of ``docs`` (doc_id long, text string).
-
-    Links: Jaccard similarity of the shingle sets >= num / den. component_id is the smallest doc_id reachable by
-    links. Words are runs of non-white-space bytes, A-Z lower-cased. Fewer words than ``width`` make one shingle;
-    a null, empty or blank text has none and is linked with nothing (its component is its own doc_id). Rows with a
-    null doc_id keep it; their component is the smallest known id of their group, or null. Repeated rows give
-    repeated results. Other columns are not used. An empty table gives an empty result. ``is_copy``: another
-    class member (equal shingle sets) has a smaller doc_id.
-    """
+def _grouped_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, t, t2, n, rep, root, component_id) per row of ``docs``; t, t2: the text's key, ``root`` names the component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns(dict(zip(("t", "t2"), text_key(F.col("text")), strict=True)))
     shape = "doc_id long, t long, t2 long, n long, cls long, chk long, bits binary, short binary"
@@ -387,8 +379,21 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
 
     reps = classes.select("cls", "chk", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = reps.join(least, "root").select("cls", "chk", "rep", "component_id")
-    return sets.join(named, ["cls", "chk"], "left").select(
+    named = reps.join(least, "root").select("cls", "chk", "rep", "root", "component_id")
+    return sets.join(named, ["cls", "chk"], "left").select("doc_id", "t", "t2", "n", "rep", "root", "component_id")
+
+
+def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, is_copy) per row of ``docs`` (doc_id long, text string).
+
+    Links: Jaccard similarity of the shingle sets >= num / den. component_id is the smallest doc_id reachable by
+    links. Words are runs of non-white-space bytes, A-Z lower-cased. Fewer words than ``width`` make one shingle;
+    a null, empty or blank text has none and is linked with nothing (its component is its own doc_id). Rows with a
+    null doc_id keep it; their component is the smallest known id of their group, or null. Repeated rows give
+    repeated results. Other columns are not used. An empty table gives an empty result. ``is_copy``: another
+    class member (equal shingle sets) has a smaller doc_id.
+    """
+    return _grouped_rows(docs, width, num, den).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -399,10 +404,14 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id.
 
-    Repeated rows of that id become one. Rows with a null doc_id can't be told apart and stay, as do texts
-    without words.
+    Rows are told apart by doc_id and text: repeated rows become one, and of different texts in a group under its
+    smallest doc_id one stays; a text of another group stays whatever its doc_id. Rows with a null doc_id can't be told
+    apart and stay, as do texts without words.
     """
-    groups = ngram_jaccard_groups(docs, width, num, den)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    groups = _grouped_rows(docs, width, num, den).where("doc_id IS NOT NULL")
+    place = F.min(F.struct("t", "t2")).alias("first")
+    firsts = groups.where("n > 0 AND doc_id = component_id").groupBy("root", "doc_id").agg(place).select("doc_id", "first.t", "first.t2")
+    stay = firsts.unionByName(groups.where("n = 0").select("doc_id", "t", "t2")).withColumnsRenamed({"t": "_t", "t2": "_t2"})
+    keyed = docs.withColumns(dict(zip(("_t", "_t2"), text_key(F.col("text").cast("string")), strict=True)))
+    known = keyed.join(stay, ["doc_id", "_t", "_t2"], "left_semi").dropDuplicates(["doc_id", "_t", "_t2"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

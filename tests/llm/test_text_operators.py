@@ -95,6 +95,14 @@ def test_near_copies_leave_one_of_each_group(edge_docs, no_docs):
     assert ngram_join.drop_near_copies(no_docs).count() == 0
 
 
+def test_near_copies_with_one_id_and_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (2, c), (3, c + " end"), (3, c), (4, ""), (4, " "), (4, ""), (None, a)]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (2, c), (4, ""), (4, " "), (None, a)], key=repr)
+
+
 def brute_removal(rows, length):
     seen = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
     out = []
