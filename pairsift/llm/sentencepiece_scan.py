@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsift.llm.common import text_key
@@ -314,6 +314,11 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(_decoded_rows(model), shape)
 
 
+def round_trip() -> Column:
+    """Whether ``decoded`` is ``text``; null text is empty."""
+    return F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+
+
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [np.asarray(x.values, np.int32).tobytes() for x in batch.column("ids")]
@@ -325,5 +330,4 @@ def piece_report(docs: DataFrame, model: str, unigram: bool = False, chunk: int
     """(doc_id, n_pieces, ids_sha256 of the ids as little-endian int32, round_trip: decoding gives the text back)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = decode_pieces(encode_pieces(rows, model, unigram, chunk), model)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return both.select("doc_id", "ids", same.alias("same")).mapInArrow(_digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+    return both.select("doc_id", "ids", round_trip().alias("same")).mapInArrow(_digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")

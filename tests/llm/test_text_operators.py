@@ -350,3 +350,40 @@ def test_pieces_of_giant_documents(edge_docs, no_docs):
     report = sentencepiece_scan.piece_report(edge_docs, path, chunk=1000)
     assert all(r["round_trip"] for r in report.collect())
     assert sentencepiece_scan.piece_report(no_docs, path).count() == 0
+
+
+def test_pipeline_rows_equal_a_brute_force_chain(spark, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(51))
+    near = " ".join(f"near{k} copy{k % 9}" for k in range(120))
+    more = [(-1, near), (-2, near + " end"), (-3, "alone " + passage + " here"), (-4, "elsewhere ▁ " + passage + " é日本 there"), (-5, None), (-6, "")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.limit(60).collect()
+    names = docs.columns
+    filled = [tuple({**first[0].asDict(), "doc_id": i, "text": t}[c] for c in names) for i, t in more]
+    docs = spark.createDataFrame([tuple(r) for r in first] + filled, docs.schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    good = corpus_pipeline.reject_low_quality(spark, docs, str(tmp_path)).collect()
+    rows = [(r["doc_id"], r["text"]) for r in good]
+    least = {d: c for d, _, c in brute_groups(rows, 5, 4, 5)}
+    rows = [(d, t) for d, t in rows if least[d] == d]
+    texts, runs = [(t or "").encode() for _, t in rows], []
+    for t in texts:
+        at = [m.span() for m in WORD.finditer(t)]
+        runs.append({*((k, k + 256) for k in range(len(t) - 255)), *((at[k][0], at[k + 49][1]) for k in range(len(at) - 49))})
+    seen = Counter(t[x:y] for t, spans in zip(texts, runs, strict=True) for x, y in spans)
+    cut = {d: suffix_dedup.cut(t, suffix_dedup.merged([s for s in spans if seen[t[s[0] : s[1]]] > 1])).decode(errors="ignore") for (d, _), t, spans in zip(rows, texts, runs, strict=True)}
+    whole = {r["doc_id"]: r for r in good}
+    kept = [tuple({**whole[d].asDict(), "text": cut[d] if t is not None else None}[c] for c in names) for d, t in rows]
+    mixed = corpus_pipeline.mix_to_weights(spark, spark.createDataFrame(kept, docs.schema), SF).collect()
+    p = sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model")).model
+    want = []
+    for r in mixed:
+        ids = p.encode(r["text"] or "")
+        want.append((r["doc_id"], r["source"], ids, len(ids), p.decode(ids) == (r["text"] or "").replace("▁", " ")))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "ids", "n_pieces", "round_trip"]
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got == sorted(want, key=repr) and all(r[4] for r in got)
