@@ -215,32 +215,53 @@ def _small_rows(path: str, unigram: bool):
     return rows
 
 
+CHUNK_ROW = "c1 long, c2 long, k int, size int, far int, body string"
+
+
+def text_chunks(p: Pieces, text: str, chunk: int) -> Iterator[tuple[int, int, str | None]]:
+    """(size, how far the last edge reaches over the end, body) of each chunk of a text.
+
+    A chunk that lies within one unit has no body, as nothing starts in it.
+    """
+    whole = text_body(text)
+    ahead = 1  # the first cut behind the start of the chunk; text_body has one there
+    for start in range(0, len(whole) - 1, chunk):
+        size = min(chunk, len(whole) - 1 - start)
+        if p.unigram:
+            yield size, 0, whole[start : start + 2 + size + p.longest]
+            continue
+        starts = ahead <= start + size
+        if starts:
+            cut = _CUT.search(whole, start + 1 + size)
+            ahead = cut.end() if cut else len(whole)
+        yield size, ahead - 1 - start - size, whole[start : ahead + 1] if starts else None
+
+
 def _chunk_rows(path: str, unigram: bool, chunk: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path, unigram)
         for batch in batches:
             for c1, c2, text in zip(*(batch.column(k).to_pylist() for k in ("c1", "c2", "text")), strict=True):
-                whole, out = text_body(text), ([], [], [], [], [])
-                for k, start in enumerate(range(0, len(whole) - 1, chunk)):
-                    size = min(chunk, len(whole) - 1 - start)
-                    if unigram:
-                        stop = start + 1 + size + p.longest
-                    else:
-                        cut = _CUT.search(whole, start + 1 + size)
-                        stop = cut.end() if cut else len(whole)
-                    for column, value in zip(out, (c1, c2, k, size, whole[start : stop + 1]), strict=True):
+                out = ([], [], [], [], [], [])
+                for k, (size, far, body) in enumerate(text_chunks(p, text, chunk)):
+                    for column, value in zip(out, (c1, c2, k, size, far, body), strict=True):
                         column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["c1", "c2", "k", "size", "body"])
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["c1", "c2", "k", "size", "far", "body"])
 
     return rows
 
 
+def chunk_matrix(p: Pieces, size: int, far: int, body: str | None) -> Matrix:
+    return {(size + far, far): 0.0} if body is None else p.matrix(body, size)
+
+
 def _matrix_rows(path: str, unigram: bool):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path, unigram)
         for batch in batches:
-            ms = [[{"e": e, "x": x, "s": s} for (e, x), s in p.matrix(b, n).items()] for b, n in zip(batch.column("body").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+            args = zip(*(batch.column(k).to_pylist() for k in ("size", "far", "body")), strict=True)
+            ms = [[{"e": e, "x": x, "s": s} for (e, x), s in chunk_matrix(p, *a).items()] for a in args]
             kind = pa.list_(pa.struct([("e", pa.int32()), ("x", pa.int32()), ("s", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("c1", "c2", "k")], pa.array(ms, kind)], ["c1", "c2", "k", "matrix"])
 
@@ -262,7 +283,7 @@ def _trace_rows(path: str, unigram: bool):
         p = load(path, unigram)
         for batch in batches:
             args = zip(*(batch.column(k).to_pylist() for k in ("body", "entry", "size", "leave")), strict=True)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("c1", "c2", "k")], _ids_array([p.trace(*a) for a in args])], ["c1", "c2", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("c1", "c2", "k")], _ids_array([b"" if a[0] is None else p.trace(*a) for a in args])], ["c1", "c2", "k", "ids"])
 
     return rows
 
@@ -282,7 +303,7 @@ def encode_pieces(docs: DataFrame, model: str, unigram: bool = False, chunk: int
 
     large = docs.where(giant).withColumns(dict(zip(("_c1", "_c2"), text_key(F.col("text")), strict=True)))
     texts = large.select(F.col("_c1").alias("c1"), F.col("_c2").alias("c2"), "text")
-    chunks = texts.mapInArrow(_chunk_rows(model, unigram, chunk), "c1 long, c2 long, k int, size int, body string")
+    chunks = texts.mapInArrow(_chunk_rows(model, unigram, chunk), CHUNK_ROW)
     chunks = checkpoint(chunks.dropDuplicates(["c1", "c2", "k"]))
     matrices = chunks.mapInArrow(_matrix_rows(model, unigram), "c1 long, c2 long, k int, matrix array<struct<e:int,x:int,s:double>>")
     states = matrices.groupBy("c1", "c2").agg(F.collect_list(F.struct("k", "matrix")).alias("chunks"))

@@ -323,6 +323,22 @@ def test_bpe_scan_equals_the_library():
         assert not t or all(chunked(p, t, n) == want for n in (1, 3, 7))
 
 
+def test_chunks_within_one_unit_carry_no_text():
+    p = sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    r = random.Random(6)
+    giants = ["".join(r.choice("abcXYZ019+/") for _ in range(5000)), "日本語" * 900, "a b " + "q" * 3000 + "  c d", "q" * 3000 + " " + "z" * 999, "▁" * 500 + "x" * 700]
+    for t in giants + [x for x in TEXTS if x]:
+        for size in (1, 7, 100):
+            batch = pa.RecordBatch.from_pydict({"c1": pa.array([1], pa.int64()), "c2": pa.array([2], pa.int64()), "text": [t]})
+            chunks = next(sentencepiece_scan._chunk_rows(tokenizer_file("piece_bpe_32k.model"), False, size)([batch]))
+            assert sum(len(b or "") for b in chunks.column("body").to_pylist()) <= 2 * len(t) + 4 * chunks.num_rows
+            (matrices,) = sentencepiece_scan._matrix_rows(tokenizer_file("piece_bpe_32k.model"), False)([chunks])
+            states = sentencepiece_scan.best_states([{(m["e"], m["x"]): m["s"] for m in ms} for ms in matrices.column("matrix").to_pylist()])
+            traced = chunks.append_column("entry", pa.array([e for e, _ in states], pa.int32())).append_column("leave", pa.array([x for _, x in states], pa.int32()))
+            (ids,) = sentencepiece_scan._trace_rows(tokenizer_file("piece_bpe_32k.model"), False)([traced])
+            assert sum(ids.column("ids").to_pylist(), []) == p.model.encode(t)
+
+
 def test_unigram_scan_reaches_the_library_score(unigram_proto):
     p = sentencepiece_scan.Pieces(model_proto=unigram_proto, unigram=True)
     for t in [x for x in TEXTS if x and not re.search("[^a-zA-Z ▁.]", x)]:
