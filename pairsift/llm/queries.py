@@ -8,7 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsift.llm import block_join, html_main, mixing, ngram_join, pivot_topk, quality, sentencepiece_scan, sharding, suffix_dedup, token_counts
+from pairsift.llm import (
+    block_join, html_main, mixing, ngram_join, pivot_topk, prefix_trie, quality, sentencepiece_scan, sharding, suffix_dedup, token_alignment, token_counts, toxicity,
+)
 from pairsift.llm.settings import MIX_SEED, MIX_WEIGHTS, tokenizer_file
 
 
@@ -56,6 +58,18 @@ def op10_block_join(spark: SparkSession, sf: str) -> DataFrame:
     return block_join.nearest_by_cosine(table(spark, sf, "embeddings"), k=5, every=50)
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -138,11 +152,39 @@ scores AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) /
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5"""
 
+# the digits' CRC-32, bit by bit; prefixes are named by the MD5 of their turns, and subtree totals walk up from each node along its first member
+OP12_SQL = """WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, count(*) AS n, c - c % 100 AS root, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) % 6 AS h
+  FROM own GROUP BY c),
+made AS (
+  SELECT convs.c, i, role, text FROM convs JOIN own ON own.c = root AND i < h
+  UNION ALL SELECT convs.c, i + 6, role, text FROM convs JOIN own ON own.c = convs.c AND i >= h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, text, md5(length(role) || ':' || role || text) AS t FROM made),
+marked AS (SELECT c, d, length(text) AS chars, md5(string_agg(t, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM placed),
+rows AS (
+  SELECT c, d, chars, k, lag(k, 1, 'root') OVER (PARTITION BY c ORDER BY d) AS up FROM marked
+  UNION ALL SELECT c, 0, 0, 'root', NULL FROM convs),
+lens AS (SELECT c, max(d) AS len FROM rows GROUP BY c),
+nodes AS (
+  SELECT k, any_value(up) AS up, min(d) AS d, min(c) AS c, count(*) AS n, min(chars) AS chars FROM rows GROUP BY k),
+kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+sums AS (
+  SELECT r.k, sum(CASE WHEN kids.up IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((u.n - 1) * u.chars)::BIGINT AS saved_tokens
+  FROM nodes u LEFT JOIN kids ON kids.up = u.k JOIN rows r ON r.c = u.c AND r.d <= u.d GROUP BY r.k),
+ends AS (SELECT k, sha256(string_agg(r.c::VARCHAR, ',' ORDER BY r.c)) AS e FROM rows r JOIN lens ON lens.c = r.c AND len = d GROUP BY k)
+SELECT x.c AS conv_id, x.d AS depth, p.c AS parent_conv_id, x.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+  coalesce(e, sha256('')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.k = x.up LEFT JOIN kids ON kids.up = x.k JOIN sums ON sums.k = x.k LEFT JOIN ends ON ends.k = x.k"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_token_counts, op3_suffix_dedup, op4_quality, op5_mix_sources, op6_main_text,
-        op7_exact_top_k, op8_sentencepiece, op9_shards, op10_block_join, pipeline,
+        op7_exact_top_k, op8_sentencepiece, op9_shards, op10_block_join, op11_toxicity, op12_prefix_trie, op13_token_alignment, pipeline,
     )
 }
 
@@ -152,4 +194,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op10_block_join": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op10_block_join": OP10_SQL, "op12_prefix_trie": OP12_SQL}
