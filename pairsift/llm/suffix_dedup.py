@@ -129,9 +129,9 @@ def _repeated_rows(crowd: int):
             sizes = np.diff(starts)
             keep = np.repeat(sizes > 1, sizes)
             mark = np.repeat(sizes > crowd, sizes)
+            keep[: starts[1]] = keep[starts[-2] :] = False  # the first and the last run may go on in another batch
             for k, end in ((0, starts[1]), (len(sizes) - 1, len(g))) if len(sizes) > 1 else ((0, len(g)),):
                 part = batch.slice(starts[k], end - starts[k])
-                keep[starts[k] : end] = False  # the first and the last run may go on in another batch
                 if g[starts[k]] != gram:
                     for x in held:
                         if many > 1:

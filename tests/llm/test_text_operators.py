@@ -142,6 +142,32 @@ def rows_without_spark(texts, length):
     return [suffix_dedup.merged(spans[i]) for i in ids]
 
 
+def test_each_repeated_anchor_is_given_once_over_batches():
+    r = random.Random(4)
+    for size, crowd in ((1, 3), (3, 3), (7, 4), (20, 6), (1000, 6)):
+        rows = sorted({(r.choice([1, 2, 2, 2, 3, 4, 4, 5, 6, 7 + r.randint(0, 40)]), r.randint(0, 9), 0, r.randint(0, 9)) for _ in range(300)})
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
+        table = pa.Table.from_arrays([*columns, pa.array([0] * len(rows)), pa.array([0] * len(rows))], ["g", "c1", "c2", "place", "first", "last"])
+        got = [a for part in suffix_dedup._repeated_rows(crowd)(table.to_batches(max_chunksize=size)) for a in part.to_pylist()]
+        times = Counter(g for g, *_ in rows)
+        want = [(*x, times[x[0]] > crowd) for x in rows if times[x[0]] > 1]
+        assert sorted((a["g"], a["c1"], a["c2"], a["place"], a["crowded"]) for a in got) == want
+
+
+def test_crowded_grams_over_small_batches(spark):
+    r = random.Random(8)
+    hot = ["".join(r.choice("abcdef") for _ in range(120)) for _ in range(3)]
+    texts = ["".join(r.choice("ghijkl") for _ in range(r.randint(5, 60))) + r.choice(hot)[r.randint(0, 30) :] + str(k) for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        got = sorted((tuple(x) for x in suffix_dedup.removal_report(docs, 60, 15).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_removal([(k, t.encode()) for k, t in enumerate(texts)], 60)
+
+
 def test_repeats_at_chunk_boundaries(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
     r, length, lost, split = random.Random(11), 80, 0, 0
