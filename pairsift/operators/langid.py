@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import text as tx
 from pairsift.operators.aligning import lookup_language_name
-from pairsift.operators.skew import spread_lookup
 from pairsift.profile import ENGLISH_OCCITAN, LangProfile
 from pairsift.session import materialise
 
@@ -18,72 +18,106 @@ MIN_PROB = 0.05
 TOP_LABELS = 5
 
 
+# a broadcast table of gains holds at most so many numbers (tokens times labels); other tokens are looked up by a shuffle
+BROADCAST_GAINS = 4_000_000
+
+
 @dataclass(frozen=True)
 class TokenModel:
-    """``labels``: one row per language (label, prior, unseen). ``gains``: one row per token and
-    language that has it, (tok, label, gain), the log-probability gain over an unseen token."""
+    """``names``: the labels in order, null last; ``priors`` and ``unseen``: one number for each.
+
+    ``gains``: one row per token, (tok, n, gain), where ``gain`` is an array in label order: the log-probability gain over an
+    unseen token, 0 where the label lacks it, and ``n`` how often the token was seen. ``least``: tokens seen so often or
+    oftener are few enough to be broadcast (None: all are).
+    """
 
-    labels: DataFrame
+    names: tuple[str | None, ...]
+    priors: tuple[float, ...]
+    unseen: tuple[float, ...]
     gains: DataFrame
+    least: int | None = None
+
+    def rows(self) -> DataFrame:
+        """(label, tok, log_prob) of every token that a label has."""
+        each = F.posexplode("gain").alias("at", "gain")
+        seen = self.gains.select("tok", each).where("gain > 0")
+        return seen.select(_at(self.names, "at").alias("label"), "tok", (F.col("gain") + _at(self.unseen, "at")).alias("log_prob"))
+
+
+def _at(values: tuple, place: str) -> Column:
+    return F.array(*[F.lit(v) for v in values])[F.col(place)]
 
 
-def _exploded(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per token; blanks are dropped after the explode, inside generated code."""
-    return df.select(*keep, F.explode(tx.split_blank(F.lower(text))).alias("tok")).where("tok <> ''")
+def _exploded(df: DataFrame, text: str, *keep: str, outer: bool = False) -> DataFrame:
+    """One row per token; blanks are dropped after the explode, inside generated code (with ``outer`` they stay)."""
+    explode = F.explode_outer if outer else F.explode
+    toks = df.select(*keep, explode(tx.split_blank(F.lower(text))).alias("tok"))
+    return toks if outer else toks.where("tok <> ''")
 
 
-def langid_train(df: DataFrame, text: str = "text", label: str = "label") -> TokenModel:
+def langid_train(df: DataFrame, text: str = "text", label: str = "label", broadcast_gains: int = BROADCAST_GAINS) -> TokenModel:
     """Per-language token log-probabilities with add-one smoothing.
 
-    Counting combines on the map side, so neither a hot token nor a hot language matters.
-    The counts are written once; everything else in the model is derived from them.
+    Counting combines on the map side, so neither a hot token nor a hot language matters. The counts are written once; the rest
+    of the model is derived from them. Only one row per language and a histogram of token counts (at most 64 rows)
+    reach the driver. Languages without any token are left out, as they have no room for an unseen one.
     """
     counts = materialise(
         _exploded(df, text, label).groupBy(label, "tok").agg(F.count(F.lit(1)).alias("n")), "token-counts"
     )
-    vocabulary = counts.groupBy("tok").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("v")).scalar()
-    sizes = counts.groupBy(label).agg(F.sum("n").alias("n_tokens"))
-    docs = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    labels = (
-        docs.join(sizes, label, "left")
-        .withColumn("_room", F.coalesce("n_tokens", F.lit(0)) + vocabulary)
-        .select(
-            F.col(label).alias("label"),
-            F.ln(F.col("n_docs") / total).alias("prior"),
-            (-F.ln("_room")).alias("unseen"),
-        )
-    )
-    gains = counts.select("tok", F.col(label).alias("label"), F.ln(F.col("n") + 1).alias("gain"))
-    return TokenModel(labels, gains)
+    sizes = {r[0]: r[1] for r in counts.groupBy(label).agg(F.sum("n")).collect()}  # one row per language
+    docs = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    names = tuple(sorted(sizes, key=lambda x: (x is None, x or "")))
+    seen = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(x)), F.col("n"))), F.lit(0)) for x in names]
+    made = counts.groupBy("tok").agg(F.sum("n").alias("n"), F.array(*[F.ln(x + 1) for x in seen]).alias("gain")) if names else None
+    gains = materialise(made if names else counts.selectExpr("tok", "n", "array(0D) AS gain"), "token-gains")
+    steps = {r["step"]: r["k"] for r in gains.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    vocabulary, room = sum(steps.values()), broadcast_gains // max(1, len(names))
+    least, kept = None, 0
+    for step in sorted(steps, reverse=True):
+        kept += steps[step]
+        if kept > room:
+            least = 2 << step
+            break
+    total = sum(docs.values())
+    priors = tuple(math.log(docs[x] / total) for x in names)
+    return TokenModel(names, priors, tuple(-math.log(sizes[x] + vocabulary) for x in names), gains, least)
+
+
+def _posterior(logs: Column) -> Column:
+    """Softmax of an array of logarithms."""
+    powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+
+
+def langid_probs(df: DataFrame, model: TokenModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, probs): the naive-Bayes posterior as an array in the order of ``model.names``; one row per key of ``df``.
+
+    A token is a row only until it meets its gains: frequent tokens meet a broadcast table of checked size in the task that
+    split the text, and the sums per key are combined there, so one short row per text is shuffled. Tokens outside that table, where a
+    model has any, are counted per text first and joined by token. Keys are taken to be unique.
+    """
+    span = range(len(model.names))
+    sums = [F.sum(F.col("gain")[i]).alias(f"s{i}") for i in span]
+    toks = _exploded(df, text, key, outer=True)
+    here = model.gains if model.least is None else model.gains.where(F.col("n") >= model.least)
+    n_toks = F.sum(F.when(F.col("tok") != "", 1).otherwise(0)).alias("n")
+    per_key = toks.join(F.broadcast(here.select("tok", "gain")), "tok", "left").groupBy(key).agg(n_toks, *sums)
+    if model.least is not None:
+        rare = model.gains.where(F.col("n") < model.least).select("tok", "gain")
+        asked = toks.join(F.broadcast(here.select("tok")), "tok", "left_anti").where("tok <> ''").groupBy(key, "tok").agg(F.count(F.lit(1)).alias("times"))
+        found = asked.join(rare, "tok").groupBy(key).agg(*[F.sum(F.col("gain")[i] * F.col("times")).alias(f"r{i}") for i in span])
+        per_key = per_key.join(found, key, "left")
+    zero = F.lit(0.0)
+    rest = [F.coalesce(f"r{i}", zero) if model.least is not None else zero for i in span]
+    logs = F.array(*[model.priors[i] + F.col("n") * model.unseen[i] + F.coalesce(f"s{i}", zero) + rest[i] for i in span])
+    return per_key.select(key, logs.alias("_logs")).select(key, _posterior(F.col("_logs")).alias("probs"))
 
 
 def langid_predict(df: DataFrame, model: TokenModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, label, prob) for every language: naive-Bayes posterior.
-
-    A token that is frequent in ``df`` is answered by a broadcast of bounded size and never
-    shuffled; the rest are joined by token (``spread_lookup``).
-    """
-    toks = _exploded(df, text, key)
-    weights = materialise(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("weight")), "token-weights")
-    n_toks = F.coalesce(weights.agg(F.sum("weight").alias("s")).scalar(), F.lit(0))
-    facts = weights.join(model.gains, "tok").withColumn("total", n_toks)
-    found = spread_lookup(toks, facts, "tok", weight="weight", total="total", spread_by=key)
-    gained = found.where(F.col("gain").isNotNull()).select(key, "label", "gain")
-    all_labels = model.labels.agg(F.collect_list(F.struct("label", "prior", "unseen")).alias("ls")).scalar()
-    base = (
-        df.select(key, tx.token_count(F.col(text)).alias("_n"))
-        .withColumn("_ls", all_labels)
-        .select(key, "_n", F.inline("_ls"))
-        .select(key, "label", (F.col("prior") + F.col("_n") * F.col("unseen")).alias("gain"))
-    )
-    summed = gained.unionByName(base).groupBy(key, "label").agg(F.sum("gain").alias("lp"))
-    w = Window.partitionBy(key)
-    return (
-        summed.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(w)))
-        .withColumn("prob", F.col("e") / F.sum("e").over(w))
-        .select(key, "label", "prob")
-    )
+    """(key, label, prob) for every language of the model; see ``langid_probs``."""
+    each = langid_probs(df, model, key, text).select(key, F.posexplode("probs").alias("at", "prob"))
+    return each.select(key, _at(model.names, "at").alias("label"), "prob")
 
 
 def gate(text: Column, min_chars: int = 15, min_tokens: int = 3) -> Column:

@@ -295,8 +295,7 @@ FROM counts c JOIN labels l ON l.label = c.label""",
 )
 def langid_train(spark, sf):
     model = langid.langid_train(inp.widen(inp.table(spark, sf, "documents")), "text", "lang")
-    flat = model.gains.join(model.labels, "label")
-    return flat.select("label", "tok", F.round(F.col("gain") + F.col("unseen"), 6).alias("log_prob"))
+    return model.rows().select("label", "tok", F.round("log_prob", 6).alias("log_prob"))
 
 
 @query(
