@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairsift.functions import text as tx
@@ -120,6 +120,50 @@ def langid_predict(df: DataFrame, model: TokenModel, key: str = "doc_id", text:
     return each.select(key, _at(model.names, "at").alias("label"), "prob")
 
 
+def save_model(model: TokenModel, path: str) -> None:
+    """Write the model below ``path``, in any folder that Spark can write."""
+    spark = model.gains.sparkSession
+    rows = [(i, *x, model.least) for i, x in enumerate(zip(model.names, model.priors, model.unseen, strict=True))]
+    spark.createDataFrame(rows, "at int, label string, prior double, unseen double, least long").write.parquet(f"{path}/labels")
+    model.gains.write.parquet(f"{path}/gains")
+
+
+def load_model(spark: SparkSession, path: str) -> TokenModel:
+    rows = sorted(spark.read.parquet(f"{path}/labels").collect())  # one row per language
+    names, priors, unseen = (tuple(r[k] for r in rows) for k in ("label", "prior", "unseen"))
+    return TokenModel(names, priors, unseen, spark.read.parquet(f"{path}/gains"), rows[0]["least"] if rows else None)
+
+
+@dataclass(frozen=True)
+class Identifier:
+    """A token model and the display names of its labels (a label without one keeps its own)."""
+
+    model: TokenModel
+    display: dict[str, str]
+
+
+def _named_scores(probs: Column, who: Identifier) -> Column:
+    """Display name -> probability from an array in model order, by the rules of ``langid_scores``."""
+    names = F.array(*[F.lit(who.display.get(x, x)) for x in who.model.names])
+    labels = F.array(*[F.lit(x) for x in who.model.names])
+    entries = F.transform(probs, lambda p, i: F.struct((-p).alias("minus"), labels[i].alias("label"), names[i].alias("name")))
+    best = F.slice(F.array_sort(entries), 1, TOP_LABELS)
+    placed = F.transform(best, lambda e, i: F.struct(e["name"].alias("name"), (-e["minus"]).alias("prob"), i.alias("place")))
+    kept = F.filter(placed, lambda e: (e["prob"] >= MIN_PROB) & e["name"].isNotNull())
+    last = F.filter(kept, lambda e: ~F.exists(kept, lambda f: (f["name"] == e["name"]) & (f["place"] > e["place"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"].alias("key"), e["prob"].alias("value"))))
+
+
+def identify(pairs: DataFrame, who: Identifier, profile: LangProfile = ENGLISH_OCCITAN, key: str = "pair_id", text: str = "tgt") -> DataFrame:
+    """The pairs whose ``text`` is long enough to be judged, with ``langs`` and ``tgt_score`` predicted from it.
+
+    ``pairs`` is read twice (once for its tokens, once for the join), so it should be a written table; keys are unique.
+    """
+    judged = pairs.where(gate(F.col(text)))
+    probs = langid_probs(judged, who.model, key, text).select(key, _named_scores(F.col("probs"), who).alias("langs"))
+    return judged.join(probs, key).withColumn("tgt_score", target_lang_score(F.col("langs"), profile))
+
+
 def gate(text: Column, min_chars: int = 15, min_tokens: int = 3) -> Column:
     """Is the text long enough to be judged?"""
     return (F.length(text) > min_chars) & (tx.token_count(text) >= min_tokens)

@@ -20,11 +20,18 @@ def usable_pairs(pairs: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> Da
 
 
 def pre_similarity_clean(
-    usable: DataFrame, lang_scores: DataFrame, profile: LangProfile = ENGLISH_OCCITAN, key: str = "pair_id"
+    usable: DataFrame, languages: DataFrame | langid.Identifier, profile: LangProfile = ENGLISH_OCCITAN, key: str = "pair_id"
 ) -> DataFrame:
-    """Dedup by target text, drop anagrams, keep the target language, drop source-language leaks."""
-    unique = dedup.dedup_keep_first(usable, "tgt", key)
-    identified = langid.attach_langid(routing.filter_anagram(unique), lang_scores, profile, key)
+    """Dedup by target text, drop anagrams, keep the target language, drop source-language leaks.
+
+    ``languages`` is a trained identifier or a table of label scores made elsewhere (``langid.langid_scores``). An identifier
+    reads the targets of the survivors only; they are written once, as both its tokens and the result come from them.
+    """
+    unique = routing.filter_anagram(dedup.dedup_keep_first(usable, "tgt", key))
+    if isinstance(languages, langid.Identifier):
+        survivors = materialise(routing.filter_indicator_count(unique, profile), "survivors")
+        return langid.filter_langid(langid.identify(survivors, languages, profile, key))
+    identified = langid.attach_langid(unique, languages, profile, key)
     return routing.filter_indicator_count(langid.filter_langid(identified), profile)
 
 
@@ -38,12 +45,18 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str = "pair_id")
     return pairs.join(sims, key)
 
 
-def curate(pairs: DataFrame, lang_scores: DataFrame, sims: DataFrame, profile: LangProfile = ENGLISH_OCCITAN, key: str = "pair_id") -> DataFrame:
-    """Raw pairs to scored pairs. ``sims`` has key, sim_a and sim_b.
+def curate(
+    pairs: DataFrame,
+    languages: DataFrame | langid.Identifier,
+    sims: DataFrame,
+    profile: LangProfile = ENGLISH_OCCITAN,
+    key: str = "pair_id",
+) -> DataFrame:
+    """Raw pairs to scored pairs. ``sims`` has key, sim_a and sim_b; ``languages`` as in ``pre_similarity_clean``.
 
     The cleaned table is written once; the scoring reads it several times.
     """
-    final = pre_similarity_clean(usable_pairs(pairs, profile), lang_scores, profile, key)
+    final = pre_similarity_clean(usable_pairs(pairs, profile), languages, profile, key)
     return scoring.score_pairs(materialise(final.join(sims, key), "final"), key)
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairsift.functions import examples as ex
-from pairsift.operators import aligning, catalog, cleaning, distill, examples, langid, ordering, select
+from pairsift.operators import aligning, catalog, cleaning, distill, examples, ordering, select
 from pairsift.plans import curate
 from pairsift.profile import ENGLISH_OCCITAN as P
 from pairsift.registry import inputs as inp
 from pairsift.registry.core import query
 from pairsift.registry.cleaning import chain_ctes
-from pairsift.registry.pairs import GATE, LANG_SCORES, ROUTED, sql_anagram, sql_indicators, stage_c_ctes
+from pairsift.registry.pairs import GATE, ROUTED, sql_anagram, sql_indicators, stage_c_ctes
 from pairsift.registry.scoring import PARTS, r6, sql_r6
 from pairsift.session import scratch_path
 from pairsift.sources import corpus
@@ -310,8 +310,8 @@ def usable_pairs(spark, sf):
 
 CURATED = f"""{USABLE},
 uniq AS MATERIALIZED (SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY pair_id) = 1),
-{LANG_SCORES},
-final AS MATERIALIZED (SELECT u.*, s.prob AS tgt_score FROM uniq u JOIN lang_scores s ON s.pair_id = u.pair_id AND s.name = 'Occitan'
+{inp.predicted_sql('uniq', GATE)},
+final AS MATERIALIZED (SELECT u.*, s.prob AS tgt_score FROM uniq u JOIN lang_scores s ON s.pair_id = u.pair_id AND s.name = {inp.quote(inp.TARGET.target_name)}
   WHERE {GATE} AND NOT ({sql_anagram()}) AND {sql_indicators('tgt')} < 2),
 {inp.SIMS},
 scored_in AS (SELECT p.*, sim_a, sim_b FROM final p JOIN sims s ON s.pair_idx = p.pair_id % (SELECT count(*) FROM sims)),
@@ -322,9 +322,8 @@ scored_in AS (SELECT p.*, sim_a, sim_b FROM final p JOIN sims s ON s.pair_idx =
 def curated(spark, sf):
     """The whole curation: route, clean, filter, dedup, language, similarity, score."""
     pairs = inp.noisy_pairs(spark, sf)
-    scores = langid.langid_scores(inp.langpred(pairs), inp.lang_names(spark))
     sims = inp.with_sims(pairs.select("pair_id"), spark, sf)
-    return curate.curate(pairs, scores, sims).select("pair_id", "src", "tgt", *r6(*PARTS), "veto")
+    return curate.curate(pairs, inp.identifier(spark, sf), sims, inp.TARGET).select("pair_id", "src", "tgt", *r6(*PARTS), "veto")
 
 
 @query("clean_stream", USABLE_SQL)

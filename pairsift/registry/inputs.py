@@ -6,11 +6,14 @@ of the rules, so a varying snippet is *appended*; nothing is cut.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsift.operators import routing, scoring
-from pairsift.session import materialise
+from pairsift.operators import langid, routing, scoring
+from pairsift.profile import ENGLISH_OCCITAN
+from pairsift.session import materialise, scratch_path
 from pairsift.sources.corpus import read_table, widen
 
 PAIR_STRIDE = 1 << 32  # more than the number of lines a document can have
@@ -211,6 +214,43 @@ langpred AS (SELECT pair_id, label, w / sum(w) OVER (PARTITION BY pair_id) AS pr
 lang_names AS (SELECT * FROM (VALUES {", ".join(f"({quote(a)}, {quote(b)})" for a, b in LANG_NAMES)}) v(code, name))"""
 
 
+# the token model is trained on the documents; its labels and their display names
+MODEL_NAMES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
+TARGET = replace(ENGLISH_OCCITAN, target_name="French")
+
+
+def identifier(spark: SparkSession, sf: str) -> langid.Identifier:
+    """A token model trained on the documents, saved and loaded again."""
+    path = scratch_path(spark, "language-model")
+    langid.save_model(langid.langid_train(widen(table(spark, sf, "documents")), "text", "lang"), path)
+    return langid.Identifier(langid.load_model(spark, path), MODEL_NAMES)
+
+
+def sql_model() -> str:
+    """The token model of ``documents``: counts by label and token, priors, and the room for unseen tokens."""
+    return f"""toks AS MATERIALIZED (SELECT doc_id, lang AS label, unnest({sql_tokens('lower(text)')}) AS tok FROM documents),
+counts AS MATERIALIZED (SELECT label, tok, count(*) AS n FROM toks GROUP BY ALL),
+vocab AS (SELECT count(DISTINCT tok) AS v FROM counts),
+label_sizes AS (SELECT label, sum(n) AS n_tokens FROM counts GROUP BY label),
+label_docs AS (SELECT lang AS label, count(*) AS n_docs FROM documents GROUP BY lang),
+known_labels AS (SELECT label, ln(n_docs / (SELECT count(*) FROM documents)::DOUBLE) AS prior, -ln((n_tokens + v)::DOUBLE) AS unseen
+  FROM label_docs JOIN label_sizes USING (label), vocab)"""
+
+
+def predicted_sql(pairs: str, gated: str) -> str:
+    """(pair_id, name, prob) of the targets of ``pairs`` that hold ``gated``, by the token model."""
+    names = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in MODEL_NAMES.items())
+    return f"""{sql_model()},
+asked AS MATERIALIZED (SELECT pair_id, {sql_tokens('lower(tgt)')} AS ts FROM {pairs} WHERE {gated}),
+asked_toks AS (SELECT pair_id, unnest(ts) AS tok FROM asked),
+asked_gains AS (SELECT t.pair_id, c.label, sum(ln((c.n + 1)::DOUBLE)) AS g FROM asked_toks t JOIN counts c ON c.tok = t.tok GROUP BY ALL),
+logs AS (SELECT a.pair_id, l.label, prior + len(ts) * unseen + coalesce(g, 0) AS lp
+  FROM asked a CROSS JOIN known_labels l LEFT JOIN asked_gains g ON g.pair_id = a.pair_id AND g.label = l.label),
+powers AS (SELECT pair_id, label, exp(lp - max(lp) OVER (PARTITION BY pair_id)) AS e FROM logs),
+predicted AS (SELECT pair_id, label, e / sum(e) OVER (PARTITION BY pair_id) AS prob FROM powers),
+lang_scores AS (SELECT pair_id, name, prob FROM predicted JOIN (VALUES {names}) v(label, name) USING (label) WHERE prob >= 0.05)"""
+
+
 def lang_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LANG_NAMES), "code string, name string")
 

@@ -267,31 +267,40 @@ def filter_langid(spark, sf):
     "pre_similarity_clean",
     f"""WITH {NP},
 uniq AS MATERIALIZED (SELECT * FROM noisy_pairs QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY pair_id) = 1),
+{inp.predicted_sql('uniq', GATE)}
+SELECT u.pair_id, src, tgt, round(s.prob, 6) AS tgt_score, {sql_indicators('tgt')}::INT AS indicators
+FROM uniq u JOIN lang_scores s ON s.pair_id = u.pair_id AND s.name = {inp.quote(inp.TARGET.target_name)}
+WHERE {GATE} AND NOT ({sql_anagram()}) AND {sql_indicators('tgt')} < 2""",
+)
+def pre_similarity_clean(spark, sf):
+    out = curate.pre_similarity_clean(inp.noisy_pairs(spark, sf), inp.identifier(spark, sf), inp.TARGET)
+    return out.select("pair_id", "src", "tgt", F.round("tgt_score", 6).alias("tgt_score"), "indicators")
+
+
+@query(
+    "pre_similarity_clean_by_labels",
+    f"""WITH {NP},
+uniq AS MATERIALIZED (SELECT * FROM noisy_pairs QUALIFY row_number() OVER (PARTITION BY tgt ORDER BY pair_id) = 1),
 {LANG_SCORES}
 SELECT u.pair_id, src, tgt, round(s.prob, 6) AS tgt_score, {sql_indicators('tgt')}::INT AS indicators
 FROM uniq u JOIN lang_scores s ON s.pair_id = u.pair_id AND s.name = 'Occitan'
 WHERE {GATE} AND NOT ({sql_anagram()}) AND {sql_indicators('tgt')} < 2""",
 )
-def pre_similarity_clean(spark, sf):
+def pre_similarity_clean_by_labels(spark, sf):
+    """The same with a table of label scores made elsewhere."""
     pairs = inp.noisy_pairs(spark, sf)
     scores = langid.langid_scores(inp.langpred(pairs), inp.lang_names(spark))
     out = curate.pre_similarity_clean(pairs, scores)
     return out.select("pair_id", "src", "tgt", F.round("tgt_score", 6).alias("tgt_score"), "indicators")
 
 
-SQL_MODEL = f"""toks AS MATERIALIZED (SELECT doc_id, lang AS label, unnest({inp.sql_tokens('lower(text)')}) AS tok FROM documents),
-counts AS MATERIALIZED (SELECT label, tok, count(*) AS n FROM toks GROUP BY ALL),
-vocab AS (SELECT count(DISTINCT tok) AS v FROM counts),
-sizes AS (SELECT label, sum(n) AS n_tokens FROM counts GROUP BY label),
-docs AS (SELECT lang AS label, count(*) AS n_docs FROM documents GROUP BY lang),
-labels AS (SELECT label, ln(n_docs / (SELECT count(*) FROM documents)::DOUBLE) AS prior, -ln((n_tokens + v)::DOUBLE) AS unseen
-  FROM docs JOIN sizes USING (label), vocab)"""
+SQL_MODEL = inp.sql_model()
 
 
 @query(
     "langid_train",
     f"""WITH {SQL_MODEL} SELECT c.label, c.tok, round(ln((n + 1)::DOUBLE) + unseen, 6) AS log_prob
-FROM counts c JOIN labels l ON l.label = c.label""",
+FROM counts c JOIN known_labels l ON l.label = c.label""",
 )
 def langid_train(spark, sf):
     model = langid.langid_train(inp.widen(inp.table(spark, sf, "documents")), "text", "lang")
@@ -303,7 +312,7 @@ def langid_train(spark, sf):
     f"""WITH {SQL_MODEL},
 gains AS (SELECT t.doc_id, c.label, sum(ln((c.n + 1)::DOUBLE)) AS g FROM toks t JOIN counts c ON c.tok = t.tok GROUP BY ALL),
 ntok AS (SELECT doc_id, {inp.sql_token_count('text')} AS n FROM documents),
-lp AS (SELECT d.doc_id, l.label, prior + n * unseen + coalesce(g, 0) AS lp FROM ntok d CROSS JOIN labels l LEFT JOIN gains g ON g.doc_id = d.doc_id AND g.label = l.label),
+lp AS (SELECT d.doc_id, l.label, prior + n * unseen + coalesce(g, 0) AS lp FROM ntok d CROSS JOIN known_labels l LEFT JOIN gains g ON g.doc_id = d.doc_id AND g.label = l.label),
 ex AS (SELECT doc_id, label, exp(lp - max(lp) OVER (PARTITION BY doc_id)) AS e FROM lp)
 SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS prob FROM ex""",
 )

@@ -46,3 +46,22 @@ def test_a_single_shuffle_without_rare_tokens(spark):
     plan = langid.langid_probs(spark.createDataFrame(ASK, "doc_id long, text string"), model)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("Exchange hashpartitioning") == 1 and "Window" not in physical
+
+
+def test_saved_model_and_survivors_only(spark, tmp_path):
+    train = spark.createDataFrame(TRAIN, "doc_id long, text string, lang string")
+    model = langid.langid_train(train, "text", "lang")
+    langid.save_model(model, str(tmp_path / "model"))
+    again = langid.load_model(spark, str(tmp_path / "model"))
+    assert (again.names, again.priors, again.unseen, again.least) == (model.names, model.priors, model.unseen, model.least)
+    who = langid.Identifier(again, {"fr": "French", "es": "Spanish", "en": "Spanish"})
+    pairs = spark.createDataFrame([(1, "le chat le chien le chat"), (2, "le"), (3, None), (4, "the dog the cat the dog")], "pair_id long, tgt string")
+    got = {r["pair_id"]: r for r in langid.identify(pairs, who).collect()}
+    assert set(got) == {1, 4}  # the others are too short to be judged
+    probs = {r["pair_id"]: dict(zip(again.names, r["probs"], strict=True)) for r in langid.langid_probs(pairs, again, "pair_id", "tgt").collect()}
+    for k in got:
+        want = {"French": probs[k]["fr"]}
+        en, es = probs[k]["en"], probs[k]["es"]
+        want["Spanish"] = min(en, es) if min(en, es) >= langid.MIN_PROB else max(en, es)
+        assert got[k]["langs"] == pytest.approx({n: p for n, p in want.items() if p >= langid.MIN_PROB})
+        assert got[k]["tgt_score"] == 0.0  # no label is shown as Occitan

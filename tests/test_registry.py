@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
     "clean_pairs", "route_three_way", "stage_c", "dedup_keep_first", "dedup_prefer_repeated", "langid_scores",
-    "langid_predict", "pre_similarity_clean", "score_pairs", "quality_tier", "histogram50", "zip_parallel",
+    "langid_predict", "pre_similarity_clean", "pre_similarity_clean_by_labels", "score_pairs", "quality_tier", "histogram50", "zip_parallel",
     "number_rows_within", "pad_batches", "weighted_ce_loss", "score_systems", "qc_generations", "clean_stream",
     "dedup_stream", "curate",
 )
