@@ -15,6 +15,7 @@ Every row is kept; the sample only places the borders.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -26,6 +27,7 @@ from pairsift.session import bucket_count, materialise
 
 SAMPLES_PER_BUCKET = 16
 COARSE = 32
+SKETCH = 10_000
 
 
 def cut_points(df: DataFrame, key: str, buckets: int) -> Column:
@@ -122,29 +124,68 @@ def pct_rank_avg(df: DataFrame, value: str, out: str, spread_by: str, buckets: i
     return pct_ranks(df, {value: out}, spread_by, buckets)
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row, one column per name."""
-    pos = value_positions(df, [value], buckets)
-
-    def at(k: Column) -> Column:
-        inside = (F.col("below") <= k) & (k < F.col("below") + F.col("ties"))
-        return F.max(F.when(inside, F.col("v")))
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy: int = SKETCH) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row, one column per name.
 
+    The column is written once and scanned twice. A mergeable sketch brackets the rank of each quantile; a counting pass then
+    counts how many values lie below and between the brackets and keeps the distinct values inside them, about ``8 / accuracy`` of
+    all rows for each quantile, whose order gives the exact values. A rank that the sketch misses is looked for again in a
+    wider bracket, so the result doesn't depend on the sketch. Nulls and NaN take no part; without values all is null.
+    """
+    spark = df.sparkSession
+    cells = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = materialise(cells, "values")
+    margin = 4 / accuracy
+    found: dict[int, float] = {}
+    wanted: set[int] = set()
+    while True:
+        edges = sorted({min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-margin, margin)})
+        sketch = values.agg(F.count("v").alias("n"), F.percentile_approx("v", edges, accuracy).alias("at")).first()
+        if not sketch["n"]:
+            break
+        spots = {name: (sketch["n"] - 1) * p for name, p in probs.items()}
+        wanted = {int(k) for spot in spots.values() for k in (math.floor(spot), math.ceil(spot))}
+        at = {edge: x for edge, x in zip(edges, sketch["at"], strict=True)} | {0.0: -math.inf, 1.0: math.inf}
+        spans = [(at[max(0.0, p - margin)], at[min(1.0, p + margin)]) for p in probs.values()]
+        found = _values_at(values, spans, wanted)
+        if wanted <= found.keys():
+            break
+        margin *= 16
     picks = []
-    for name, p in probs.items():
-        spot = (F.col("n") - 1) * p
-        picks += [
-            at(F.floor(spot)).alias(f"{name}_lo"),
-            at(F.ceil(spot)).alias(f"{name}_hi"),
-            F.max(spot - F.floor(spot)).alias(f"{name}_part"),
-        ]
-    row = pos.agg(*picks)
-    return row.select(
-        *[
-            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n)
-            for n in probs
-        ]
-    )
+    for name in probs:
+        if not found:
+            picks.append(F.lit(None).cast("double").alias(name))
+            continue
+        low, high = found[math.floor(spots[name])], found[math.ceil(spots[name])]
+        part = spots[name] - math.floor(spots[name])
+        picks.append(F.lit(low + (high - low) * part if part else low).cast("double").alias(name))
+    return spark.range(1).select(*picks)
+
+
+def _values_at(values: DataFrame, spans: list[tuple[float, float]], ranks: set[int]) -> dict[int, float]:
+    """The values at those of ``ranks`` (from 0) that lie inside one of ``spans``."""
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted(spans):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    region = F.lit(2 * len(merged))  # odd regions are spans, even ones lie between them
+    for i, (low, high) in reversed(list(enumerate(merged))):
+        region = F.when(F.col("v") < low, 2 * i).when(F.col("v") <= high, 2 * i + 1).otherwise(region)
+    placed = values.select(region.alias("region"), "v")
+    counts = placed.groupBy("region", F.when(F.col("region") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("ties"))
+    counts = materialise(counts, "spans")
+    sizes = dict(counts.groupBy("region").agg(F.sum("ties")).collect())  # at most two rows for each quantile and one more
+    first = {i: sum(n for j, n in sizes.items() if j < i) for i in sizes}
+    asked = [(i, k - first[i], k) for i in sizes if i % 2 for k in ranks if first[i] <= k < first[i] + sizes[i]]
+    if not asked:
+        return {}
+    inside = Window.partitionBy("region").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.where(F.col("region").isin(*{i for i, _, _ in asked})).withColumn("upto", F.sum("ties").over(inside))
+    local = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).cast("long").alias("local"), F.lit(rank).cast("long").alias("rank")) for i, k, rank in asked])
+    here = F.filter(local, lambda a: (a["i"] == F.col("region")) & (a["local"] < F.col("upto")) & (a["local"] >= F.col("upto") - F.col("ties")))
+    return {r["rank"]: r["v"] for r in upto.select("v", F.explode(here).alias("a")).select("v", "a.rank").collect()}
 
 
 def number_rows(

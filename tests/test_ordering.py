@@ -116,3 +116,24 @@ def test_rows_of_a_null_group_are_numbered(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, None)], "id int, g string")
     got = {r["id"]: r["idx"] for r in ordering.number_rows(df, ["id"], within=["g"]).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 2}
+
+
+@pytest.mark.parametrize("accuracy", [2, 20, ordering.SKETCH])
+def test_quantiles_don_t_depend_on_the_sketch(spark, accuracy):
+    r = random.Random(accuracy)
+    probs = {"none": 0.0, "low": 0.1, "quarter": 0.25, "half": 0.5, "near": 0.51, "top": 0.999, "all": 1.0}
+    for rows in ([3.5], [1.0, 2.0], [7.0] * 50, [r.choice([1.0, 1.0, 2.0, r.gauss(0, 1)]) for _ in range(700)]):
+        df = spark.createDataFrame([(x,) for x in [*rows, None, float("nan")]], "v double").repartition(3)
+        got = ordering.quantiles(df, "v", probs, accuracy).first()
+        want = pd.Series(rows).quantile(list(probs.values()))
+        assert list(got) == pytest.approx(list(want), abs=1e-12)
+    assert list(ordering.quantiles(spark.createDataFrame([(None,)], "v double"), "v", probs, accuracy).first()) == [None] * len(probs)
+
+
+def test_quantiles_scan_the_values_twice_and_keep_a_small_part(spark, monkeypatch):
+    kept = []
+    wrap = ordering.materialise
+    monkeypatch.setattr(ordering, "materialise", lambda df, name: (lambda out: kept.append((name, out.count())) or out)(wrap(df, name)))
+    q = ordering.quantiles(spark.range(200_000).selectExpr("double(id) AS v"), "v", {"q": 0.3})
+    assert q.first()["q"] == pytest.approx(0.3 * 199_999)
+    assert [n for n, _ in kept] == ["values", "spans"] and kept[1][1] < 1000
