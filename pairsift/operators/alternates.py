@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairsift.functions import scores as sc
 from pairsift.functions import text as tx
-from pairsift.operators.ordering import pct_ranks, quantiles
+from pairsift.operators.ordering import numbered_rows, pct_ranks, quantiles
 from pairsift.operators.stats import as_struct
 from pairsift.profile import COUNTER_HINTS, ENGLISH_OCCITAN, TARGET_HINTS, LangProfile
 from pairsift.session import materialise
@@ -57,8 +57,8 @@ def alt_curation_score(df: DataFrame, key: str = "pair_id") -> DataFrame:
             "lang_cal": alt_langid_calibration(F.col("tgt_score"), F.col("tok_tgt")),
         }
     )
-    narrow = materialise(out.select(key, "agree_sim", "max_sim", "hint"), "hints")
-    ranks = pct_ranks(narrow, {c: f"{c}_rank" for c in ("agree_sim", "max_sim", "hint")}, key)
+    narrow = numbered_rows(out.select(key, "agree_sim", "max_sim", "hint"), "hints")
+    ranks = pct_ranks(narrow, {c: f"{c}_rank" for c in ("agree_sim", "max_sim", "hint")})
     ranks = ranks.select(key, "agree_sim_rank", "max_sim_rank", "hint_rank")
     lr = (F.col("tok_tgt") + 1) / (F.col("tok_src") + 1)
     score = (

@@ -22,7 +22,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsift.operators.skew import spread_lookup
 from pairsift.session import bucket_count, materialise
 
 SAMPLES_PER_BUCKET = 16
@@ -60,68 +59,59 @@ def _bucket(key: Column, cuts: Column) -> Column:
     return F.when(block == 0, 0).otherwise(start + F.size(F.filter(rest, lambda c: c <= key)))
 
 
-def value_positions(
-    df: DataFrame, values: list[str], buckets: int | None = None
-) -> DataFrame:
-    """One row per column and distinct value: (which, v, ties, below, n).
+def numbered_rows(df: DataFrame, name: str = "ranked") -> DataFrame:
+    """``df`` written once, with ``_row``, a number of each row's own."""
+    return materialise(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def pct_ranks(df: DataFrame, outs: dict[str, str], buckets: int | None = None) -> DataFrame:
+    """Add percentile ranks, ``outs`` = {value column: rank column}.
 
-    ``below`` counts the rows with a smaller value in that column, ``n`` all rows that have
-    one; nulls and NaN take no part. Equal values are counted on the map side, so a value
-    that fills a third of the table is one row from then on. All columns share one pass.
+    Ties share their average rank, divided by the number of rows that have a value; null and NaN stay null.
 
-    The counts are written once; their order is cut into buckets.
+    All columns share one pass. The rows are written once with a number of their own (or come from ``numbered_rows``). Every (column,
+    value, hash of the number) is dealt once to ordered buckets by Spark's range partitioner and written with its bucket, so later
+    reads agree on the borders. Each bucket is ranked by one sort, and the sizes of the buckets before it are added. The hash spreads a
+    value that fills a third of a column over many buckets; how often the least and the greatest value of a bucket occur in all buckets is
+    counted apart, at most two rows for each bucket. One pivot and one join bring the ranks back.
     """
     buckets = buckets or bucket_count(df.sparkSession)
-    cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("v")) for c in values]
-    counts = (
-        df.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy("which", "v")
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    counts = materialise(counts, "counts")
+    rows = df if "_row" in df.columns else numbered_rows(df)
+    cells = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("v")) for c in outs]
+    cells = rows.select("_row", F.inline(F.array(*cells))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    dealt = cells.repartitionByRange(buckets, "which", "v", F.xxhash64("_row")).withColumn("bucket", F.spark_partition_id())
+    placed = materialise(dealt, "dealt")
+
+    sizes = placed.groupBy("which", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sizes = materialise(sizes, "bucket-sizes")  # at most one row for each bucket and one more for each column
     column = Window.partitionBy("which")
-    counts = counts.withColumn("k", F.struct("which", "v"))
-    placed = place(counts, F.col("k"), cut_points(counts, "k", buckets)).drop("k")
-    sizes = placed.groupBy("which", "bucket").agg(F.sum("ties").alias("size"))
     before = column.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(  # at most buckets + 1 rows per column
-        "which",
-        "bucket",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"),
-        F.sum("size").over(column).alias("n"),
-    )
-    inside = Window.partitionBy("which", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("upto", F.sum("ties").over(inside))
-        .join(F.broadcast(offsets), ["which", "bucket"], "left")
-        .select("which", "v", "ties", (F.col("offset") + F.col("upto") - F.col("ties")).alias("below"), "n")
+    offsets = sizes.select(
+        "which", "bucket", "size", "lo", "hi", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"), F.sum("size").over(column).alias("n")
     )
-
-
-def pct_ranks(df: DataFrame, outs: dict[str, str], spread_by: str, buckets: int | None = None) -> DataFrame:
-    """Add percentile ranks, ``outs`` = {value column: rank column}.
-
-    Ties share their average rank, divided by the number of rows that have a value; null
-    and NaN stay null. The position table is written once and looked up per column, so the
-    plan grows with the number of columns, not with its power.
-    """
-    rank = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")
-    positions = materialise(
-        value_positions(df, list(outs), buckets).select("which", "v", "ties", "n", rank.alias("rank")), "positions"
+    ends = placed.select("which", "bucket", "v").join(F.broadcast(offsets), ["which", "bucket"]).where("v = lo OR v = hi")
+    ends = ends.groupBy("which", "bucket", "v", "lo", "size", "offset").agg(F.count(F.lit(1)).alias("held"))
+    # in the first bucket that holds it, a border value is the least or the greatest
+    lower = F.col("offset") + F.when(F.col("v") == F.col("lo"), 0).otherwise(F.col("size") - F.col("held"))
+    borders = ends.groupBy("which", "v").agg(F.sum("held").alias("ties"), F.min_by(lower, "bucket").alias("below"))
+    facts = F.broadcast(offsets.select("which", "bucket", "offset", "n"))
+    spread = F.broadcast(borders.select("which", "v", "ties", "below"))
+
+    inside = Window.partitionBy("which", "bucket").orderBy("v")
+    upto = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    ranked = placed.select("_row", "which", "v", "bucket").withColumns({"least": F.rank().over(inside), "most": upto})
+    ranked = ranked.join(facts, ["which", "bucket"]).join(spread, ["which", "v"], "left")
+    own = F.col("offset") + (F.col("least") + F.col("most")) / 2
+    rank = F.coalesce(F.col("below") + (F.col("ties") + 1) / 2, own) / F.col("n")
+    back = ranked.select("_row", "which", rank.alias("rank")).groupBy("_row").agg(
+        *[F.max(F.when(F.col("which") == c, F.col("rank"))).alias(out) for c, out in outs.items()]
     )
-    for value, out in outs.items():
-        facts = positions.where(F.col("which") == value).select(
-            F.col("v").alias("_v"), "ties", "n", F.col("rank").alias(out)
-        )
-        keyed = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double")))
-        df = spread_lookup(keyed, facts, "_v", weight="ties", total="n", spread_by=spread_by).drop("_v")
-    return df
+    return rows.join(back, "_row", "left").drop("_row")
 
 
-def pct_rank_avg(df: DataFrame, value: str, out: str, spread_by: str, buckets: int | None = None) -> DataFrame:
+def pct_rank_avg(df: DataFrame, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """The percentile rank of one column."""
-    return pct_ranks(df, {value: out}, spread_by, buckets)
+    return pct_ranks(df, {value: out}, buckets)
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy: int = SKETCH) -> DataFrame:

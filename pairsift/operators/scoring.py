@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsift.functions import scores as sc
-from pairsift.operators.ordering import pct_ranks
+from pairsift.operators.ordering import numbered_rows, pct_ranks
 from pairsift.operators.stats import as_struct, score_stats
-from pairsift.session import materialise
 
 
 def agree_max(df: DataFrame, a: str = "sim_a", b: str = "sim_b") -> DataFrame:
     return df.withColumns({"agree_raw": F.least(a, b), "max_raw": F.greatest(a, b)})
 
 
-def combined_rank(df: DataFrame, a: str = "sim_a", b: str = "sim_b", spread_by: str = "pair_id") -> DataFrame:
+def combined_rank(df: DataFrame, a: str = "sim_a", b: str = "sim_b") -> DataFrame:
     """Percentile rank of both columns and their mean."""
-    ranked = pct_ranks(df, {a: f"{a}_rank", b: f"{b}_rank"}, spread_by)
+    ranked = pct_ranks(df, {a: f"{a}_rank", b: f"{b}_rank"})
     return ranked.withColumn("combined_rank", (F.col(f"{a}_rank") + F.col(f"{b}_rank")) / 2)
 
 
-def sim_rank(df: DataFrame, spread_by: str = "pair_id") -> DataFrame:
+def sim_rank(df: DataFrame) -> DataFrame:
     """0.7 rank of the lower similarity + 0.3 rank of the higher one."""
-    ranked = pct_ranks(agree_max(df), {"agree_raw": "_rank_min", "max_raw": "_rank_max"}, spread_by)
+    ranked = pct_ranks(agree_max(df), {"agree_raw": "_rank_min", "max_raw": "_rank_max"})
     return ranked.withColumn("sim_rank", sc.sim_rank(F.col("_rank_min"), F.col("_rank_max"))).drop(
         "_rank_min", "_rank_max"
     )
@@ -48,11 +47,10 @@ def score_pairs(df: DataFrame, key: str = "pair_id", with_veto: bool = True, wei
     similarities only, written once, so that the cleaning before this step does not run
     again for every rank; the texts take part in one join.
     """
-    narrow = materialise(agree_max(df.select(key, "sim_a", "sim_b")), "similarities")
+    narrow = numbered_rows(agree_max(df.select(key, "sim_a", "sim_b")), "similarities")
     ranks = pct_ranks(
         narrow,
         {"sim_a": "sim_a_rank", "sim_b": "sim_b_rank", "agree_raw": "_rank_min", "max_raw": "_rank_max"},
-        key,
     ).select(
         key,
         "agree_raw",

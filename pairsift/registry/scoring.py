@@ -49,7 +49,7 @@ def agree_max(spark, sf):
 @query("pct_rank_avg", f"WITH {IN} SELECT pair_id, round({inp.pct_rank_sql('sim_a')}, 9) AS pct_rank FROM scored_in")
 def pct_rank_avg(spark, sf):
     df = inp.scored_in(spark, sf).select("pair_id", "sim_a")
-    return ordering.pct_rank_avg(df, "sim_a", "pct_rank", "pair_id").select("pair_id", F.round("pct_rank", 9).alias("pct_rank"))
+    return ordering.pct_rank_avg(df, "sim_a", "pct_rank").select("pair_id", F.round("pct_rank", 9).alias("pct_rank"))
 
 
 @query(
@@ -61,7 +61,7 @@ def pct_rank_avg_hot(spark, sf):
     """The same rank where one value holds about half of all rows."""
     x = F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.col("l_extendedprice").cast("double"))
     df = inp.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
-    return ordering.pct_rank_avg(df, "x", "pct_rank", "l_orderkey").select(
+    return ordering.pct_rank_avg(df, "x", "pct_rank").select(
         "l_orderkey", "l_linenumber", F.round("pct_rank", 9).alias("pct_rank")
     )
 

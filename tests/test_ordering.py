@@ -20,24 +20,14 @@ def values(spark):
 
 def test_golden_rank_and_quantiles(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0), (3, 4.0)], "id long, v double")
-    ranks = {r.id: r.r for r in ordering.pct_rank_avg(df, "v", "r", "id").collect()}
+    ranks = {r.id: r.r for r in ordering.pct_rank_avg(df, "v", "r").collect()}
     assert ranks == {0: 0.25, 1: 0.625, 2: 0.625, 3: 1.0}
     q = ordering.quantiles(df, "v", {"a": 0.1, "b": 0.25, "c": 0.5, "d": 0.75}).first()
     assert [round(x, 9) for x in q] == [1.3, 1.75, 2.0, 2.5]
 
 
-def test_positions_equal_pandas(values):
-    got = ordering.value_positions(values, ["v"], buckets=16).toPandas().sort_values("v")
-    series = values.toPandas().v.dropna()
-    counts = series.value_counts().sort_index()
-    assert list(got.v) == list(counts.index)
-    assert list(got.ties) == list(counts)
-    assert list(got.below) == list(counts.cumsum() - counts)
-    assert set(got.n) == {len(series)}
-
-
 def test_ranks_with_a_hot_value(values):
-    pdf = ordering.pct_rank_avg(values, "v", "r", "id", buckets=16).toPandas().set_index("id").sort_index()
+    pdf = ordering.pct_rank_avg(values, "v", "r", buckets=16).toPandas().set_index("id").sort_index()
     expected = values.toPandas().set_index("id").sort_index().v.rank(pct=True)
     assert len(pdf) == 3002
     pd.testing.assert_series_equal(pdf.r, expected, check_names=False, atol=1e-12)
@@ -70,7 +60,7 @@ def test_results_do_not_depend_on_partitions(spark, values, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        ranks = ordering.pct_rank_avg(values, "v", "r", "id").toPandas().sort_values("id").r
+        ranks = ordering.pct_rank_avg(values, "v", "r").toPandas().sort_values("id").r
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     expected = values.toPandas().sort_values("id").v.rank(pct=True)
@@ -137,3 +127,17 @@ def test_quantiles_scan_the_values_twice_and_keep_a_small_part(spark, monkeypatc
     q = ordering.quantiles(spark.range(200_000).selectExpr("double(id) AS v"), "v", {"q": 0.3})
     assert q.first()["q"] == pytest.approx(0.3 * 199_999)
     assert [n for n, _ in kept] == ["values", "spans"] and kept[1][1] < 1000
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 16, 64])
+def test_ranks_of_several_columns_with_values_over_many_buckets(spark, buckets):
+    r = random.Random(buckets)
+    pick = lambda: r.choice([None, 0.0, 0.0, 0.0, 1.0, 1.0, round(r.gauss(0, 1), 1), float("nan")])
+    rows = [(i, pick(), r.choice([5.0, 5.0, r.random()]), 7.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(6)
+    outs = {"a": "ra", "b": "rb", "c": "rc"}
+    got = ordering.pct_ranks(df, outs, buckets=buckets).toPandas().set_index("id").sort_index()
+    values = df.toPandas().set_index("id").sort_index()
+    for value, out in outs.items():
+        pd.testing.assert_series_equal(got[out], values[value].rank(pct=True), check_names=False, atol=1e-12)
+    assert ordering.pct_ranks(df.where("false"), outs, buckets=buckets).count() == 0
