@@ -20,6 +20,8 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pairsift.llm.common import text_slices
 from pairsift.session import materialise, scratch_path
 
 TABLE = 1 << 19
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 CACHED_LENGTH = 64  # longer units are aligned each time
 _CUT = re.compile(r"(?<=\S) ")
 _BEFORE_BLANK = re.compile(r"\s ")
@@ -63,6 +65,10 @@ def common_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int,
 def links_of(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
     """The id pairs of overlapping tokens within one group; both sides cover the same bytes there."""
     a, to_a, b, to_b = group
+    if to_a - a == 1:
+        return [(ids_a[a], y) for y in ids_b[b:to_b]]
+    if to_b - b == 1:
+        return [(x, ids_b[b]) for x in ids_a[a:to_a]]
     out = [(ids_a[a], ids_b[b])]
     while a + 1 < to_a or b + 1 < to_b:
         if ends_a[a] < ends_b[b]:
@@ -73,17 +79,14 @@ def links_of(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list
     return out
 
 
-class Unit:
-    """What one stretch of text adds to its document."""
+class Unit(NamedTuple):
+    """What one stretch of text adds to its document; ``pairs`` holds ids of A and B in one number."""
 
-    __slots__ = ("groups", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]):
-        groups = common_groups(ends_a, ends_b)
-        pairs = [p for g in groups for p in links_of(ids_a, ends_a, ids_b, ends_b, g)]
-        self.groups = ";".join(",".join(map(str, ids_a[a:x])) + "|" + ",".join(map(str, ids_b[b:y])) for a, x, b, y in groups).encode()
-        self.n_a, self.n_b, self.n_groups = len(ids_a), len(ids_b), len(groups)
-        self.pairs = np.array([a << 32 | b for a, b in pairs], np.int64)
+    groups: str
+    n_a: int
+    n_b: int
+    n_groups: int
+    pairs: tuple[int, ...]
 
 
 class Aligner:
@@ -103,6 +106,7 @@ class Aligner:
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = {i: bytes(symbol[c] for c in s) if all(c in symbol for c in s) else s.encode() for s, i in vocabulary.items()}
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, [str(i) for i in range(len(self.bytes_b))]
         self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.known: dict[str, Unit | None] = {}
 
@@ -125,19 +129,33 @@ class Aligner:
         """Alignments of units; None where a side's bytes are not the unit's."""
         encoded_a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
         encoded_b = self.b.encode(units, num_threads=1)
-        out = []
-        for u, a, ids_b in zip(units, encoded_a, encoded_b, strict=True):
-            # a blank alone at the end of a text: the library adds none to an empty text
-            out.append(self._unit((" " + u).encode(), a.ids, ids_b if u else [self.b.piece_to_id("▁")]))
+        raw = [(" " + u).encode() for u in units]
+        ids_a = [e.ids for e in encoded_a]
+        # a blank alone at the end of a text: the library adds none to an empty text
+        ids_b = [ids if u else [self.b.piece_to_id("▁")] for u, ids in zip(units, encoded_b, strict=True)]
+        return self._run(raw, ids_a, ids_b)
+
+    def _run(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Unit | None]:
+        """Units one behind the other, their ends as offsets in the whole run; one by one where the bytes of any differ."""
+        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        tokens_a, tokens_b = [self.bytes_a[i] for i in flat_a], [self.bytes_b[i] for i in flat_b]
+        ends_a, ends_b, borders = (list(accumulate(map(len, x))) for x in (tokens_a, tokens_b, raw))
+        stops_a, stops_b = (list(accumulate(map(len, x))) for x in (ids_a, ids_b))
+        whole = b"".join(raw)
+        same = all(ids_a) and all(ids_b) and b"".join(tokens_a) == whole == b"".join(tokens_b)
+        if not same or [ends_a[k - 1] for k in stops_a] != borders or [ends_b[k - 1] for k in stops_b] != borders:
+            return [None] if len(raw) == 1 else [self._run([r], [a], [b])[0] for r, a, b in zip(raw, ids_a, ids_b, strict=True)]
+        text_a, text_b = [self.text_a[i] for i in flat_a], [self.text_b[i] for i in flat_b]
+        out, parts, pairs, n_a, n_b = [], [], [], 0, 0
+        for group in common_groups(ends_a, ends_b):
+            a, to_a, b, to_b = group
+            parts.append(",".join(text_a[a:to_a]) + "|" + ",".join(text_b[b:to_b]))
+            pairs += [x << 32 | y for x, y in links_of(flat_a, ends_a, flat_b, ends_b, group)]
+            if to_a == stops_a[len(out)]:
+                out.append(Unit(";".join(parts), to_a - n_a, to_b - n_b, len(parts), tuple(pairs)))
+                parts, pairs, n_a, n_b = [], [], to_a, to_b
         return out
 
-    def _unit(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> Unit | None:
-        tokens_a = [self.bytes_a[i] for i in ids_a]
-        tokens_b = [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-            return None
-        return Unit(ids_a, np.cumsum([len(t) for t in tokens_a]).tolist(), ids_b, np.cumsum([len(t) for t in tokens_b]).tolist())
-
     def learn(self, units: set[str]) -> dict[str, Unit | None]:
         """Alignments of all ``units``; short ones are remembered."""
         if len(self.known) > CACHE_UNITS:
@@ -154,18 +172,21 @@ class Aligner:
     def document(self, units: list[str], known: dict[str, Unit | None]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, how often each) of a document."""
         times = Counter(units)
-        parts = [(known[u], n) for u, n in times.items()]
-        if not units or any(x is None for x, _ in parts):
+        parts = [known[u] for u in times]
+        if not units or None in parts:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        digest = hashlib.sha256(known[units[0]].groups)
+        digest = hashlib.sha256(known[units[0]].groups.encode())
         for k in range(1, len(units), _LEARN):
-            digest.update(b";" + b";".join([known[u].groups for u in units[k : k + _LEARN]]))
-        pairs = np.concatenate([x.pairs for x, _ in parts])
-        often = np.repeat([n for _, n in parts], [len(x.pairs) for x, _ in parts])
+            digest.update((";" + ";".join([known[u].groups for u in units[k : k + _LEARN]])).encode())
+        _, n_a, n_b, n_groups, lists = zip(*parts, strict=True)
+        often = np.fromiter(times.values(), np.int64, len(parts))
+        pairs = np.fromiter(chain.from_iterable(lists), np.int64)
         distinct, at = np.unique(pairs, return_inverse=True)
-        sums = np.bincount(at, often, minlength=len(distinct)).astype(np.int64)
-        totals = [sum(n * getattr(x, field) for x, n in parts) for field in ("n_a", "n_b", "n_groups")]
-        return *totals, int(sums.sum()), digest.hexdigest(), distinct, sums
+        each = np.repeat(often, [len(x) for x in lists])
+        sums = np.zeros(len(distinct), np.int64)
+        np.add.at(sums, at, each)
+        totals = [int((often * np.array(x)).sum()) for x in (n_a, n_b, n_groups)]
+        return *totals, int(each.sum()), digest.hexdigest(), distinct, sums
 
 
 @cache
