@@ -19,7 +19,7 @@ import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pairsift.session import bucket_count, materialise
@@ -27,6 +27,7 @@ from pairsift.session import bucket_count, materialise
 SAMPLES_PER_BUCKET = 16
 COARSE = 32
 SKETCH = 10_000
+FEW = 10_000
 
 
 def cut_points(df: DataFrame, key: str, buckets: int) -> Column:
@@ -214,6 +215,97 @@ def number_rows(
     )
 
 
+def keys_at(df: DataFrame, order_by: list[str], positions: list[int], buckets: int | None = None) -> dict[int, tuple[Row, int, int]]:
+    """{position: (key there, rows below that key, rows with it)} in the order of ``order_by``; positions from the end on are left out.
+
+    An order-statistic search: the key columns alone are written once and counted in ordered buckets (partial sums, at most one row for each bucket); the
+    bucket that holds a position is cut again until it has few rows or few different keys. Nothing is sorted or numbered. Nulls come first.
+    """
+    buckets = buckets or bucket_count(df.sparkSession)
+    keys = materialise(df.select(F.struct(*order_by).alias("k")), "keys")
+    whole = _bucket_sizes(keys, buckets)
+    found = {}
+    for position in positions:
+        region, sizes, below = keys, whole, 0
+        while True:
+            for low, high, size in sizes:
+                if position < below + size:
+                    break
+                below += size
+            else:
+                break  # no such row
+            if low == high:
+                found[position] = (low, below, size)
+                break
+            region = region.where((F.col("k") >= _literal(keys, low)) & (F.col("k") <= _literal(keys, high)))
+            sizes = _bucket_sizes(region, buckets, each=size <= FEW)
+    return found
+
+
+def _bucket_sizes(keys: DataFrame, buckets: int, each: bool = False) -> list[tuple[Row, Row, int]]:
+    """(least key, greatest key, rows) of ordered buckets of ``k``; with ``each``, of every key."""
+    if not each:
+        cuts = cut_points(keys, "k", buckets)
+        rows = place(keys, F.col("k"), cuts).groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
+        sizes = sorted(rows.collect())
+        if len(sizes) != 1:
+            return [(r["low"], r["high"], r["n"]) for r in sizes]
+    # a sample too small to hold a border: only a few different keys are left
+    return [(r["k"], r["k"], r["n"]) for r in keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect()]
+
+
+def _literal(keys: DataFrame, key: Row) -> Column:
+    """``key`` as a literal of the type of ``k``."""
+    fields = keys.schema["k"].dataType.fields
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, fields, strict=True)])
+
+
+def cut_at(df: DataFrame, order_by: list[str], edges: list[int]) -> list[DataFrame]:
+    """The rows before edges[0], from there to edges[1], and so on, and those behind the last edge, in the order of ``order_by``.
+
+    Each part is a range of keys: a filter on the table, which reaches the scan when there is one order column. Rows that tie at an
+    edge are told apart by the hash of the whole row; only these are numbered.
+    """
+    edges = [max(e, 0) for e in edges]
+    found = keys_at(df, order_by, sorted(set(edges)))
+    sides: list[tuple[Column, Column]] = []  # (rows before the edge, rows from it on), for each edge
+    for e in edges:
+        if e not in found:
+            sides.append((F.lit(True), F.lit(False)))
+        else:
+            sides.append(_sides(df, order_by, found[e][0]))
+    parts = []
+    for i in range(len(edges) + 1):
+        first, last = edges[i - 1] if i else 0, edges[i] if i < len(edges) else None
+        if last is not None and last <= first:
+            parts.append(df.where("false"))
+            continue
+        from_first = sides[i - 1][1] if i else F.lit(True)
+        to_last = sides[i][0] if last is not None else F.lit(True)
+        part = df.where(from_first & to_last)
+        # ties: the key at an edge belongs to the part behind it, but for the rows of it that come before the edge
+        borders = {tuple(found[e][0]): found[e] for e in (first if i else None, last) if e in found and e != found[e][1]}
+        for key, below, ties in borders.values():
+            tied = number_rows(df.where(_equal(df, order_by, key)).withColumn("_tie", F.xxhash64(*df.columns)), ["_tie"], "_at", start=below).drop("_tie")
+            part = part.where(~_equal(df, order_by, key)).unionByName(tied.where((F.col("_at") >= first) & (F.col("_at") < (last if last is not None else below + ties))).drop("_at"))
+        parts.append(part)
+    return parts
+
+
+def _sides(df: DataFrame, order_by: list[str], key: Row) -> tuple[Column, Column]:
+    if len(order_by) > 1:
+        at = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order_by, key, strict=True)])
+        return F.struct(*order_by) < at, F.struct(*order_by) >= at
+    (name,), (value,) = order_by, key
+    if value is None:
+        return F.lit(False), F.lit(True)
+    return F.col(name).isNull() | (F.col(name) < F.lit(value)), F.col(name) >= F.lit(value)
+
+
+def _equal(df: DataFrame, order_by: list[str], key: Row) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType)) for c, v in zip(order_by, key, strict=True)])
+
+
 def add_row_index(df: DataFrame, order_by: list[str], out: str = "idx") -> DataFrame:
     """Add ``out`` = 0..n-1 unless the column is there already."""
     return df if out in df.columns else number_rows(df, order_by, out)

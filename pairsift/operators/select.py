@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsift.operators.ordering import number_rows
+from pairsift.operators.ordering import cut_at
 
 TRAIN_ROWS = 3000
 EARLY_STOP_ROWS = 250
@@ -29,11 +29,9 @@ def preview(df: DataFrame, order_by: str, n: int = PREVIEW_ROWS) -> DataFrame:
 
 def slice_rows(df: DataFrame, order_by: list[str], first: int = 0, last: int | None = None) -> DataFrame:
     """Rows first..last-1 of the given order, at any depth and on any size of table."""
-    numbered = number_rows(df, order_by, "_row")
-    keep = F.col("_row") >= first
-    if last is not None:
-        keep = keep & (F.col("_row") < last)
-    return numbered.where(keep).drop("_row")
+    if last is None:
+        return cut_at(df, order_by, [first])[1] if first > 0 else df
+    return cut_at(df, order_by, [first, last])[1]
 
 
 def first_n_per_group(df: DataFrame, group: str, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFrame:
@@ -57,5 +55,5 @@ def union_splits(**splits: DataFrame) -> DataFrame:
 
 def build_distill_eval_sets(dev: DataFrame, devtest: DataFrame, order_by: str) -> tuple[DataFrame, DataFrame]:
     """(dev + first part of devtest, next part of devtest); the two never share a row."""
-    distill = union_splits(dev=dev, devtest=slice_rows(devtest, [order_by], 0, SLICE_FROM))
-    return distill, slice_rows(devtest, [order_by], SLICE_FROM, SLICE_TO)
+    head, middle, _ = cut_at(devtest, [order_by], [SLICE_FROM, SLICE_TO])
+    return union_splits(dev=dev, devtest=head), middle

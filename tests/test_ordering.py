@@ -141,3 +141,29 @@ def test_ranks_of_several_columns_with_values_over_many_buckets(spark, buckets):
     for value, out in outs.items():
         pd.testing.assert_series_equal(got[out], values[value].rank(pct=True), check_names=False, atol=1e-12)
     assert ordering.pct_ranks(df.where("false"), outs, buckets=buckets).count() == 0
+
+
+@pytest.mark.parametrize(("few", "values"), [(1, "tied"), (10_000, "tied"), (1, "one"), (1, "none")])
+def test_parts_cut_at_positions(spark, monkeypatch, few, values):
+    monkeypatch.setattr(ordering, "FEW", few)
+    r = random.Random(few)
+    key = {"tied": lambda i: r.choice([None, 3, 3, 3, r.randrange(40)]), "one": lambda i: 5, "distinct": lambda i: i, "none": lambda i: i}[values]
+    rows = [(key(i), f"t{i // 2}", i) for i in range(0 if values == "none" else 300)]
+    df = spark.createDataFrame(rows, "k int, t string, i int").repartition(5)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    edges = [7, 110, 110, 1000]
+    parts = [[tuple(x) for x in p.collect()] for p in ordering.cut_at(df, ["k"], edges)]
+    assert sorted(map(repr, sum(parts, []))) == sorted(map(repr, rows))
+    for first, last, part in zip([0, *edges], [*edges, None], parts, strict=True):
+        assert sorted(map(repr, (x[0] for x in part))) == sorted(map(repr, (x[0] for x in order[first:last])))
+    pair = [tuple(x) for x in ordering.cut_at(df, ["k", "i"], [20, 45])[1].collect()]
+    assert sorted(map(repr, pair)) == sorted(map(repr, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[2]))[20:45]))
+
+
+def test_a_slice_is_a_filter_on_its_key(spark, capsys):
+    df = spark.range(50_000).selectExpr("id", "repeat('x', 50) AS text")
+    part = ordering.cut_at(df, ["id"], [503, 1003])[1]
+    part.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Window" not in plan
+    assert [x["id"] for x in part.orderBy("id").collect()] == list(range(503, 1003))
