@@ -21,27 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairsift.llm.common import least_hashed
+
 SAMPLE = 1_000
 TAG_SCORE = -0.05
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"[^\S]+")
 
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select annotation annotation-xml".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_END = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 # names that tell content from the rest on the open web, and names of parts that are never content
 HINTS = {
     "in": "article main content post entry story body text prose paragraph".split(),
-    "out": "nav menu navbar breadcrumb breadcrumbs header masthead footer aside sidebar rail widget banner notice alert cookie consent gdpr ad ads advert adverts advertisement sponsor sponsored promo promotion form search login signup subscribe newsletter comment comments reply replies discussion disqus related recommended share social toolbar pagination copyright legal hidden modal popup overlay navigation complementary contentinfo dialog".split(),
+    "out": "nav menu navbar breadcrumb breadcrumbs header masthead footer aside sidebar rail widget banner notice alert cookie consent gdpr ad ads advert adverts advertisement sponsor sponsored promo promotion form search login signup subscribe newsletter comment comments commentlist commentform reply replies discussion disqus related recommended share social toolbar pagination copyright legal hidden modal popup overlay navigation complementary contentinfo dialog".split(),
 }
 OUT = frozenset(HINTS["out"])
 GENERIC = INLINE | frozenset("html body div section ul ol li table tbody thead tfoot tr td th".split())  # used for anything
+MODIFIERS = frozenset("has no not with without is js hide show free".split())  # "has-sidebar" names what a part has, not what it is
+LAYOUT = frozenset("nav menu navbar header masthead footer aside sidebar rail banner search toolbar".split())  # may name a page's layout
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption pre dd".split())
+VETO = "!"  # among an element's names: never content
 LINK_SCORE = -0.5
 OUT_SCORE = -0.5  # of a whole stretch of text, which is left out anyway: it may lie between two paragraphs
 NEVER = RAW | {"head", "form", "nav", "aside", "footer", "button", "menu", "dialog", "select"}
@@ -49,9 +55,23 @@ _PRIOR = 5.0
 
 
 def context_names(tag: str, attributes: str) -> tuple[str, ...]:
-    names = [tag]
-    for _, value in _NAMES.findall(attributes):
-        names += _WORD.findall(_CAMEL.sub(" ", value).lower())
+    """The tag, the words of its class, id and role, and ``VETO`` if one of these says that it is never content.
+
+    A class token with a word of ``MODIFIERS`` says nothing. A word of ``LAYOUT`` counts as the first or last word of a token, and
+    only where no whole token of the element says content ("content sidebar-left").
+    """
+    names, out = [tag], False
+    tokens = [t for name, value in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role") for t in value.strip("\"'").split()]
+    content = any(t.lower() in HINTS["in"] for t in tokens)
+    for token in tokens:
+        words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+        if MODIFIERS & set(words):
+            continue
+        words = [w for k, w in enumerate(words) if w not in LAYOUT or k in (0, len(words) - 1) and not content]
+        names += words
+        out = out or any(w in OUT and w != "header" for w in words)
+    if out and tag not in ("html", "body"):
+        names.append(VETO)
     return tuple(dict.fromkeys(names))
 
 
@@ -105,7 +125,17 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ..
 
 
 def _flat(context: tuple[tuple[str, ...], ...]) -> set[str]:
-    return {n for names in context for n in names}
+    return {n for names in context for n in names} - {VETO}
+
+
+def is_vetoed(context: tuple[tuple[str, ...], ...]) -> bool:
+    """Whether text in this context is never content: by an element, or by names from the outermost ``article`` or ``main`` on."""
+    tags = {names[0] for names in context}
+    marked = tags & {"article", "main"}
+    if tags & NEVER or "header" in tags and not marked:
+        return True
+    outer = min((k for k, names in enumerate(context) if names[0] in marked), default=0)
+    return any(VETO in names for names in context[outer:])
 
 
 def is_labelled(page: str) -> bool:
@@ -117,7 +147,7 @@ def count_names(page: str, inside: Counter, outside: Counter) -> None:
     for kind, text, context in page_tokens(page):
         if kind == "text" and (n := len(text.split())):
             names = _flat(context)
-            marked = bool(names & {"article", "main"}) and not names & OUT
+            marked = any(c[0] in ("article", "main") for c in context) and not is_vetoed(context)
             (inside if marked else outside).update(dict.fromkeys(names, n))
             (inside if marked else outside)[""] += n
 
@@ -138,44 +168,53 @@ def learn_weights(inside: Counter, outside: Counter) -> dict[str, float]:
 def word_score(context: tuple[tuple[str, ...], ...], weights: dict[str, float]) -> tuple[float, bool]:
     """Score of a word by the names around it, and whether it may be part of the text at all.
 
-    Elements that are used for anything say nothing; words of links are a little below zero, so that a list of links
-    isn't taken for text but a link in a sentence stays.
+    Elements that are used for anything say nothing.
     """
-    tags = {names[0] for names in context}
-    inner = max((k for k, names in enumerate(context) if names[0] in ("article", "main")), default=0)
-    out = tags & NEVER or "header" in tags and not tags & {"article", "main"}
-    if out or any(n in OUT and n != "header" for names in context[inner:] for n in names[0 if names[0] != "body" else 1 :]):
+    if is_vetoed(context):
         return 0.0, False
     total = 0.25 + sum(weights.get(n, 0.0) for names in context for k, n in enumerate(names) if k or n not in GENERIC)
-    return max(-1.0, min(1.0, total)) if "a" not in tags else LINK_SCORE, True
+    return max(-1.0, min(1.0, total)), True
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page: its best region's blocks, each with single blanks, joined by a blank."""
+    """The main text of a page: its best region's blocks, each with single blanks, joined by a blank.
+
+    A block that is nothing but links scores a little below zero, so that a list of links isn't taken for text; links in
+    sentences and linked paragraphs and headings score as the words around them.
+    """
     if not page:
         return ""
+    tokens = list(page_tokens(page))
+    block, blocks, plain = 0, [], set()  # the block of each token; blocks with words outside links
+    for kind, text, context in tokens:
+        if kind == "tag" and text not in INLINE:
+            block += 1
+        blocks.append(block)
+        if kind == "text" and any(c.isalnum() for c in text):
+            near = next((names[0] for names in reversed(context) if names[0] not in INLINE), "")
+            if near in PROSE or all(names[0] != "a" for names in context):
+                plain.add(block)
     scores: dict[tuple, tuple[float, bool]] = {}
-    best, total, first, region, tokens = 0.0, 0.0, 0, (0, 0), []
-    for k, (kind, text, context) in enumerate(page_tokens(page)):
+    best, total, first, region = 0.0, 0.0, 0, (0, 0)
+    for k, (kind, text, context) in enumerate(tokens):
+        gain = TAG_SCORE
         if kind == "text":
             if context not in scores:
                 scores[context] = word_score(context, weights)
             own, stays = scores[context]
-            gain = own * len(text.split()) if stays else OUT_SCORE
-        else:
-            gain, stays = TAG_SCORE, True
-        tokens.append((kind, text, stays))
+            linked = blocks[k] not in plain and any(names[0] == "a" for names in context)
+            gain = (min(own, LINK_SCORE) if linked else own) * len(text.split()) if stays else OUT_SCORE
         if total <= 0:
             total, first = 0.0, k
         total += gain
         if total > best:
             best, region = total, (first, k + 1)
     parts = []
-    for kind, text, stays in tokens[region[0] : region[1]]:
+    for kind, text, context in tokens[region[0] : region[1]]:
         if kind == "tag":
             if text not in INLINE:
                 parts.append(" ")
-        elif stays:
+        elif scores[context][1]:
             parts.append(text)
     return " ".join("".join(parts).split())
 
@@ -192,7 +231,7 @@ def _name_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most ``sample`` labelled pages; without any, the hints alone."""
     labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    chosen = labelled.select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(sample)
+    chosen = least_hashed(labelled, F.xxhash64("page_id", "html"), sample)
     counts = chosen.select("html").mapInArrow(_name_rows, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     top = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(10_000).collect()
     return learn_weights(Counter({r["name"]: r["inside"] for r in top}), Counter({r["name"]: r["outside"] for r in top}))

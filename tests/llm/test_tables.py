@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,6 +33,27 @@ PAGE = """<html><body class="page"><header><h1>Site</h1> menu</header><div id="c
 <footer>copyright stuff</footer><script>var t="</p><p>no</p>"</script></body></html>"""
 
 
+LONG = "plain words of the story that go on for a while"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body class='no-sidebar'><div class='content has-sidebar'><p>{LONG}</p></div></body>", LONG),
+        (f"<div class='content sidebar-left'><p>{LONG}</p></div><div class='sidebar-left'>{LONG}</div>", LONG),
+        (f"<article><p data-id='ad' data-x='class=ad'>{LONG}</p><p class='ad'>buy</p></article>", LONG),
+        (f"<article><p><a href='x'>{LONG}</a></p><p>{LONG}</p><p>See <a href='y'>that other page</a></p></article>", f"{LONG} {LONG} See that other page"),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> end</p></article>", f"{LONG} x=2 end"),
+        (f"<main><p>{LONG}</p><ol class='commentlist'><li>{LONG} I say</li></ol></main>", LONG),
+        (f"<main><article><p>{LONG}</p></article><div class='sidebar'><article><p>{LONG} other</p></article></div></main>", LONG),
+        (f"<div><ul><li><a href='a'>Home page</a></li><li><a href='b'>All news</a></li></ul><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><div class='my-ad-slot'>buy now</div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    ],
+)
+def test_main_text_of_small_pages(page, want):
+    assert main_text(page, learn_weights(Counter(), Counter())) == want
+
+
 def test_main_text_leaves_out_what_is_no_text(spark):
     from collections import Counter
 
