@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import text_slices
+from pairsift.llm.common import least_hashed, text_slices
 
 TABLE = 16_384
 LONGEST = 32
@@ -99,7 +99,7 @@ def _frequent_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE, size: int = TABLE) -> dict[str, int]:
     """Token counts of the pieces most frequent in ``sample`` documents, those with the least hash of their text."""
-    chosen = docs.select("text", F.xxhash64("text").alias("h")).where(F.octet_length("text") < 1 << 16).orderBy("h").limit(sample)
+    chosen = least_hashed(docs.select("text").where(F.octet_length("text") < 1 << 16), F.xxhash64("text"), sample)
     top = chosen.select("text").mapInArrow(_frequent_rows, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = [r["piece"] for r in top.orderBy(F.desc("n"), "piece").limit(size).collect()]  # bounded by ``size``
     return dict(zip(pieces, lengths_of(path, [" " + p for p in pieces]), strict=True))
