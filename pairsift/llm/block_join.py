@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsift.llm.pivot_topk import _matrix
-from pairsift.llm.vectors import usable
+from pairsift.llm.vectors import of_one_length, usable
 from pairsift.session import checkpoint
 
 BLOCK = 4_096
@@ -95,12 +95,12 @@ def _merged_rows(k: int):
 def nearest_by_cosine(rows: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, its ``k`` nearest other rows (all, if fewer).
 
-    ``rows``: vec_id, embedding (numbers of one length). Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do null ids. Ties go to the smaller vec_id; a repeated id is a candidate once
+    ``rows``: vec_id, embedding. Vectors that are null, empty, zero, hold null or non-finite components or have
+    another length than the commonest take no part, nor do null ids. Ties go to the smaller vec_id; a repeated id is a candidate once
     for each row. An empty table gives an empty result. Blocks are dealt by hash, so equal vectors spread.
     """
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v"), nonzero=True))
+    vectors = of_one_length(vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v"), nonzero=True)), "v")
     counts = vectors.agg(F.count(F.lit(1)), F.sum((F.col("vec_id") % every == 0).cast("long"))).first()
     blocks, query_blocks = (max(1, -(-(n or 0) // size)) for n, size in zip(counts, (block, query_block), strict=True))
     placed = checkpoint(vectors.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")))

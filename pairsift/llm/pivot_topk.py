@@ -20,22 +20,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsift.llm.vectors import usable
+from pairsift.llm.vectors import of_one_length, usable
 from pairsift.session import checkpoint
 
 PIVOTS = 32
 PIVOT_SAMPLE = 4_096
 RING = 2_048
 SLACK = 1e-6  # relative; covers the rounding of distances
+EXACT = 2.0**53  # below it, float64 holds squares, products and their sums exactly
+WIDEST = 2.0**62
+
+
+def slack(top: float) -> float:
+    """Absolute rounding of distances: beyond ``EXACT``, differences of squares are off by about 1e-16 of them."""
+    return SLACK if top < EXACT else SLACK * (1 + top**0.5)
+
+
+def squared(vector: str) -> Column:
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, v): components as integers; rows that take no part are gone."""
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e")).where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    return vectors.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
+    return of_one_length(vectors.select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 256)).alias("v")), "v")
 
 
 def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> np.ndarray:
@@ -94,20 +105,21 @@ def _search_cell(key: tuple, cell: pa.Table, asks: pa.Table, k: int, top: float)
     out = ([], [], [])
     if cell.num_rows and asks.num_rows:
         order = np.lexsort((cell.column("vec_id").to_numpy(), cell.column("far").to_numpy()))
-        v = _matrix(cell.column("v").combine_chunks()).astype(float)[order]
+        kind = float if top < EXACT else np.int64  # of the products
+        v = _matrix(cell.column("v").combine_chunks()).astype(kind)[order]
         far, ids = cell.column("far").to_numpy()[order], cell.column("vec_id").to_numpy()[order]
-        q = _matrix(asks.column("q").combine_chunks()).astype(float)
+        q = _matrix(asks.column("q").combine_chunks()).astype(kind)
         least = asks.column("kth").to_numpy(zero_copy_only=False)  # NaN: no k-th score yet
         for a in range(0, len(q), 512):
             part = q[a : a + 512]
-            norm = (part**2).sum(axis=1)
+            norm = (part.astype(float) ** 2).sum(axis=1)
             for i, (own, d, at) in enumerate(zip(asks.column("query_id").to_numpy()[a : a + 512], asks.column("far").to_numpy()[a : a + 512], least[a : a + 512], strict=True)):
-                score = np.zeros(0)
+                score = np.zeros(0, kind)
                 found = np.zeros(0, np.int64)
                 lo = hi = int(np.searchsorted(far, d))
                 step = max(64, 4 * k)
                 while lo > 0 or hi < len(far):
-                    reach = np.sqrt(max(0.0, norm[i] + top - 2 * at)) * (1 + SLACK) + SLACK if at == at else np.inf
+                    reach = np.sqrt(max(0.0, norm[i] + top - 2 * at)) * (1 + SLACK) + slack(top) if at == at else np.inf
                     left, right = max(0, lo - step), min(len(far), hi + step)
                     left = max(left, int(np.searchsorted(far, d - reach))) if lo > 0 else lo
                     right = min(right, int(np.searchsorted(far, d + reach, side="right"))) if hi < len(far) else hi
@@ -121,7 +133,7 @@ def _search_cell(key: tuple, cell: pa.Table, asks: pa.Table, k: int, top: float)
                     best = np.lexsort((found, -score))[:k]
                     score, found = score[best], found[best]
                     if len(score) == k:
-                        at = max(at, score[-1]) if at == at else score[-1]
+                        at = max(at, float(score[-1])) if at == at else float(score[-1])
                 out[0].append(np.full(len(found), own))
                 out[1].append(found)
                 out[2].append(score)
@@ -145,8 +157,8 @@ def best_k(found: DataFrame, k: int) -> DataFrame:
 def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS, ring: int = RING) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, its ``k`` best other rows (all, if fewer).
 
-    ``rows``: vec_id, embedding (numbers of one length). Vectors that are null, empty or hold null or non-finite
-    components take no part, nor do null ids. Rows of the query's own id are no candidates; a repeated id is
+    ``rows``: vec_id, embedding. Vectors that are null, empty, hold null or non-finite components or have another length
+    than the commonest take no part, nor do null ids. Scores are exact; a squared length of 2**62 or more is an error, as scores may not fit a long. Rows of the query's own id are no candidates; a repeated id is
     a candidate once for each row. Ties go to the smaller vec_id. An empty table gives an empty result.
     """
     vectors = whole_vectors(rows)
@@ -154,8 +166,9 @@ def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVO
     shape = "query_id long, rank int, vec_id long, score long"
     if not len(chosen):
         return rows.sparkSession.createDataFrame([], shape)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    top = float(vectors.agg(F.max(square)).first()[0])
+    top = float(vectors.agg(F.max(squared("v"))).first()[0])
+    if top >= WIDEST:
+        raise ValueError("a vector's squared length is 2**62 or more in steps of 1/256: scores may not fit a long")
     keyed = vectors.mapInArrow(_keyed_rows(chosen, top), "vec_id long, v array<long>, pivot int, far double")
 
     spread = keyed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("far", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("cuts"))
@@ -182,9 +195,9 @@ def exact_top_k(rows: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVO
     first = routes.join(nearest, ["query_id", "pivot", "ring"], "left_semi").withColumn("kth", F.lit(None).cast("double"))
     start = checkpoint(best_k(_search(cells, visits(first), k, top), k))
     kth = start.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    norms = asks.select("query_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x * x).alias("norm"))
+    norms = asks.select("query_id", squared("q").alias("norm"))
     open_ = routes.join(nearest, ["query_id", "pivot", "ring"], "left_anti").join(kth, "query_id", "left").join(norms, "query_id")
-    reach = F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + top - 2 * F.col("kth"))) * (1 + SLACK) + SLACK
+    reach = F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + top - 2 * F.col("kth"))) * (1 + SLACK) + slack(top)
     rest = open_.where(F.col("kth").isNull() | (F.col("bound") <= reach))
     later = _search(cells, visits(rest), k, top)
     return best_k(start.select("query_id", "vec_id", "score").unionByName(later), k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,10 @@ def usable(vector: Column, nonzero: bool = False) -> Column:
     if nonzero:
         good &= F.exists(vector, lambda x: x != 0)
     return F.coalesce(good, F.lit(False))
+
+
+def of_one_length(rows: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector has the commonest length (of equally common ones, the greatest): others can't be compared with them."""
+    sizes = rows.groupBy(F.size(vector).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    common = sizes.orderBy(F.desc("n"), F.desc("size")).first()
+    return rows if common is None else rows.where(F.size(vector) == common["size"])

@@ -158,3 +158,22 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     model = __import__("pairsift.llm.sentencepiece_scan", fromlist=["x"]).Pieces(corpus_pipeline.tokenizer_file("piece_bpe_32k.model")).model
     mixed = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "3")).collect()}
     assert all(r["ids"] == model.encode(mixed[r["doc_id"]]) for r in random.Random(1).sample(docs.collect(), 20))
+
+
+def test_vectors_of_other_lengths_and_large_components(spark):
+    r = random.Random(5)
+    rows = [(i, [r.choice([1.0, 1e3]) * r.gauss(0, 400) for _ in range(6)]) for i in range(240)]
+    odd = [(1000, [1.0, 2.0, 3.0]), (1050, [1.0] * 9), (1100, [])]
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    assert max(sum(x * x for x in v) for v in whole.values()) > 2**53
+    got = [tuple(x) for x in pivot_topk.exact_top_k(df, pivots=5, ring=16).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 240, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert got == want
+    near = block_join.nearest_by_cosine(df, block=30, query_block=2)
+    assert {x["query_id"] for x in near.collect()} == set(range(0, 240, 50)) and near.count() == 25
+    with pytest.raises(ValueError, match="2\\*\\*62"):
+        pivot_topk.exact_top_k(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>"))
