@@ -73,6 +73,14 @@ def least_hashed(rows: DataFrame, key: Column, n: int) -> DataFrame:
     return rows.withColumn("_h", key).where(F.col("_h") <= F.lit(border)).dropDuplicates(["_h"]).drop("_h")
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of ``tables`` is called so (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Seen:
     """Remembers keys of one task, within a bound; forgetting one costs a repeated row, nothing else."""
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairsift.llm.common import free_name
+
 STEP = 32.0
 DEPTH = 160  # P(Poisson(32) > 160) is under 1e-50
 
@@ -58,16 +60,17 @@ def bucket_of(weights: dict[str, float], by: str) -> Column:
     return F.when(F.col(by).isin(*weights), F.col(by))
 
 
-def with_repetitions(docs: DataFrame, weights: dict[str, float], seed: int, by: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_n``, how often each row is taken; rows with equal (also null) keys are taken equally often."""
-    rates = F.broadcast(source_rates(docs, weights, by).drop("mean").withColumnsRenamed({"bucket": "_bucket", "parts": "_parts", "upto": "_upto"}))
-    drawn = docs.withColumn("_own", bucket_of(weights, by))
-    joined = drawn.join(rates, F.col("_own").eqNullSafe(F.col("_bucket")))
+def with_repetitions(docs: DataFrame, weights: dict[str, float], seed: int, by: str = "source", key: str = "doc_id", out: str = "_n") -> DataFrame:
+    """``docs`` with ``out`` (not a name of its columns), how often each row is taken; rows with equal (also null) keys are taken equally often."""
+    own, bucket, parts, upto = (free_name(c, docs) for c in ("_own", "_bucket", "_parts", "_upto"))
+    rates = F.broadcast(source_rates(docs, weights, by).select(F.col("bucket").alias(bucket), F.col("parts").alias(parts), F.col("upto").alias(upto)))
+    drawn = docs.withColumn(own, bucket_of(weights, by))
+    joined = drawn.join(rates, F.col(own).eqNullSafe(F.col(bucket)))
 
     # an array of its own: inside the filter, the hash would be made anew for each entry of the table
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda part: uniform(f"{seed}", F.col(key), part))
-    count = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter("_upto", lambda p: p <= u)).cast("long"))
-    return joined.withColumn("_n", count).select(*docs.columns, "_n")
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda part: uniform(f"{seed}", F.col(key), part))
+    count = F.aggregate(draws, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter(upto, lambda p: p <= u)).cast("long"))
+    return joined.withColumn(out, count).select(*docs.columns, out)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 1, by: str = "source", key: str = "doc_id") -> DataFrame:
@@ -76,7 +79,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 1, by: s
     Needs columns ``key``, ``by`` and text; all columns pass unchanged (columns named ``copy`` or ``mix_key`` are replaced).
     An empty table gives an empty mixture. Weights of sources that don't occur are lost, not given to others.
     """
-    taken = with_repetitions(docs, weights, seed, by, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("_n", F.lit(1).cast("long")))))
-    taken = taken.where("_n > 0").drop("_n")
+    n = free_name("_n", docs)
+    taken = with_repetitions(docs, weights, seed, by, key, n).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1).cast("long")))))
+    taken = taken.where(F.col(n) > 0).drop(n)
     mix_key = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col(key).cast("string"), F.lit("")), "copy"))
     return taken.withColumn("mix_key", mix_key).orderBy("mix_key", "copy")

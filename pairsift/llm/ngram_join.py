@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import Seen, keyed_runs, run_starts, text_key, text_slices
+from pairsift.llm.common import Seen, free_name, keyed_runs, run_starts, text_key, text_slices
 from pairsift.llm.components import components
 from pairsift.llm.words import mix, shingle_sets
 from pairsift.session import checkpoint
@@ -411,7 +411,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     groups = _grouped_rows(docs, width, num, den).where("doc_id IS NOT NULL")
     place = F.min(F.struct("t", "t2")).alias("first")
     firsts = groups.where("n > 0 AND doc_id = component_id").groupBy("root", "doc_id").agg(place).select("doc_id", "first.t", "first.t2")
-    stay = firsts.unionByName(groups.where("n = 0").select("doc_id", "t", "t2")).withColumnsRenamed({"t": "_t", "t2": "_t2"})
-    keyed = docs.withColumns(dict(zip(("_t", "_t2"), text_key(F.col("text").cast("string")), strict=True)))
-    known = keyed.join(stay, ["doc_id", "_t", "_t2"], "left_semi").dropDuplicates(["doc_id", "_t", "_t2"])
+    keys = [free_name("_t", docs), free_name("_t2", docs)]
+    stay = firsts.unionByName(groups.where("n = 0").select("doc_id", "t", "t2")).withColumnsRenamed(dict(zip(("t", "t2"), keys, strict=True)))
+    keyed = docs.withColumns(dict(zip(keys, text_key(F.col("text").cast("string")), strict=True)))
+    known = keyed.join(stay, ["doc_id", *keys], "left_semi").dropDuplicates(["doc_id", *keys])
     return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import text_slices
+from pairsift.llm.common import free_name, text_slices
 from pairsift.llm.words import pieces, prefix_sums, spans_hash, word_spans
 
 PASSAGE = 64  # words
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
     return AttentionModel().fit(bags, np.array([float(r["quality"]) for r in rows]))
 
 
-def _score_rows(model: AttentionModel | None):
+def _score_rows(model: AttentionModel | None, out: str):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
@@ -177,20 +177,20 @@ def _score_rows(model: AttentionModel | None):
                 at = np.cumsum([0, *[len(b) for b in bags[:-1]]])
                 parts.append(model.forward(np.concatenate(bags).astype(np.float64), at)[0])
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, out])
 
     return rows
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``_score``, the chance that the text is labelled 1 (0 to 1).
+def with_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, out: str = "_score") -> DataFrame:
+    """``docs`` with ``out`` (not a name of its columns), the chance that the text is labelled 1 (0 to 1).
 
     The score depends on the text alone; null and empty texts get the score of a bag of one empty passage. Without any
     labelled document every score is 0.5. Repeated rows get equal scores; other columns pass unchanged.
     """
     model = train(docs, labels, sample)
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "_score double"])
-    return docs.mapInArrow(_score_rows(model), shape)
+    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{out}` double"])
+    return docs.mapInArrow(_score_rows(model, out), shape)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -203,4 +203,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``."""
-    return with_quality(docs, labels, sample).where(F.col("_score") >= least).select(*docs.columns)
+    out = free_name("_score", docs)
+    return with_quality(docs, labels, sample, out).where(F.col(out) >= least).select(*docs.columns)

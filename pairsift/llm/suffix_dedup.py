@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import Seen, keyed_runs, run_starts, text_key, text_slices
+from pairsift.llm.common import Seen, free_name, keyed_runs, run_starts, text_key, text_slices
 from pairsift.llm.deep_shallow import common_prefix, deep_shallow_order
 from pairsift.llm.words import SPACE, prefix_sums, spans_hash, word_spans
 from pairsift.session import checkpoint
@@ -363,15 +363,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = CROWD, words: int | None = None) -> DataFrame:
-    """``docs`` (any columns, one of them ``text``) with ``_spans``: the byte spans to remove, unmerged, or null.
+def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = CROWD, words: int | None = None, out: str = "_spans") -> DataFrame:
+    """``docs`` (any columns, one of them ``text``) with ``out`` (not one of their names): the byte spans to remove, unmerged, or null.
 
     A span covers bytes of strings of ``length`` UTF-8 bytes that also start anywhere else, in the same text or in
     another row; strings never cross rows. Judged on the input. A null or short text has none. With ``words``, runs of
     so many words (of bytes but ASCII white space) count as well, with the white space between them.
     """
-    keyed = docs.withColumns(dict(zip(("_c1", "_c2"), text_key(F.col("text")), strict=True)))
-    texts = keyed.select(F.col("_c1").alias("c1"), F.col("_c2").alias("c2"), F.col("text").cast("string").alias("text"))
+    keys = [free_name("_c1", docs), free_name("_c2", docs)]
+    keyed = docs.withColumns(dict(zip(keys, text_key(F.col("text")), strict=True)))
+    texts = keyed.select(F.col(keys[0]).alias("c1"), F.col(keys[1]).alias("c2"), F.col("text").cast("string").alias("text"))
     size, blank = F.octet_length("text"), F.lit(SPACE.decode())
     enough, start, stop = size >= length, F.lit(0), size
     if words:  # a shorter text repeats from its first word to its last
@@ -382,8 +383,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, crowd: int = CROWD, words
     copies = texts.where(enough).groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max(start).alias("start"), F.max(stop).alias("stop")).where("n > 1")
     whole = F.array(F.struct("start", "stop"))
     marks = copies.select("c1", "c2", whole.alias("whole")).join(covered(texts, length, crowd, words), ["c1", "c2"], "full")
-    marks = marks.select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("whole", "spans").alias("_spans"))
-    return keyed.join(marks, ["_c1", "_c2"], "left").drop("_c1", "_c2")
+    marks = marks.select(F.col("c1").alias(keys[0]), F.col("c2").alias(keys[1]), F.coalesce("whole", "spans").alias(out))
+    return keyed.join(marks, keys, "left").drop(*keys)
 
 
 def _digest_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,12 +410,10 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _kept_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = None
+    """Cut ``text`` by the spans in the last column."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        spans = batch.column("_spans")
-        columns = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "_spans"]
-        names = [k for k in batch.schema.names if k != "_spans"]
+        *columns, spans = batch.columns
+        names = batch.schema.names[:-1]
         at = names.index("text")
         old = columns[at].to_pylist()
         new = [cut(t.encode(), merged([(s["start"], s["stop"]) for s in x])).decode(errors="ignore") if t and x else t for t, x in zip(old, spans.to_pylist(), strict=True)]
@@ -434,6 +433,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = CROWD, words
 
     A multi-byte character of which a part is removed goes as a whole. A text that is all repeats becomes empty.
     """
-    marked = repeated_spans(docs, length, crowd, words)
-    kept = marked.select(*docs.columns, "_spans").mapInArrow(_kept_texts, docs.schema)
-    return kept
+    spans = free_name("_spans", docs)
+    marked = repeated_spans(docs, length, crowd, words, spans)
+    return marked.select(*docs.columns, spans).mapInArrow(_kept_texts, docs.schema)

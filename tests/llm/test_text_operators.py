@@ -429,3 +429,18 @@ def test_pipeline_rows_equal_a_brute_force_chain(spark, tmp_path):
     assert out.columns == ["doc_id", "source", "ids", "n_pieces", "round_trip"]
     got = sorted((tuple(r) for r in out.collect()), key=repr)
     assert got == sorted(want, key=repr) and all(r[4] for r in got)
+
+
+def test_columns_with_internal_names_pass_unchanged(spark):
+    names = "_score _n _own _bucket _parts _upto _c1 _c2 _spans _t _t2 _h _row copy_ c1 c2 g place k n".split()
+    text = "many words that come back in another document of this small table " * 12
+    rows = [(i, f"{text if i < 2 else ''} own {i}", "en", "src0", 3, *[f"{c}{i}" for c in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    same = lambda df: {tuple(r[c] for c in names) for r in df.collect()}
+    want = same(docs)
+    assert same(quality.keep_good(docs, labels, least=0.0)) == want
+    assert same(suffix_dedup.remove_repeats(docs, 100, words=20)) == want
+    assert same(ngram_join.drop_near_copies(docs, 5, 4, 5)) <= want
+    assert same(mixing.mix_sources(docs, {"src0": 1.0}, 1)) <= want
+    assert suffix_dedup.remove_repeats(docs, 100).columns == docs.columns
