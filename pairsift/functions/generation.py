@@ -60,10 +60,19 @@ def _differ(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & (F.array_sort(a) != F.array_sort(b))
 
 
+# 10:30, 10h30, 1030 hours
+CLOCK = r"(?U)\b(?:\d{1,2}[:hH]\d{2}|(?:1[0-2]|0?[1-9])[0-5]\d\s*hours?)\b"
+
+
 def time_numbers(x: Column) -> Column:
-    """Distinct clock times written as 10:30 or 10h30, as ``10:30``."""
-    found = F.regexp_extract_all(x, F.lit(r"(?U)\b(\d{1,2}[:hH]\d{2})\b"), 1)
-    return F.array_distinct(F.transform(found, lambda t: F.translate(t, "hH", "::")))
+    """Distinct clock times written as 10:30, 10h30 or 1030 hours, as ``10:30``."""
+    found = F.transform(F.regexp_extract_all(x, F.lit(CLOCK), 0), lambda t: F.regexp_replace(t, r"(?U)\D", ""))
+    return F.array_distinct(F.transform(found, lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 2), F.lit(":"), F.right(d, F.lit(2)))))
+
+
+def without_times(x: Column) -> Column:
+    """``x`` with a blank for each clock time: the numbers inside these spans are gone."""
+    return F.regexp_replace(x, CLOCK, " ")
 
 
 def check_time_numbers(src: Column, hyp: Column) -> Column:
@@ -83,10 +92,11 @@ def number_set_diff(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def critical_error(src: Column, hyp: Column, profile: LangProfile, check_times: bool = False) -> Column:
-    """First reason that applies, or null."""
+    """First reason that applies, or null. With ``check_times``, numbers inside clock times are compared as times only."""
     checks = [check_day_names(src, hyp, profile), check_term_conflict(src, hyp, profile)]
     if check_times:
         checks.append(check_time_numbers(src, hyp))
+        src, hyp = without_times(src), without_times(hyp)
     checks.append(check_numbers(src, hyp))
     return F.coalesce(*checks)
 

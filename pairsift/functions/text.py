@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairsift.profile import LangProfile
+from pairsift.profile import WINDOWS_1252, WINDOWS_1252_UNASSIGNED, LangProfile
 
 SPACE = r"[\s\x1c-\x1f]"
 LETTER = "a-zA-ZÀ-ÿ"
@@ -97,17 +97,30 @@ def char_count(x: Column) -> Column:
 
 # -- stage A: structure -------------------------------------------------------
 
-def repair_mojibake(x: Column) -> Column:
-    """Undo one round of UTF-8 read as Latin-1.
+def as_latin_1(x: Column) -> Column:
+    """The characters that Windows-1252 has at the bytes 0x80 to 0x9F as U+0080 to U+009F."""
+    controls = "".join(chr(b) for b in range(0x80, 0xA0) if b not in WINDOWS_1252_UNASSIGNED)
+    return F.translate(x, WINDOWS_1252, controls)
 
-    Only strings that lie wholly in U+0000-U+00FF and hold a two-byte lead pair are tried,
-    and the repair is kept only when the bytes are valid UTF-8.
-    """
-    suspect = any_of(x, "Ã", "Â") & x.rlike(r"^[\x00-\xFF]*[ÃÂ][\x80-\xBF][\x00-\xFF]*\z")
-    repaired = F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string"))
+
+def _undo_one_round(x: Column) -> Column:
+    narrow = as_latin_1(x)
+    suspect = narrow.rlike(r"^[\x00-\xFF]*(?:[ÃÂÅ][\x80-\xBF]|â[\x80-\xBF]{2})[\x00-\xFF]*\z")
+    repaired = F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string"))
     return F.when(suspect, F.coalesce(repaired, x)).otherwise(x)
 
 
+def repair_mojibake(x: Column, rounds: int = 2) -> Column:
+    """Undo up to ``rounds`` rounds of UTF-8 read as Latin-1 or Windows-1252.
+
+    Only strings whose characters all are single bytes there and that hold the damaged form of an accented letter, a ligature or a
+    punctuation mark are tried, and a repair is kept only when the bytes are valid UTF-8; so a further round
+    on a repaired string changes nothing unless it was damaged twice. A string of which only a part is damaged stays.
+    """
+    undone = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, lambda text, _: _undo_one_round(text))
+    return only_if(any_of(x, "Ã", "Â", "Å", "â€", "â\x80", "â‚", "â\x82"), undone, x)
+
+
 def remove_bom(x: Column) -> Column:
     return F.replace(x, F.lit("\ufeff"), F.lit(""))
 

@@ -27,6 +27,10 @@ ALLOWED_RANGES = (
     (0x2580, 0x259F),  # Block Elements
 )
 
+# what Windows-1252 has at the bytes 0x80 to 0x9F, in their order; five of them are unassigned
+WINDOWS_1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WINDOWS_1252_UNASSIGNED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+
 SCRIPT_RANGES = (
     ("Cyrillic", 0x0400, 0x04FF),
     ("Arabic", 0x0600, 0x06FF),

@@ -8,7 +8,7 @@ from pairsift.functions import text as tx
 from pairsift.functions import unicode as uc
 from pairsift.operators import cleaning
 from pairsift.profile import ENGLISH_OCCITAN as P
-from pairsift.profile import DEFAULT_SCRIPT, SCRIPT_RANGES
+from pairsift.profile import DEFAULT_SCRIPT, SCRIPT_RANGES, WINDOWS_1252, WINDOWS_1252_UNASSIGNED
 from pairsift.operators import catalog
 from pairsift.registry import inputs as inp
 from pairsift.registry.core import query
@@ -195,8 +195,12 @@ def collapse_repeat_char(spark, sf):
 
 @query("repair_mojibake", "SELECT doc_id, text AS clean FROM documents")
 def repair_mojibake(spark, sf):
-    """Breaks every document (UTF-8 read as Latin-1) and repairs it again."""
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    """Breaks every document, UTF-8 read as Latin-1 or as Windows-1252, every other one twice, and repairs it again."""
+    controls = "".join(chr(b) for b in range(0x80, 0xA0) if b not in WINDOWS_1252_UNASSIGNED)
+    latin = lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+    windows = lambda x: F.translate(latin(x), controls, WINDOWS_1252)
+    way = F.col("doc_id") % 4
+    broken = F.when(way == 0, latin("text")).when(way == 1, windows("text")).when(way == 2, windows(windows("text"))).otherwise(latin(windows("text")))
     docs = inp.widen(inp.table(spark, sf, "documents")).select("doc_id", broken.alias("text"))
     return docs.select("doc_id", tx.repair_mojibake(F.col("text")).alias("clean"))
 

@@ -202,13 +202,25 @@ def sql_differ(a, b, reason):
 NUMBERS = sql_differ(sql_nums("src"), sql_nums("hyp"), "Number Mismatch")
 
 
+def sql_clocked(x):
+    """One clock form for all: a bare "1030 hours" is written 10:30 first, then blanks of clock times are single characters."""
+    return rep(x, rf"(^|[^{inp.WORD}])(1[0-2]|0?[1-9])([0-5]\d)\s*hours?($|[^{inp.WORD}])", r"\1\2:\3\4")
+
+
 def sql_times(x):
-    found = rf"regexp_extract_all({x}, '(^|[^{inp.WORD}])(\d{{1,2}}[:hH]\d{{2}})', 2)"
+    found = rf"regexp_extract_all({sql_clocked(x)}, '(^|[^{inp.WORD}])(\d{{1,2}}[:hH]\d{{2}})', 2)"
     return f"list_sort(list_distinct(list_transform({found}, lambda t: translate(t, 'hH', '::'))))"
 
 
+def sql_rest_nums(x):
+    """Numbers by their place: those that begin inside a clock time are left out."""
+    bare = rep(sql_clocked(x), rf"(^|[^{inp.WORD}])(\d{{1,2}})[:hH](\d{{2}})($|[^{inp.WORD}])", r"\1 \4")
+    return sql_nums(bare)
+
+
 TIMES = sql_differ(sql_times("src"), sql_times("hyp"), "Time Mismatch")
 CRITICAL = f"coalesce({DAYS}, {TERMS}, {NUMBERS})"
+REST_NUMBERS = sql_differ(sql_rest_nums("src"), sql_rest_nums("hyp"), "Number Mismatch")
 RULES = (
     ("reject_empty_or_leak", lambda: gen.reject_empty_or_leak(F.col("src"), F.col("hyp")), LEAK),
     ("check_day_names", lambda: gen.check_day_names(F.col("src"), F.col("hyp"), P), DAYS),
@@ -216,6 +228,7 @@ RULES = (
     ("check_time_numbers", lambda: gen.check_time_numbers(F.col("src"), F.col("hyp")), TIMES),
     ("check_numbers", lambda: gen.check_numbers(F.col("src"), F.col("hyp")), NUMBERS),
     ("critical_error", lambda: gen.critical_error(F.col("src"), F.col("hyp"), P), CRITICAL),
+    ("critical_error_with_times", lambda: gen.critical_error(F.col("src"), F.col("hyp"), P, check_times=True), f"coalesce({DAYS}, {TERMS}, {TIMES}, {REST_NUMBERS})"),
 )
 
 

@@ -56,6 +56,9 @@ TEXT_CASES = [
     ("contraction_inside", lambda x: tx.expand_contractions(x, P), "modelar", "mode elar"),
     ("mojibake", tx.repair_mojibake, "cafÃ©", "café"),
     ("no_mojibake", tx.repair_mojibake, "café", "café"),
+    ("mojibake_quotes", tx.repair_mojibake, "â€œcafÃ©â€\x9d cÅ“ur â‚¬", "“café” cœur €"),
+    ("mojibake_twice", tx.repair_mojibake, "cafÃƒÂ© cÃ…â€œur", "café cœur"),
+    ("no_mojibake_windows", tx.repair_mojibake, "“café” âge €", "“café” âge €"),
     ("mojibake_other", tx.repair_mojibake, "cafÃ© 日", "cafÃ© 日"),
     ("nfc", cleaning.normalize_unicode, "é﻿", "é"),
     ("null", cleaning.normalize_unicode, None, ""),
@@ -158,6 +161,12 @@ def test_generation_rules(spark):
     assert one(spark, "en", r=gen.check_numbers(src, hyp)).r is None
     assert one(spark, "oc: hi", r=gen.reject_empty_or_leak(F.lit("Hi"), hyp)).r == "empty/source leak"
     assert one(spark, "a las 10h45", r=gen.check_time_numbers(F.lit("at 10:30"), hyp)).r == "Time Mismatch"
+    assert one(spark, "a las 10h30", r=gen.check_time_numbers(F.lit("at 1030 hours"), hyp)).r is None
+    both = lambda text, hyp_text: one(spark, hyp_text, r=gen.critical_error(F.lit(text), hyp, P, check_times=True)).r
+    assert both("at 10:30 with 3 men", "a 10h30 amb 3") is None
+    assert both("at 10:30 with 3 men", "a 10h30 amb 4") == "Number Mismatch"
+    assert both("at 10:30 with 3 men", "a 10h45 amb 3") == "Time Mismatch"
+    assert both("0930 hours, 7 men", "09:30, 7") is None and both("at 10:30", "30") is None
     prompt = F.lit("P: x -> ")
     assert one(spark, "P: x ->  Adieu, mond.\nextra", r=gen.strip_prompt(hyp, prompt)).r == "Adieu, mond"
     for text, expected in (("", True), ("a", True), ("12 3a", True), ("ok", False), ("日本", True), ("é é", False)):
