@@ -376,9 +376,13 @@ def scripts(spark, sf):
     return d.select("doc_id", F.col("lang").alias("corpus"), F.expr("translate(text, 'abcdefghij', alphabet)").alias("text"))
 
 
+def sql_script(x):
+    return f"""CASE {' '.join(f"WHEN regexp_matches({x}, '[{chr(a)}-{chr(b)}]') THEN {quote(n)}" for n, a, b in SCRIPT_RANGES)} ELSE '{DEFAULT_SCRIPT}' END"""
+
+
 SCRIPTS = f"""scripts AS (
   SELECT doc_id, lang AS corpus, translate(text, 'abcdefghij', {inp.sql_pick(ALPHABETS, 'doc_id')}) AS text FROM documents),
-detected AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(text, '[{chr(a)}-{chr(b)}]') THEN {quote(n)}" for n, a, b in SCRIPT_RANGES)} ELSE '{DEFAULT_SCRIPT}' END AS script FROM scripts)"""
+detected AS (SELECT *, {sql_script('text')} AS script FROM scripts)"""
 
 
 @query("detect_script", f"WITH {SCRIPTS} SELECT doc_id, script FROM detected")

@@ -10,7 +10,7 @@ from pairsift.plans import curate
 from pairsift.profile import ENGLISH_OCCITAN as P
 from pairsift.registry import inputs as inp
 from pairsift.registry.core import query
-from pairsift.registry.cleaning import chain_ctes
+from pairsift.registry.cleaning import ALPHABETS, chain_ctes, sql_script
 from pairsift.registry.pairs import GATE, ROUTED, sql_anagram, sql_indicators, stage_c_ctes
 from pairsift.registry.scoring import PARTS, r6, sql_r6
 from pairsift.session import scratch_path
@@ -33,11 +33,19 @@ def load_pairs(spark, sf):
     return corpus.load_pairs(spark, path)
 
 
-@query("from_records", PAIRS)
-def from_records(spark, sf):
+@query("from_struct", PAIRS)
+def from_struct(spark, sf):
     return corpus.from_struct(as_struct(inp.line_pairs(spark, sf)), "en", "oc")
 
 
+@query("from_records", "SELECT config, count(*) AS n FROM (SELECT 'en-' || lang AS config FROM documents) GROUP BY config")
+def from_records(spark, sf):
+    """A table of one row for each language, made of local records (the operator is for small local data), joined with all documents."""
+    langs = [r["lang"] for r in inp.table(spark, sf, "documents").select("lang").distinct().collect()]
+    known = corpus.from_records(spark, [{"lang": x, "config": f"en-{x}"} for x in langs], "lang string, config string")
+    return inp.table(spark, sf, "documents").select("lang").join(known, "lang").groupBy("config").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sink_scored", f"WITH {inp.SCORED} SELECT pair_id, src, tgt, {sql_r6(*PARTS)}, veto FROM scored")
 def sink_scored(spark, sf):
     path = scratch_path(spark, "scored")
@@ -57,11 +65,6 @@ def sink_clean_log(spark, sf):
 
 # -- alignment ---------------------------------------------------------------------
 
-def mono(spark, sf, lang):
-    d = inp.table(spark, sf, "documents").where(F.col("lang") == lang).select("doc_id", "text")
-    return ordering.number_rows(d, ["doc_id"], "sent_id")
-
-
 ZIPPED = """mono AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS sent_id FROM documents),
 zipped AS (SELECT e.sent_id, e.text AS src, f.text AS tgt FROM mono e JOIN mono f ON f.sent_id = e.sent_id AND e.lang = 'en' AND f.lang = 'fr')"""
 
@@ -73,6 +76,15 @@ def zip_parallel(spark, sf):
     return aligning.zip_parallel(*sides, order_by=["doc_id"])
 
 
+@query("load_monolingual_pair", f"WITH {ZIPPED} SELECT sent_id, src, tgt FROM zipped")
+def load_monolingual_pair(spark, sf):
+    """Writes the texts of two languages in order, without ids, and pairs them by their place in the files."""
+    d, paths = inp.table(spark, sf, "documents"), [scratch_path(spark, f"mono-{c}") for c in ("en", "fr")]
+    for c, path in zip(("en", "fr"), paths, strict=True):
+        d.where(F.col("lang") == c).select("doc_id", "text").orderBy("doc_id").drop("doc_id").write.parquet(path)
+    return corpus.load_monolingual_pair(spark, *paths, sent_id=None)
+
+
 @query(
     "zip_hyp_ref",
     f"WITH {inp.GENERATIONS} SELECT pair_id, src, gold, raw FROM generations",
@@ -113,14 +125,40 @@ def _catalog(spark, sf, limit):
     return catalog.corpus_catalog(inp.table(spark, sf, "documents").select(config.alias("config")), names, limit)
 
 
-@query("corpus_catalog", f"WITH {CATALOG.format(limit=400)} SELECT * FROM catalog")
+@query("corpus_catalog", f"WITH {CATALOG.format(limit=100000)} SELECT * FROM catalog")
 def corpus_catalog(spark, sf):
-    return _catalog(spark, sf, 400)
+    return _catalog(spark, sf, catalog.FEWER_THAN)
 
 
 @query("order_catalog", f"WITH {CATALOG.format(limit=100000)} SELECT * FROM catalog ORDER BY num_examples DESC, config")
 def order_catalog(spark, sf):
-    return _catalog(spark, sf, 100000)
+    return _catalog(spark, sf, catalog.FEWER_THAN)
+
+
+# twelve corpora for each language, two thirds of their rows in one alphabet; all documents
+MANY_CORPORA = f"""many AS (SELECT doc_id, CASE WHEN doc_id % 12 = 5 THEN 'de' ELSE 'en' END || '-' || lang || '-' || doc_id % 12 AS config,
+  CASE WHEN doc_id // 12 % 3 = 0 THEN text ELSE translate(text, 'abcdefghij', {inp.sql_pick(ALPHABETS, 'doc_id % 12')}) END AS text FROM documents)"""
+CANDIDATES = f"""{MANY_CORPORA},
+heads AS (SELECT * FROM many QUALIFY row_number() OVER (PARTITION BY config ORDER BY doc_id) <= 10),
+named AS (SELECT config, {sql_script('text')} AS script FROM heads),
+majority AS (SELECT config, script FROM (SELECT config, script, row_number() OVER (PARTITION BY config ORDER BY count(*) DESC, script) AS rn FROM named GROUP BY config, script) WHERE rn = 1),
+sizes AS (SELECT config, count(*) AS num_examples FROM many WHERE config LIKE 'en%' GROUP BY config HAVING count(*) < 100000),
+cat_names AS (SELECT * FROM (VALUES ('en', 'English'), ('fr', 'French'), ('de', 'German')) v(code, name))"""
+
+
+@query(
+    "candidate_corpora",
+    f"""WITH {CANDIDATES} SELECT config, num_examples, coalesce(s.name, split_part(config, '-', 1)) AS source, coalesce(t.name, split_part(config, '-', 2)) AS target, script
+FROM sizes JOIN majority USING (config) LEFT JOIN cat_names s ON s.code = split_part(config, '-', 1) LEFT JOIN cat_names t ON t.code = split_part(config, '-', 2)
+WHERE script = 'Latin' ORDER BY num_examples DESC, config""",
+)
+def candidate_corpora(spark, sf):
+    d = inp.table(spark, sf, "documents").select("doc_id", "lang", "text").withColumn("region", F.col("doc_id") % 12)
+    d = d.withColumn("alphabet", inp.pick(ALPHABETS, F.col("region")))
+    config = F.concat(F.when(F.col("region") == 5, "de").otherwise("en"), F.lit("-"), "lang", F.lit("-"), "region")
+    text = F.when(F.floor(F.col("doc_id") / 12) % 3 == 0, F.col("text")).otherwise(F.expr("translate(text, 'abcdefghij', alphabet)"))
+    names = spark.createDataFrame(CATALOG_NAMES, "code string, name string")
+    return catalog.candidate_corpora(d.select("doc_id", config.alias("config"), text.alias("text")), names, ["doc_id"])
 
 
 # -- splits ------------------------------------------------------------------------------

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pairsift.functions.text import null_to_empty
 from pairsift.operators.aligning import zip_parallel
+from pairsift.session import materialise
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None, **options) -> DataFrame:
@@ -53,7 +54,25 @@ def from_records(spark: SparkSession, records, schema: str) -> DataFrame:
     return spark.createDataFrame(records, schema)
 
 
-def load_monolingual_pair(spark: SparkSession, src_path: str, tgt_path: str, sent_id: str = "sent_id", fmt: str = "parquet") -> DataFrame:
+def with_file_position(spark: SparkSession, path: str, out: str = "sent_id", schema: StructType | str | None = None) -> DataFrame:
+    """A Parquet corpus with ``out`` = 0..n-1 in the order of its files (by path) and of the rows in each file.
+
+    The position in the file comes from the reader, whatever splits it makes, so no row is sorted or shuffled; each file adds the rows of the files
+    before it. These offsets have one row for each file and are broadcast as long as Catalyst finds them small.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    read = read_table(spark, path, "parquet", schema).withColumn("_place", place)
+    files = read.groupBy(F.col("_place.file").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # over files, not rows
+    offsets = materialise(files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")), "file-offsets")
+    placed = read.join(offsets, F.col("_place.file") == F.col("_file"))
+    return placed.withColumn(out, F.col("_before") + F.col("_place.row")).drop("_place", "_file", "_before")
+
+
+def load_monolingual_pair(spark: SparkSession, src_path: str, tgt_path: str, sent_id: str | None = "sent_id", fmt: str = "parquet") -> DataFrame:
+    """Two monolingual corpora (``text``) side by side: by their column ``sent_id``, or, with None, by their place in the files."""
+    if sent_id is None:
+        return zip_parallel(with_file_position(spark, src_path), with_file_position(spark, tgt_path))
     return zip_parallel(read_table(spark, src_path, fmt), read_table(spark, tgt_path, fmt), sent_id)
 
 
