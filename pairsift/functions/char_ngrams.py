@@ -14,41 +14,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 CHUNK = 1_000_000
-CODE_BITS = 21
 
 
 def _codes(text: str | None) -> np.ndarray:
     return np.frombuffer("".join((text or "").split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
-def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int = CODE_BITS) -> np.ndarray:
-    """Per row: hyp, ref and clipped matches for n = 1..order, shape (rows, order, 3). Codes have ``bits`` bits."""
-    texts = [t for pair in pairs for t in pair]
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = np.concatenate(texts)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+def _compact(codes: np.ndarray) -> np.ndarray:
+    """The codes of a chunk by their rank among those that occur in it."""
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    return (np.cumsum(seen) - 1)[codes]
+
+
+def _overlap(pairs: list[tuple[np.ndarray, np.ndarray]], order: int) -> np.ndarray:
+    """Per row: hyp, ref and clipped matches for n = 1..order, shape (rows, order, 3).
+
+    An n-gram is one integer: its row above its codes, and the side in the lowest bit. One sort of these values puts equal n-grams of
+    a row beside each other and the rows in their order; no index is sorted. N-grams too long for 62 bits are numbered first.
+    """
+    sizes = np.array([len(t) for pair in pairs for t in pair], dtype=np.int64)
+    codes = np.concatenate([t for pair in pairs for t in pair])
+    side = np.tile(np.array([0, 1], np.int64), len(pairs)).repeat(sizes)
+    gram = (np.arange(len(sizes)) // 2).repeat(sizes)  # n-grams of different rows never meet
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the end
+    bits, used = int(codes.max(initial=0)).bit_length(), len(pairs).bit_length()
     out = np.zeros((len(pairs), order, 3), np.int64)
     start = np.arange(len(codes))
-    gram = owner // 2  # n-grams of different rows never meet
     for n in range(1, order + 1):
         keep = left[start] >= n
         start, gram = start[keep], gram[keep]
-        _, first, gram = np.unique((gram << bits) | codes[start + n - 1], return_index=True, return_inverse=True)
-        is_ref = owner[start] % 2 == 1
-        hyp = np.bincount(gram[~is_ref], minlength=len(first))
-        ref = np.bincount(gram[is_ref], minlength=len(first))
-        row = owner[start][first] // 2
-        for k, counts in enumerate((hyp, ref, np.minimum(hyp, ref))):
-            np.add.at(out[:, n - 1, k], row, counts)
+        if not len(start):
+            break
+        if used + bits > 62:
+            numbers, gram = np.unique(gram, return_inverse=True)  # in the order of the rows, as before
+            used = len(numbers).bit_length()
+        gram, used = (gram << bits) | codes[start + n - 1], used + bits
+        found = np.sort((gram << 1) | side[start])
+        held = np.maximum(sizes - n + 1, 0).reshape(-1, 2)
+        first = np.flatnonzero(np.concatenate(([True], (found[1:] >> 1) != (found[:-1] >> 1))))
+        total, ref = np.diff(first, append=len(found)), np.add.reduceat(found & 1, first)
+        row = np.repeat(np.arange(len(pairs)), held.sum(axis=1))[first]
+        out[:, n - 1, :2] = held
+        out[:, n - 1, 2] = np.bincount(row, np.minimum(total - ref, ref), len(pairs))
     return out
 
 
+def _char_overlap(pairs: list, order: int) -> np.ndarray:
+    ends = np.cumsum([len(t) for pair in pairs for t in pair])
+    sides = np.split(_compact(np.concatenate([t for pair in pairs for t in pair])), ends[:-1])
+    return _overlap(list(zip(sides[::2], sides[1::2], strict=True)), order)
+
+
 def _word_overlap(pairs: list, order: int) -> np.ndarray:
-    """As ``_overlap`` for arrays of tokens, numbered within the chunk."""
-    numbers: dict[str, int] = {}
-    coded = [tuple(np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in pair) for pair in pairs]
-    return _overlap(coded, order, len(numbers).bit_length())
+    """As ``_overlap`` for arrays of tokens, numbered within the row."""
+    coded = []
+    for pair in pairs:
+        numbers: dict[str, int] = {}
+        coded.append(tuple(np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in pair))
+    return _overlap(coded, order)
 
 
 def _in_chunks(rows, order: int, count) -> pd.Series:
@@ -69,7 +93,7 @@ def char_overlap(hyp: Column, ref: Column, order: int) -> Column:
 
     @F.pandas_udf(ArrayType(LongType()))
     def counts(h: pd.Series, r: pd.Series) -> pd.Series:
-        return _in_chunks(((_codes(a), _codes(b)) for a, b in zip(h, r)), order, _overlap)
+        return _in_chunks(((_codes(a), _codes(b)) for a, b in zip(h, r)), order, _char_overlap)
 
     return counts(hyp, ref)
 

@@ -18,6 +18,7 @@ from pairsift.operators.fence import where_computed
 BLEU_ORDER = 4
 CHRF_ORDER = 6
 CHRF_BETA = 2
+SUMS = ("hyp", "hyp_with_ref", "ref", "match")
 
 
 def tokenize_13a(x: Column) -> Column:
@@ -40,7 +41,7 @@ def _overlap_sums(counts: str, order: int) -> list[Column]:
     for n in range(1, order + 1):
         h, r, m = (F.get(counts, F.lit(3 * (n - 1) + k)) for k in range(3))
         with_ref = F.sum(F.when(r > 0, h).otherwise(0))
-        for name, total in (("hyp", F.sum(h)), ("hyp_with_ref", with_ref), ("ref", F.sum(r)), ("match", F.sum(m))):
+        for name, total in zip(SUMS, (F.sum(h), with_ref, F.sum(r), F.sum(m)), strict=True):
             sums.append(F.coalesce(total, F.lit(0)).alias(f"{name}{n}"))
     return sums
 
@@ -102,10 +103,43 @@ def corpus_chrf(df: DataFrame, system: str | None = None, hyp: str = "hyp", ref:
 
 def score_systems(df: DataFrame, system: str = "system", hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a) -> DataFrame:
     """BLEU and chrF of every system in one pass, with BLEU's components: precisions in percent, penalty, lengths."""
-    counted = _counted(df, system, w=_words(hyp, ref, tokenizer), c=char_overlap(F.col(hyp), F.col(ref), CHRF_ORDER))
-    sums = counted.groupBy(system).agg(
-        F.struct(*_overlap_sums("w", BLEU_ORDER)).alias("w"), F.struct(*_overlap_sums("c", CHRF_ORDER)).alias("c")
-    )
+    return _system_scores(_system_sums(df, [F.col(system).alias(system)], hyp, ref, tokenizer), system)
+
+
+def score_variants(df: DataFrame, system: str = "system", hyp: str = "hyp", ref: str = "gold", tokenizer=tokenize_13a, label: str = "label") -> DataFrame:
+    """``score_systems`` of every system as generated, with degenerate output blanked, and without it, as ``label``.
+
+    The n-grams of a row are counted once. A blanked output has no n-grams and leaves those of its reference, so the three variants
+    are made of the sums of the degenerate and of the other rows.
+    """
+    parts = _system_sums(df, [F.col(system).alias("system"), fl.is_degenerate(F.col(hyp)).alias("degenerate")], hyp, ref, tokenizer)
+
+    def blanked(sums: str, order: int) -> Column:
+        names = [f"{name}{n}" for n in range(1, order + 1) for name in SUMS]
+        of = F.col(sums)
+        return F.struct(*[(of[x] if x.startswith("ref") else F.when(F.col("degenerate"), F.lit(0)).otherwise(of[x])).cast("long").alias(x) for x in names])
+
+    made = [
+        F.struct(F.lit("as generated").alias("variant"), "w", "c"),
+        F.struct(F.lit("degenerate blanked").alias("variant"), blanked("w", BLEU_ORDER).alias("w"), blanked("c", CHRF_ORDER).alias("c")),
+        F.when(~F.col("degenerate"), F.struct(F.lit("degenerate removed").alias("variant"), "w", "c")),
+    ]
+    variants = parts.select("system", F.explode(F.array(*made)).alias("v")).where("v IS NOT NULL").select("system", "v.*")
+    labelled = variants.select(F.concat_ws(" / ", F.col("system").cast("string"), "variant").alias(label), "w", "c")
+
+    def total(sums: str, order: int) -> Column:
+        return F.struct(*[F.sum(F.col(sums)[f"{name}{n}"]).alias(f"{name}{n}") for n in range(1, order + 1) for name in SUMS]).alias(sums)
+
+    return _system_scores(labelled.groupBy(label).agg(total("w", BLEU_ORDER), total("c", CHRF_ORDER)), label)
+
+
+def _system_sums(df: DataFrame, groups: list[Column], hyp: str, ref: str, tokenizer) -> DataFrame:
+    counted = df.select(*groups, _words(hyp, ref, tokenizer).alias("w"), char_overlap(F.col(hyp), F.col(ref), CHRF_ORDER).alias("c"))
+    keys = counted.columns[:-2]
+    return counted.groupBy(*keys).agg(F.struct(*_overlap_sums("w", BLEU_ORDER)).alias("w"), F.struct(*_overlap_sums("c", CHRF_ORDER)).alias("c"))
+
+
+def _system_scores(sums: DataFrame, system: str) -> DataFrame:
     precisions = F.array(*[F.coalesce(100.0 * F.try_divide(f"match{n}", f"hyp{n}"), F.lit(0.0)) for n in range(1, BLEU_ORDER + 1)])
     bleu = sums.select(system, "c", "w.*").select(
         system,

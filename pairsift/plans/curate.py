@@ -66,18 +66,7 @@ def early_stop_set(scored: DataFrame, key: str = "pair_id", n: int = select.EARL
 
 def evaluate_systems(generations: DataFrame, profile: LangProfile = ENGLISH_OCCITAN) -> DataFrame:
     """Metrics of every system as generated, with degenerate output blanked, and without it."""
-    done = qc.postprocess_causal(generations, profile)
-    variants = {
-        "as generated": done,
-        "degenerate blanked": metrics.blank_degenerate(done),
-        "degenerate removed": metrics.filter_degenerate(done),
-    }
-    out = None
-    for name, df in variants.items():
-        tagged = df.withColumn("variant", F.lit(name))
-        out = tagged if out is None else out.unionByName(tagged)
-    labelled = out.withColumn("label", F.concat_ws(" / ", F.col("system").cast("string"), "variant"))
-    return metrics.score_systems(labelled, system="label")
+    return metrics.score_variants(qc.postprocess_causal(generations, profile))
 
 
 def gold_vs_synthetic_similarity(vectors: DataFrame, key: str = "pair_id") -> tuple[DataFrame, DataFrame, DataFrame]:
