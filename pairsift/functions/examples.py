@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 IGNORE = -100
 MAX_IDS = 256
@@ -13,15 +16,33 @@ MAX_IDS = 256
 Tokenizer = Callable[[Column], Column]
 
 
+def _id_lists(texts: pa.Array, encode: Callable[[str], bytes], unit: str) -> pa.Array:
+    """The units of each encoded text as a list of ids; a null text gives null."""
+    coded = [b"" if t is None else encode(t) for t in texts.to_pylist()]
+    ids = np.frombuffer(b"".join(coded), dtype=unit).astype(np.int32)
+    ends = np.cumsum([0, *map(len, coded)]) // np.dtype(unit).itemsize
+    missing = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=missing)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _code_points(texts: pa.Array) -> pa.Array:
+    return _id_lists(texts, lambda t: (t or "\0").encode("utf-32-le"), "<u4")  # an empty text is one id, 0
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _byte_ids(texts: pa.Array) -> pa.Array:
+    return _id_lists(texts, lambda t: t.encode("utf-8"), "u1")
+
+
 def code_points(x: Column) -> Column:
     """Default tokenizer: one id per code point."""
-    return F.transform(F.split(x, ""), lambda c: F.ascii(c))
+    return _code_points(x)
 
 
 def byte_ids(x: Column) -> Column:
     """A second built-in tokenizer: one id per UTF-8 byte."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), 1)
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    return _byte_ids(x)
 
 
 def truncate_ids(ids: Column, limit: int = MAX_IDS) -> Column:
