@@ -21,43 +21,41 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pairsift.session import bucket_count, materialise
 
 SAMPLES_PER_BUCKET = 16
-COARSE = 32
 SKETCH = 10_000
 FEW = 10_000
 
 
 def cut_points(df: DataFrame, key: str, buckets: int) -> Column:
-    """Sorted bucket borders of ``key`` as a scalar struct (fine, coarse)."""
-    slot = F.pmod(F.xxhash64(key), F.lit(buckets * SAMPLES_PER_BUCKET))
-    sample = (
-        df.groupBy(slot.alias("slot"))
-        .agg(F.min_by(key, F.xxhash64(F.lit(7), key)).alias("k"))
-        .agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    )
-    fine = sample.select(
-        F.filter("ks", lambda _, i: i % SAMPLES_PER_BUCKET == SAMPLES_PER_BUCKET // 2).alias("fine")
-    )
-    both = fine.select(
-        F.struct("fine", F.filter("fine", lambda _, i: i % COARSE == 0).alias("coarse")).alias("cuts")
-    )
-    return both.scalar()
+    """Sorted bucket borders of ``key``, at most ``buckets``, as a scalar array.
 
+    The fields of a struct are aggregated one by one: numbers then fit the buffers of a hash aggregate, while a struct would make
+    Spark sort all rows by their slot.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(buckets * SAMPLES_PER_BUCKET))
+    least = F.xxhash64(F.lit(7), key)
+    of = df.schema[key].dataType
+    names = [f.name for f in of.fields] if isinstance(of, StructType) else []
+    fields = [F.min_by(F.col(key)[name], least).alias(f"_{i}") for i, name in enumerate(names)] or [F.min_by(key, least).alias("_0")]
+    k = F.struct(*[F.col(f"_{i}").alias(name) for i, name in enumerate(names)]) if names else F.col("_0")
+    sample = df.groupBy(slot.alias("slot")).agg(*fields).agg(F.array_sort(F.collect_list(k)).alias("ks"))
+    return sample.select(F.filter("ks", lambda _, i: i % SAMPLES_PER_BUCKET == SAMPLES_PER_BUCKET // 2).alias("cuts")).scalar()
 
-def place(df: DataFrame, key: Column, cuts: Column) -> DataFrame:
-    """Add ``bucket``, the number of borders not above ``key``."""
-    return df.withColumn("_cuts", cuts).withColumn("bucket", _bucket(key, F.col("_cuts"))).drop("_cuts")
 
+def place(df: DataFrame, key: Column, cuts: Column, buckets: int) -> DataFrame:
+    """Add ``bucket``, the number of borders not above ``key``.
 
-def _bucket(key: Column, cuts: Column) -> Column:
-    """Two short scans: first the coarse borders, then the fine ones of that block."""
-    block = F.size(F.filter(cuts["coarse"], lambda c: c <= key))
-    start = F.greatest((block - 1) * COARSE, F.lit(0))
-    rest = F.slice(cuts["fine"], start + 1, F.lit(COARSE))
-    return F.when(block == 0, 0).otherwise(start + F.size(F.filter(rest, lambda c: c <= key)))
+    A binary search, one projection for each step, so that no border is compared by an interpreted lambda.
+    """
+    placed = df.withColumns({"_cuts": cuts, "bucket": F.lit(0)})
+    for step in reversed([1 << i for i in range(buckets.bit_length())]):
+        above = F.get("_cuts", F.col("bucket") + (step - 1)) <= key
+        placed = placed.withColumn("bucket", F.col("bucket") + F.when(above, step).otherwise(0))
+    return placed.drop("_cuts")
 
 
 def numbered_rows(df: DataFrame, name: str = "ranked") -> DataFrame:
@@ -196,7 +194,7 @@ def number_rows(
     buckets = buckets or bucket_count(df.sparkSession)
     key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     keys = df.select(key.alias("_k"))
-    placed = place(df, key, cut_points(keys, "_k", buckets)).withColumnRenamed("bucket", "_bucket")
+    placed = place(df, key, cut_points(keys, "_k", buckets), buckets).withColumnRenamed("bucket", "_bucket")
     groups = [*within, "_bucket"]
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # at most buckets + 1 rows in each group
@@ -246,7 +244,7 @@ def _bucket_sizes(keys: DataFrame, buckets: int, each: bool = False) -> list[tup
     """(least key, greatest key, rows) of ordered buckets of ``k``; with ``each``, of every key."""
     if not each:
         cuts = cut_points(keys, "k", buckets)
-        rows = place(keys, F.col("k"), cuts).groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
+        rows = place(keys, F.col("k"), cuts, buckets).groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
         sizes = sorted(rows.collect())
         if len(sizes) != 1:
             return [(r["low"], r["high"], r["n"]) for r in sizes]

@@ -9,7 +9,7 @@ from pairsift.functions import examples as ex
 from pairsift.functions import flags as fl
 from pairsift.functions import text as tx
 from pairsift.functions.char_ngrams import _char_overlap, _codes, _word_overlap
-from pairsift.operators import metrics, routing
+from pairsift.operators import metrics, ordering, routing
 from pairsift.plans import curate
 from pairsift.profile import ENGLISH_OCCITAN as P
 from pairsift.registry import QUERIES
@@ -118,3 +118,21 @@ def test_from_records_gives_every_pair(spark, tmp_path):
     assert sorted((r.src, r.tgt, str(r.config)) for r in got) == [
         ("a", "b", "en-en"), ("b", "c", "en-en"), ("c", "a", "en-en"), ("x", "x", "None"), ("y", "z", "en-fr"), ("z", "y", "en-fr"),
     ]
+
+
+def test_buckets_by_binary_search_over_borders_from_a_hash_aggregate(spark):
+    rows = [(k % 7, k // 3 if k % 11 else None, "ab"[k % 2]) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int, g string")
+    keys = df.select(F.struct("a", "b").alias("k"))
+    cuts = ordering.cut_points(keys, "k", 9)
+    placed = ordering.place(df, F.struct("a", "b"), cuts, 9)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.replace("SortAggregate(key=[], ", "") and "lambda" not in placed.select("bucket").where("bucket > 0")._jdf.queryExecution().optimizedPlan().toString().split("scalar-subquery")[0]
+    order = lambda key: tuple((v is not None, v) if v is not None else (False, 0) for v in key)
+    borders = [order(c) for c in spark.range(1).select(cuts.alias("c")).first().c]
+    assert 5 <= len(borders) <= 9
+    assert all(r.bucket == sum(b <= order((r.a, r.b)) for b in borders) for r in placed.collect())
+    got = ordering.number_rows(df, ["a", "b"], within=["g"], buckets=9).collect()
+    for g in "ab":
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r.idx)
+        assert [r.idx for r in mine] == list(range(250)) and [order((r.a, r.b)) for r in mine] == sorted(order((r.a, r.b)) for r in mine)
