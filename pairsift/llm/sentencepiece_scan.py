@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +30,57 @@ from pairsift.llm.common import text_key
 from pairsift.session import checkpoint
 
 CHUNK = 1 << 15
-CACHE_LIMIT = 800_000
+CACHE_LIMIT = 100_000  # units that a worker remembers
+_LEARN = 4096
+_JOINED = 64  # units encoded as one text
 _CUT = re.compile("(?<=[^ ▁])(?= )")
 Matrix = dict[tuple[int, int], float]
 
 
-class _Units(dict):
-    """Unit (without its first blank) -> its piece ids as bytes; grows on a miss, within a bound."""
+class _Units:
+    """Piece ids of units (without their first blank) as bytes; short units are remembered within a bound."""
 
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
+    def __init__(self, model, sizes: np.ndarray):
+        self.model, self.sizes = model, sizes
         self.blank = np.array([model.piece_to_id("▁")], np.int32).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.model.encode(unit), np.int32).tobytes() if unit else self.blank
-        if len(self) >= CACHE_LIMIT:
-            self.clear()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of all ``units``; those not met for long are forgotten first."""
+        known, older = self.known, self.older
+        found: dict[str, bytes] = {}
+        inner, final = [], []  # units that end as those before a cut do, and others
+        for u in units:
+            if u in known:
+                found[u] = known[u]
+            elif u in older:
+                found[u] = known[u] = older[u]
+            else:
+                (inner if u and u[-1] not in " ▁" else final).append(u)
+        for missing, joined in ((inner, _JOINED), (final, 1)):
+            for k in range(0, len(missing), _LEARN):
+                part = missing[k : k + _LEARN]
+                found.update(zip(part, self._encoded(part, joined), strict=True))
+            known.update([(u, found[u]) for u in missing if len(u) <= 64])
+        if len(known) > CACHE_LIMIT // 2:
+            self.known, self.older = {}, known
+        return found
+
+    def _encoded(self, units: list[str], joined: int) -> list[bytes]:
+        """Runs of ``joined`` units as one text each, told apart by their bytes; in halves where those of any differ."""
+        if len(units) == 1:
+            return [np.array(self.model.encode(units[0]), np.int32).tobytes() if units[0] else self.blank]
+        texts = [" ".join(units[k : k + joined]) for k in range(0, len(units), joined)]
+        ids = np.array(list(chain.from_iterable(self.model.encode(texts, num_threads=1))), np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        borders = np.cumsum([len(u.replace("▁", " ").encode()) + 1 for u in units])
+        at = np.searchsorted(ends, borders)
+        if not len(ends) or ends[-1] != borders[-1] or not np.array_equal(ends[at], borders):
+            half = len(units) // 2
+            return [*self._encoded(units[:half], joined), *self._encoded(units[half:], joined)]
+        packed, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [packed[i:j] for i, j in zip([0, *stops], stops)]
 
 
 class Pieces:
@@ -57,9 +90,10 @@ class Pieces:
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=model_file) if model_file else sentencepiece.SentencePieceProcessor(model_proto=model_proto)
-        self.unigram, self.units = unigram, _Units(m)
+        self.unigram = unigram
         self.scores = np.array([m.get_score(i) for i in range(m.get_piece_size())])
         self.bytes = [self._bytes(i) for i in range(m.get_piece_size())]
+        self.units = _Units(m, np.array([len(x) for x in self.bytes], np.int64))
         if unigram:
             usual = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
             self.trie = {m.id_to_piece(i): i for i in usual}
@@ -77,16 +111,22 @@ class Pieces:
 
     def ids(self, text: str) -> bytes:
         """Piece ids of a whole text as little-endian 32-bit numbers."""
-        if not text:
-            return b""
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """``ids`` of each text; what they share is looked up once."""
         if self.unigram:
-            return self.trace(text_body(text), 0, len(text) + 1, 0, 0)
+            return [self.trace(text_body(t), 0, len(t) + 1, 0, 0) if t else b"" for t in texts]
+        units = [self._cut(t) if t else [] for t in texts]
+        known = self.units.learn(set().union(*units))
+        return [b"".join(map(known.__getitem__, u)) for u in units]
+
+    def _cut(self, text: str) -> list[str]:
+        """The units of a whole text, each without its first blank."""
         whole = " " + text
         if "  " in whole or "▁" in whole:
-            units = [u[1:] for u in _CUT.split(whole)]
-        else:
-            units = text.split(" ")
-        return b"".join(map(self.units.__getitem__, units))
+            return [u[1:] for u in _CUT.split(whole)]
+        return text.split(" ")
 
     def text(self, ids: bytes) -> str:
         joined = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode(errors="replace")
@@ -94,19 +134,17 @@ class Pieces:
 
     # -- lattice of a chunk: ``body`` starts with the character before the chunk ---------------------------------
 
-    def nodes(self, body: str, size: int) -> list[int]:
-        """Places in [0, size) where an edge may start."""
-        if self.unigram:
-            return list(range(size))
-        return [m.end() - 1 for m in _CUT.finditer(body) if m.end() <= size] if body[0] else [0, *[m.end() - 1 for m in _CUT.finditer(body) if 1 < m.end() <= size]]
+    def stretch(self, body: str, size: int) -> tuple[list[int], int, list[bytes]]:
+        """The edges of a BPE chunk: the places in [0, size) where units start, where the last one ends, and the ids of each."""
+        cuts = [m.end() for m in _CUT.finditer(body)]
+        own = cuts[: bisect_right(cuts, size)]
+        end = cuts[len(own)] if len(own) < len(cuts) else len(body)
+        units = [body[a + 1 : b] for a, b in zip(own, [*own[1:], end])]
+        known = self.units.learn(set(units))
+        return [at - 1 for at in own], end - 1, [known[u] for u in units]
 
     def edges(self, body: str, at: int) -> list[tuple[int, float, bytes]]:
-        """(end, score, ids) of the edges from place ``at``."""
-        if not self.unigram:
-            cut = _CUT.search(body, at + 2)
-            end = cut.end() - 1 if cut else len(body) - 1
-            ids = self.units[body[at + 2 : end + 1]]
-            return [(end, float(self.scores[np.frombuffer(ids, np.int32)].sum()), ids)]
+        """(end, score, ids) of the edges of a unigram chunk from place ``at``."""
         out, rest = [], body[at + 1 : at + 1 + self.longest].replace(" ", "▁")
         for n in range(1, len(rest) + 1):
             i = self.trie.get(rest[:n])
@@ -120,15 +158,10 @@ class Pieces:
     def matrix(self, body: str, size: int) -> Matrix:
         """Best scores from each entry state to each exit state of a chunk of ``size`` characters."""
         if not self.unigram:
-            nodes, score = self.nodes(body, size), 0.0
-            if not nodes:  # one unit goes on through the whole chunk
-                cut = _CUT.search(body, size)
-                end = cut.end() - 1 if cut else len(body) - 1
+            places, end, ids = self.stretch(body, size)
+            if not places:  # one unit goes on through the whole chunk
                 return {(end, end - size): 0.0}
-            for at in nodes:
-                end, s, _ = self.edges(body, at)[0]
-                score += s
-            return {(nodes[0], end - size): score}
+            return {(places[0], end - size): float(self.scores[np.frombuffer(b"".join(ids), np.int32)].sum())}
         width = self.longest
         best = np.full((size + width + 1, width), -np.inf)
         for e in range(min(width, size + 1)):
@@ -143,7 +176,8 @@ class Pieces:
     def trace(self, body: str, entry: int, size: int, leave: int, start: int = 0) -> bytes:
         """Ids of the best path from state ``entry`` to state ``leave`` of a chunk."""
         if not self.unigram:
-            return b"".join(self.edges(body, at)[0][2] for at in self.nodes(body, size) if at >= entry)
+            places, _, ids = self.stretch(body, size)
+            return b"".join(ids[bisect_left(places, entry) :])
         best, back = {entry: 0.0}, {}
         for at in range(entry, size):
             if at in best:
@@ -210,7 +244,7 @@ def _small_rows(path: str, unigram: bool):
             at, p = batch.schema.get_field_index("text"), load(path, unigram)
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array([p.ids(t or "") for t in part.column(at).to_pylist()])], [*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(p.ids_of([t or "" for t in part.column(at).to_pylist()]))], [*part.schema.names, "ids"])
 
     return rows
 
@@ -315,24 +349,32 @@ def encode_pieces(docs: DataFrame, model: str, unigram: bool = False, chunk: int
     return small.unionByName(large.join(whole, ["_c1", "_c2"]).select(*docs.columns, "ids"))
 
 
-def _decoded_rows(path: str):
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = load(path, False)
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                ids = [None if x is None else np.asarray(x.values, np.int32).tobytes() for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else p.text(x) for x in ids], pa.string())], [*part.schema.names, "decoded"])
+def _per_row(ids: pa.Array, made: Callable[[bytes], str]) -> pa.Array:
+    """``made`` of each row's ids as bytes (null for null), a few rows at a time."""
+    parts = []
+    for first in range(0, len(ids), 256):
+        rows = [None if x.values is None else np.asarray(x.values, np.int32).tobytes() for x in ids.slice(first, 256)]
+        parts.append(pa.array([None if x is None else made(x) for x in rows], pa.string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return rows
+
+def _decoded(path: str) -> Callable[[Column], Column]:
+    def decoded(ids: pa.Array) -> pa.Array:
+        return _per_row(ids, load(path, False).text)
+
+    return F.arrow_udf(decoded, "string")
+
+
+def _digest() -> Callable[[Column], Column]:
+    def digest(ids: pa.Array) -> pa.Array:
+        return _per_row(ids, lambda x: hashlib.sha256(x).hexdigest())
+
+    return F.arrow_udf(digest, "string")
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``ids`` (null for null). Undoes ``encode_pieces`` but for U+2581, a blank."""
-    rows = rows.drop("decoded")
-    shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], "decoded string"])
-    return rows.mapInArrow(_decoded_rows(model), shape)
+    return rows.drop("decoded").withColumn("decoded", _decoded(model)(F.col("ids")))
 
 
 def round_trip() -> Column:
@@ -340,15 +382,9 @@ def round_trip() -> Column:
     return F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
 
 
-def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [np.asarray(x.values, np.int32).tobytes() for x in batch.column("ids")]
-        columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), batch.column("same")]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_sha256", "round_trip"])
-
-
 def piece_report(docs: DataFrame, model: str, unigram: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_pieces, ids_sha256 of the ids as little-endian int32, round_trip: decoding gives the text back)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = decode_pieces(encode_pieces(rows, model, unigram, chunk), model)
-    return both.select("doc_id", "ids", round_trip().alias("same")).mapInArrow(_digest, "doc_id long, n_pieces long, ids_sha256 string, round_trip boolean")
+    # column functions: Spark decodes and digests in one Python worker for each task, not in one for each step
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), _digest()(F.col("ids")).alias("ids_sha256"), round_trip().alias("round_trip"))

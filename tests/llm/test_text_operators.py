@@ -349,6 +349,29 @@ def test_bpe_scan_equals_the_library():
         assert not t or all(chunked(p, t, n) == want for n in (1, 3, 7))
 
 
+def test_a_task_decodes_and_digests_in_one_worker(edge_docs):
+    path = tokenizer_file("piece_bpe_32k.model")
+    plan = sentencepiece_scan.piece_report(edge_docs.where("length(text) < 1000"), path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # once for the small texts and once for the giant ones
+    assert plan.count("MapInArrow") == 4  # encoding of small texts; matrices, states and traces of giant ones
+    nothing = edge_docs.selectExpr("CAST(NULL AS ARRAY<INT>) AS ids").limit(1)
+    assert sentencepiece_scan.decode_pieces(nothing, path).first()["decoded"] is None
+
+
+def test_remembered_units_are_few_and_their_runs_right(monkeypatch):
+    assert sentencepiece_scan.CACHE_LIMIT <= 200_000  # each worker of an executor may hold so many
+    monkeypatch.setattr(sentencepiece_scan, "CACHE_LIMIT", 40)
+    p = sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model"))
+    encoded, asked = p.units._encoded, []
+    monkeypatch.setattr(p.units, "_encoded", lambda units, joined: asked.extend(units) or encoded(units, joined))
+    r = random.Random(8)
+    for k in range(30):
+        texts = [f"often again new{k}x{k}", "".join(r.choice(" ab\n▁é日\0.") for _ in range(30)), *TEXTS[k % 3 :: 3]]
+        assert [np.frombuffer(x, np.int32).tolist() for x in p.ids_of(texts)] == [p.model.encode(t) for t in texts]
+        assert len(p.units.known) + len(p.units.older) <= 100
+    assert asked.count("often") == asked.count("again") == 1
+
+
 def test_chunks_within_one_unit_carry_no_text():
     p = sentencepiece_scan.Pieces(tokenizer_file("piece_bpe_32k.model"))
     r = random.Random(6)
