@@ -6,7 +6,8 @@ inside a group every pair of tokens whose byte ranges overlap is a link.
 A text is cut before each blank that follows a character which is not white space. A's own splitting starts a new pre-token there, and no
 piece of B holds a blank behind another character (checked when the model is loaded; if one does, texts stay whole), so these
 units are aligned on their own and their borders are group borders. Each worker remembers the aligned units within a bound; a giant text is a
-list of units like any other. Only a unit without such a blank is encoded whole, however long.
+list of units like any other. Only a unit without such a blank is encoded whole, however long. Runs of units are aligned together with
+numpy: each byte offset where a token of either side ends closes exactly one link.
 
 How many documents hold an id pair linked is a corpus-wide count. Each document's distinct pairs are written once, compressed; the most
 widespread pairs (at most ``TABLE``, found from a histogram of the counts) are broadcast and answered in place, only the others are shuffled.
@@ -17,11 +18,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate, chain
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import text_slices
+from pairsift.llm.common import SLICE_BYTES, text_slices
 from pairsift.session import materialise, scratch_path
 
 TABLE = 1 << 19
@@ -38,6 +37,8 @@ CACHED_LENGTH = 64  # longer units are aligned each time
 _CUT = re.compile(r"(?<=\S) ")
 _BEFORE_BLANK = re.compile(r"\s ")
 _LEARN = 4096
+_JOINED = 64  # units encoded as one text
+_RUN = 1 << 16  # units of a document that are put together at once
 _PAIRS = 1 << 20
 _REPORT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -79,14 +80,19 @@ def links_of(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list
     return out
 
 
-class Unit(NamedTuple):
-    """What one stretch of text adds to its document; ``pairs`` holds ids of A and B in one number."""
+# what one stretch of text adds to its document: its groups as text, n_a, n_b, n_groups, and its links with ids of A and B in one 64-bit number each
+Unit = tuple[str, int, int, int, bytes]
 
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: tuple[int, ...]
+
+def _sizes(tokens: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(tokens, default=-1) + 1, np.int64)
+    for i, token in tokens.items():
+        out[i] = len(token)
+    return out
+
+
+def _per_unit(stops: np.ndarray) -> list[int]:
+    return np.diff(stops, prepend=0).tolist()
 
 
 class Aligner:
@@ -106,9 +112,13 @@ class Aligner:
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = {i: bytes(symbol[c] for c in s) if all(c in symbol for c in s) else s.encode() for s, i in vocabulary.items()}
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, [str(i) for i in range(len(self.bytes_b))]
+        self.size_a, self.size_b = _sizes(self.bytes_a), _sizes(dict(enumerate(self.bytes_b)))
+        # how an id is written: within its side of a group, and at the end of that side
+        self.words = [f"{i}{end}" for size, last in ((self.size_a, "|"), (self.size_b, ";")) for i in range(len(size)) for end in (",", last)]
+        self.widths = np.array([len(w) for w in self.words], np.int64)
         self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.known: dict[str, Unit | None] = {}
+        self.older: dict[str, Unit | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -125,68 +135,89 @@ class Aligner:
         parts[0] = parts[0][1:]
         return parts
 
-    def align(self, units: list[str]) -> list[Unit | None]:
-        """Alignments of units; None where a side's bytes are not the unit's."""
-        encoded_a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        encoded_b = self.b.encode(units, num_threads=1)
-        raw = [(" " + u).encode() for u in units]
-        ids_a = [e.ids for e in encoded_a]
+    def align(self, units: list[str], joined: int = 1) -> list[Unit | None]:
+        """Alignments of units; None where a side's bytes are not the unit's.
+
+        Runs of ``joined`` units are encoded as one text, so all but a run's last must end where a text is cut. Units are told apart by their
+        bytes; where those of any differ, each half is encoded on its own.
+        """
+        texts = [" ".join(units[k : k + joined]) for k in range(0, len(units), joined)]
+        encoded_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        list_a = list(chain.from_iterable([e.ids for e in encoded_a]))
         # a blank alone at the end of a text: the library adds none to an empty text
-        ids_b = [ids if u else [self.b.piece_to_id("▁")] for u, ids in zip(units, encoded_b, strict=True)]
-        return self._run(raw, ids_a, ids_b)
-
-    def _run(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Unit | None]:
-        """Units one behind the other, their ends as offsets in the whole run; one by one where the bytes of any differ."""
-        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
-        tokens_a, tokens_b = [self.bytes_a[i] for i in flat_a], [self.bytes_b[i] for i in flat_b]
-        ends_a, ends_b, borders = (list(accumulate(map(len, x))) for x in (tokens_a, tokens_b, raw))
-        stops_a, stops_b = (list(accumulate(map(len, x))) for x in (ids_a, ids_b))
-        whole = b"".join(raw)
-        same = all(ids_a) and all(ids_b) and b"".join(tokens_a) == whole == b"".join(tokens_b)
-        if not same or [ends_a[k - 1] for k in stops_a] != borders or [ends_b[k - 1] for k in stops_b] != borders:
-            return [None] if len(raw) == 1 else [self._run([r], [a], [b])[0] for r, a, b in zip(raw, ids_a, ids_b, strict=True)]
-        text_a, text_b = [self.text_a[i] for i in flat_a], [self.text_b[i] for i in flat_b]
-        out, parts, pairs, n_a, n_b = [], [], [], 0, 0
-        for group in common_groups(ends_a, ends_b):
-            a, to_a, b, to_b = group
-            parts.append(",".join(text_a[a:to_a]) + "|" + ",".join(text_b[b:to_b]))
-            pairs += [x << 32 | y for x, y in links_of(flat_a, ends_a, flat_b, ends_b, group)]
-            if to_a == stops_a[len(out)]:
-                out.append(Unit(";".join(parts), to_a - n_a, to_b - n_b, len(parts), tuple(pairs)))
-                parts, pairs, n_a, n_b = [], [], to_a, to_b
-        return out
+        list_b = list(chain.from_iterable([ids if t else [self.b.piece_to_id("▁")] for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]))
+        borders = np.cumsum([len(u.encode()) + 1 for u in units])
+        flat_a, flat_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        stops_a, stops_b = np.searchsorted(ends_a, borders) + 1, np.searchsorted(ends_b, borders) + 1
+        whole = "".join([" " + t for t in texts]).encode()
+        same = b"".join(map(self.bytes_a.__getitem__, list_a)) == whole == b"".join(map(self.bytes_b.__getitem__, list_b))
+        if not same or not np.array_equal(ends_a[stops_a - 1], borders) or not np.array_equal(ends_b[stops_b - 1], borders):
+            half = len(units) // 2
+            return [*self.align(units[:half], joined), *self.align(units[half:], joined)] if half else [None]
+        is_end_a, is_end_b = np.zeros(len(whole) + 1, bool), np.zeros(len(whole) + 1, bool)
+        is_end_a[ends_a] = is_end_b[ends_b] = True
+        ends = np.flatnonzero(is_end_a | is_end_b)
+        from_a, from_b = is_end_a[ends], is_end_b[ends]
+        # the tokens before an end: as many as ended earlier
+        pairs = (flat_a[np.cumsum(from_a) - from_a] << 32 | flat_b[np.cumsum(from_b) - from_b]).astype("<i8").tobytes()
+        last_a, last_b = is_end_b[ends_a], is_end_a[ends_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        words = np.empty(len(flat_a) + len(flat_b), np.int64)  # of each group A's tokens, then B's
+        words[np.arange(len(flat_a)) + (np.cumsum(many_b) - many_b)[group_a]] = 2 * flat_a + last_a
+        words[np.arange(len(flat_b)) + np.cumsum(many_a)[group_b]] = 2 * (len(self.size_a) + flat_b) + last_b
+        text = "".join(map(self.words.__getitem__, words.tolist()))
+        links = np.searchsorted(ends, borders) + 1
+        stops, to = np.cumsum(self.widths[words])[stops_a + stops_b - 1].tolist(), (8 * links).tolist()
+        groups = [text[i : j - 1] for i, j in zip([0, *stops], stops)]
+        packed = [pairs[i:j] for i, j in zip([0, *to], to)]
+        return list(zip(groups, _per_unit(stops_a), _per_unit(stops_b), _per_unit(np.cumsum(from_a & from_b)[links - 1]), packed, strict=True))
 
     def learn(self, units: set[str]) -> dict[str, Unit | None]:
-        """Alignments of all ``units``; short ones are remembered."""
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        missing = [u for u in units if u not in self.known]
-        fresh: dict[str, Unit | None] = {}
-        for k in range(0, len(missing), _LEARN):
-            part = missing[k : k + _LEARN]
-            fresh.update(zip(part, self.align(part), strict=True))
-        found = {u: fresh[u] if u in fresh else self.known[u] for u in units}
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHED_LENGTH)
+        """Alignments of all ``units``; short ones are remembered, those not met for long are forgotten first."""
+        known, older = self.known, self.older
+        found: dict[str, Unit | None] = {}
+        inner, final = [], []  # units that end as those before a cut do, and others
+        for u in units:
+            if u in known:
+                found[u] = known[u]
+            elif u in older:
+                found[u] = known[u] = older[u]
+            else:
+                (inner if self.cuts and u and not u[-1].isspace() else final).append(u)
+        for missing, joined in ((inner, _JOINED), (final, 1)):
+            for k in range(0, len(missing), _LEARN):
+                part = missing[k : k + _LEARN]
+                found.update(zip(part, self.align(part, joined), strict=True))
+            known.update([(u, found[u]) for u in missing if len(u) <= CACHED_LENGTH])
+        if len(known) > CACHE_UNITS // 2:
+            self.known, self.older = {}, known
         return found
 
     def document(self, units: list[str], known: dict[str, Unit | None]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, how often each) of a document."""
-        times = Counter(units)
-        parts = [known[u] for u in times]
-        if not units or None in parts:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        digest = hashlib.sha256(known[units[0]].groups.encode())
-        for k in range(1, len(units), _LEARN):
-            digest.update((";" + ";".join([known[u].groups for u in units[k : k + _LEARN]])).encode())
-        _, n_a, n_b, n_groups, lists = zip(*parts, strict=True)
-        often = np.fromiter(times.values(), np.int64, len(parts))
-        pairs = np.fromiter(chain.from_iterable(lists), np.int64)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        each = np.repeat(often, [len(x) for x in lists])
-        sums = np.zeros(len(distinct), np.int64)
-        np.add.at(sums, at, each)
-        totals = [int((often * np.array(x)).sum()) for x in (n_a, n_b, n_groups)]
-        return *totals, int(each.sum()), digest.hexdigest(), distinct, sums
+        none = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        totals, digest, found = [0, 0, 0, 0], hashlib.sha256(), []
+        for k in range(0, len(units), _RUN):
+            parts = [known[u] for u in units[k : k + _RUN]]
+            if None in parts:
+                return none
+            groups, *counts, pairs = zip(*parts, strict=True)
+            digest.update(((";" if k else "") + ";".join(groups)).encode())
+            links = np.frombuffer(b"".join(pairs), "<i8")
+            totals = [n + m for n, m in zip(totals, (*map(sum, counts), len(links)), strict=True)]
+            found.append(np.unique(links, return_counts=True))
+        if not found:
+            return none
+        distinct, often = found[0]
+        if len(found) > 1:
+            often = np.concatenate([n for _, n in found])
+            distinct, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+            sums = np.zeros(len(distinct), np.int64)
+            np.add.at(sums, at, often)
+            often = sums
+        return *totals, digest.hexdigest(), distinct, often
 
 
 @cache
@@ -198,7 +229,7 @@ def _align_rows(path_a: str, path_b: str):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for batch in batches:
-            for first, raw in text_slices(batch.column("text")):
+            for first, raw in text_slices(batch.column("text"), 2 * SLICE_BYTES):
                 units = [both.units(t.decode()) if t else [] for t in raw]
                 known = both.learn(set().union(*units))
                 made = [both.document(u, known) for u in units]

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pairsift.llm import token_alignment
@@ -109,3 +110,33 @@ def test_without_cuts_texts_stay_whole():
     assert units == ["one two  three "]
     whole = both.document(units, both.learn(set(units)))
     assert cut[:5] == whole[:5] and (cut[5] == whole[5]).all() and (cut[6] == whole[6]).all()
+
+
+def test_runs_of_units_equal_units_alone():
+    """Units aligned together, odd ones between, against each alone and the groups and links of a plain walk."""
+    both = token_alignment.Aligner(A, B)
+    units = sorted({u for t in ODD if t for u in both.units(t)} | {f"wörd{k}{k * k}x." for k in range(300)})
+    found = both.learn(set(units))
+    assert found["▁"] is None and sum(x is None for x in found.values()) < 9
+    for u in units:
+        assert [found[u]] == both.align([u])
+        if found[u] is None:
+            continue
+        groups, n_a, n_b, n_groups, pairs = found[u]
+        a, b = both.a.encode(" " + u, add_special_tokens=False).ids, both.b.encode(u) if u else [both.b.piece_to_id("▁")]
+        ends_a, ends_b = [e for _, e in spans([both.bytes_a[i] for i in a])], [e for _, e in spans([both.bytes_b[i] for i in b])]
+        walked = token_alignment.common_groups(ends_a, ends_b)
+        links = [x << 32 | y for g in walked for x, y in token_alignment.links_of(a, ends_a, b, ends_b, g)]
+        assert (n_a, n_b, n_groups, np.frombuffer(pairs, "<i8").tolist()) == (len(a), len(b), len(walked), links)
+        assert groups == ";".join(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])) for i, j, k, m in walked)
+
+
+def test_units_met_often_are_aligned_once(monkeypatch):
+    monkeypatch.setattr(token_alignment, "CACHE_UNITS", 40)
+    both = token_alignment.Aligner(A, B)
+    align, asked = both.align, []
+    monkeypatch.setattr(both, "align", lambda units, *how: asked.extend(units) or align(units, *how))
+    for k in range(30):
+        both.learn({"often", "again", *(f"new{k}of{i}" for i in range(10))})
+        assert len(both.known) + len(both.older) <= 64
+    assert asked.count("often") == asked.count("again") == 1 and len(asked) == 302
