@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsift.llm.common import Seen, free_name, keyed_runs, run_starts, text_key, text_slices
+from pairsift.llm.common import Seen, few_rows, free_name, keyed_runs, run_starts, text_key, text_slices
 from pairsift.llm.components import components
 from pairsift.llm.words import mix, shingle_sets
 from pairsift.session import checkpoint
@@ -273,7 +273,7 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
 def _verified_rows(width: int, num: int, den: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, size = Bands(num, den), {}, 0
-        for batch in batches:
+        for batch in few_rows(batches):
             keep = []
             for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "left", "right")), strict=True):
                 if size > HELD_SHINGLES:
@@ -290,7 +290,7 @@ def _verified_rows(width: int, num: int, den: int):
 def _possible_rows(num: int, den: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for batch in batches:
+        for batch in few_rows(batches):
             keep = []
             for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in ("an", "bn", "abits", "bbits")), strict=True):
                 one, two = folded([x, y])

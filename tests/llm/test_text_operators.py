@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pairsift.llm import mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_counts
+from pairsift.llm import common, mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_counts, words
 from pairsift.llm.deep_shallow import common_prefix, deep_shallow_order
 from pairsift.llm.settings import tokenizer_file
 
@@ -467,3 +469,31 @@ def test_columns_with_internal_names_pass_unchanged(spark):
     assert same(ngram_join.drop_near_copies(docs, 5, 4, 5)) <= want
     assert same(mixing.mix_sources(docs, {"src0": 1.0}, 1)) <= want
     assert suffix_dedup.remove_repeats(docs, 100).columns == docs.columns
+
+
+def test_workers_hold_a_run_of_texts_and_small_tables(monkeypatch):
+    texts = pa.array([None, "", *[chr(97 + k % 26) * 4000 for k in range(4000)], "é"])
+    want = [(t or "").encode() for t in texts.to_pylist()]
+    tracemalloc.start()
+    try:
+        for first, part in common.text_slices(texts):
+            assert part == want[first : first + len(part)]
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x for _, part in common.text_slices(texts) for x in part] == want
+    assert held < 6 << 20  # of 16 MB
+    monkeypatch.setattr(words, "_held", words.powers(0), raising=False)
+    words.shingle_sets([b"one two three " * 20], 5)
+    assert sum(x.nbytes for x in words._tables(1000)) <= 8 << 20
+    few = words.shingle_sets([b" ".join(b"w%d" % (k * k % 9973) for k in range(200_000))], 5)  # over a million bytes: the table grows
+    assert len(few[0]) > 5000 and len(words._tables(1)[0]) > 1 << 19
+
+
+def test_small_slices_give_the_same_pairs_and_texts():
+    assert [x.num_rows for x in common.few_rows([pa.RecordBatch.from_pydict({"a": list(range(600))})])] == [256, 256, 88]
+    text = lambda k: " ".join(f"w{k * j % 211}" for j in range(90 + k % 3)).encode()
+    rows = {"a": list(range(700)), "b": [k + 1 for k in range(700)], "left": [zlib.compress(text(k)) for k in range(700)], "right": [zlib.compress(text(k + 1 if k % 2 else k)) for k in range(700)]}
+    got = [a for part in ngram_join._verified_rows(3, 4, 5)([pa.RecordBatch.from_pydict({**rows, "b": [-k - 1 for k in range(700)]})]) for a in part.column("a").to_pylist()]
+    sets = [(shingles(text(k).decode(), 3), shingles(text(k + 1 if k % 2 else k).decode(), 3)) for k in range(700)]
+    assert got == [k for k, (x, y) in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)]
