@@ -497,3 +497,32 @@ def test_small_slices_give_the_same_pairs_and_texts():
     got = [a for part in ngram_join._verified_rows(3, 4, 5)([pa.RecordBatch.from_pydict({**rows, "b": [-k - 1 for k in range(700)]})]) for a in part.column("a").to_pylist()]
     sets = [(shingles(text(k).decode(), 3), shingles(text(k + 1 if k % 2 else k).decode(), 3)) for k in range(700)]
     assert got == [k for k, (x, y) in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)]
+
+
+def test_packed_texts_come_back(spark):
+    texts = [None, "", "é日本語 " * 80, "plain", "plain", "x" * 100_000]
+    sizes = [len((t or "").encode()) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"k": [0, 1, 2, 3, 3, 4], "text": pa.array(texts, pa.string()), "size": pa.array(sizes, pa.int32())})
+    back = common.with_texts(lambda batches: batches)
+    whole = [x for part in back(common.packed_texts()([batch, batch])) for x in part.to_pylist()]
+    assert [x["text"] for x in whole] == [(t or "").encode() for t in texts] * 2
+    once = [x for part in back(common.packed_texts(["k"])([batch, batch])) for x in part.to_pylist()]
+    assert [(x["k"], len(x["text"])) for x in once] == [(k, sizes[i]) for k, i in enumerate((0, 1, 2, 3, 5))]
+    report = suffix_dedup.removal_report(spark.createDataFrame([(1, "some text " * 90), (2, None)], "doc_id long, text string"))
+    top = report._jdf.queryExecution().optimizedPlan()
+    while top.nodeName() != "Join":
+        top = top.children().head()
+    assert top.children().head().schema().apply("text").dataType().simpleString() == "binary"  # no plain text is shuffled
+
+
+def test_contexts_given_twice_are_no_repeats():
+    r = random.Random(6)
+    word = lambda n: bytes(r.choices(b"abcdefgh", k=n))
+    hot = word(50)
+    rows = [{"g": g, "c1": k, "c2": k, "place": 30 + g, "crowded": False, "left": word(30), "right": (hot if k % 3 else word(50)) + word(20)} for g in range(5) for k in range(40)]
+    schema = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("place", pa.int32()), ("crowded", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+    table = lambda x: pa.Table.from_pylist(x, schema).combine_chunks()
+    found = lambda x, n: sorted((*c.values(),) for part in suffix_dedup._cover_rows(48)(table(x).to_batches(max_chunksize=n)) for c in part.to_pylist())
+    want = found(rows, 1000)
+    assert want and len(want) < len(rows)
+    assert found([x for x in rows for _ in range(3)], 1000) == found([x for x in rows for _ in range(3)], 7) == want
