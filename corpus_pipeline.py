@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from pairsift.llm import mixing, ngram_join, quality, sentencepiece_scan, suffix_dedup
 from pairsift.llm.settings import MIX_SEED, MIX_WEIGHTS, REPEAT_BYTES, REPEAT_WORDS, tokenizer_file
-from pairsift.session import scratch_path
+from pairsift.session import bound_batches, scratch_path
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier scores at 0.5 or more; it learns from ``labels`` of documents in ``docs``."""
+    bound_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    bound_batches(spark)
     return ngram_join.drop_near_copies(docs, width=5, num=4, den=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of ``REPEAT_BYTES`` bytes or ``REPEAT_WORDS`` words or more that also start anywhere else."""
+    bound_batches(spark)
     return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, words=REPEAT_WORDS)
 
 
@@ -36,6 +39,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, ids, n_pieces, round_trip): the pieces of each text, and whether decoding gives the text back."""
+    bound_batches(spark)
     model = tokenizer_file("piece_bpe_32k.model")
     pieces = sentencepiece_scan.encode_pieces(docs.select("doc_id", "source", "text"), model)
     both = sentencepiece_scan.decode_pieces(pieces, model)

@@ -526,3 +526,19 @@ def test_contexts_given_twice_are_no_repeats():
     want = found(rows, 1000)
     assert want and len(want) < len(rows)
     assert found([x for x in rows for _ in range(3)], 1000) == found([x for x in rows for _ in range(3)], 7) == want
+
+
+def test_pipeline_stages_get_bounded_batches(spark, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    monkeypatch.setattr(ngram_join, "drop_near_copies", lambda docs, **_: docs)
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda docs, **_: docs)
+    docs = spark.createDataFrame([(1, "some text", "src0")], "doc_id long, text string, source string")
+    try:
+        for own, want in ((None, str(4 << 20)), ("65536", "65536")):
+            for stage in (corpus_pipeline.one_of_near_copies, corpus_pipeline.cut_repeated_passages):
+                spark.conf.unset(limit) if own is None else spark.conf.set(limit, own)
+                stage(spark, docs, SF)
+                assert spark.conf.get(limit, None) == want
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
