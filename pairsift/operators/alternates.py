@@ -125,19 +125,26 @@ def alt_number_words_src(text: Column, profile: LangProfile = ENGLISH_OCCITAN) -
 
 
 def alt_number_words_tgt(text: Column, profile: LangProfile = ENGLISH_OCCITAN) -> Column:
-    """Sums of target-language number sequences (hundreds multiply), then the plain digits."""
+    """Sums of target-language number sequences (hundreds multiply), then the plain digits.
+
+    Java's matcher calls itself for each turn of a loop that it may have to take back, so a sequence of some hundred words would
+    overflow its stack. What joins two words can be read in one way only: the loops here are possessive and take nothing back. A
+    sequence is a chain of glued words that end at a word border, so it is the longest one that ends there.
+    """
     words = profile.target_number_words
     alt, table = _alternatives(words), _dictionary(words)
-    seq = rf"(?U)(\b(?:{alt})(?:\s*-?e?\s*-?(?:{alt}))*\b)"
+    glue = r"\s*+-?e?\s*+-?"
+    glued = rf"(?:{alt})(?:\B{glue}(?:{alt}))*+\b"
+    seq = rf"(?U)(\b{glued}(?:{glue}{glued})*+)"
     runs = F.regexp_extract_all(F.lower(text), F.lit(seq), 1)
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("last"))
 
     def step(acc: Column, word: Column) -> Column:
-        v = F.try_element_at(table, word)
+        v = F.try_element_at(table, word).cast("bigint")
         big = F.when(acc["last"] > 0, acc["last"] * v).otherwise(v)
         return (
             F.when(v.isNull(), acc)
-            .when(v >= 100, F.struct((acc["sum"] + big).alias("sum"), F.lit(0).alias("last")))
+            .when(v >= 100, F.struct((acc["sum"] + big).alias("sum"), F.lit(0).cast("bigint").alias("last")))
             .otherwise(F.struct((acc["sum"] + v).alias("sum"), v.alias("last")))
         )
 

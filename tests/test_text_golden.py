@@ -178,3 +178,17 @@ def test_number_words(spark):
     assert r.n == [21, 1, 3, 20]
     r = one(spark, "cinquanta un e dos cent, 17", n=alt.alt_number_words_tgt(F.col("t")))
     assert r.n == [253, 17]  # 50 + 1 + 2 + 2 * 100
+
+
+def test_long_runs_of_target_number_words(spark):
+    """Runs far longer than the matcher's stack; a run ends at the last word border."""
+    def numbers(word, n, tail=""):
+        t = F.concat(F.repeat(F.lit(word), F.lit(n)), F.lit(tail))
+        return spark.range(2).repartition(2).select(alt.alt_number_words_tgt(t).alias("n")).first().n
+
+    assert numbers("un ", 20_000, "7") == [20_000, 7]
+    assert numbers("vint-e-", 20_000, "un") == [400_001]
+    assert numbers("un", 20_000) == [] and numbers("un", 20_000, " mil") == [1000]
+    assert numbers("nonanta mil ", 24_000) == [24_000 * 90_090]  # more than an int holds
+    for text, found in (("undosx tres", [3]), ("un dosx", [1]), ("un e dètz-e-sètx", [11]), ("dètz-e-sèt", [17]), ("un  -  dos", [3])):
+        assert numbers(text, 1) == found, text
