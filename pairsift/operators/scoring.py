@@ -47,7 +47,7 @@ def score_pairs(df: DataFrame, key: str = "pair_id", with_veto: bool = True, wei
     similarities only, written once, so that the cleaning before this step does not run
     again for every rank; the texts take part in one join.
     """
-    narrow = numbered_rows(agree_max(df.select(key, "sim_a", "sim_b")), "similarities")
+    narrow = agree_max(numbered_rows(df.select(key, "sim_a", "sim_b"), "similarities"))
     ranks = pct_ranks(
         narrow,
         {"sim_a": "sim_a_rank", "sim_b": "sim_b_rank", "agree_raw": "_rank_min", "max_raw": "_rank_max"},

@@ -108,7 +108,7 @@ PARTS = ("sim_a_rank", "sim_b_rank", "combined_rank", "sim_rank", "lang_prob_sco
 
 @query("score_pairs", f"WITH {SCORED} SELECT pair_id, src, tgt, {sql_r6(*PARTS)}, veto FROM scored")
 def score_pairs(spark, sf):
-    return inp.scored(spark, sf).select("pair_id", "src", "tgt", *r6(*PARTS), "veto")
+    return inp.scored_once(spark, sf).select("pair_id", "src", "tgt", *r6(*PARTS), "veto")
 
 
 # -- statistics ---------------------------------------------------------------------

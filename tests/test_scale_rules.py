@@ -13,6 +13,7 @@ from pairsift.operators import metrics, ordering, routing
 from pairsift.plans import curate
 from pairsift.profile import ENGLISH_OCCITAN as P
 from pairsift.registry import QUERIES
+from pairsift.registry import inputs as inp
 
 TEXTS = [
     None, "", " ", "a", " a ", "　é ", "a b", "a b", "\x1ca\x1d", "12 !?", "x . KGM y", "Cİty name here", "Region/ ſtate of", "CITY NAME", "see TRANSLATORſ, x",
@@ -136,3 +137,50 @@ def test_buckets_by_binary_search_over_borders_from_a_hash_aggregate(spark):
     for g in "ab":
         mine = sorted((r for r in got if r.g == g), key=lambda r: r.idx)
         assert [r.idx for r in mine] == list(range(250)) and [order((r.a, r.b)) for r in mine] == sorted(order((r.a, r.b)) for r in mine)
+
+
+def text_shuffles(df):
+    """Exchanges by a hash whose rows hold a text."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, nodes = 0, [plan.initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        held = node.output().mkString(" ")
+        found += node.nodeName() == "Exchange" and "hashpartitioning" in node.simpleString(99) and ("src#" in held or "tgt#" in held)
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def scoring_tables(spark, folder):
+    """Documents with a repeated id and a null id, and vectors one of which is there twice."""
+    docs = [(1, "a b\nc\n\nd e"), (2, "x\ny z"), (2, "x\ny w"), (None, "p\nq"), (3, None), (40, "one\ntwo three\nfour")]
+    spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    rnd = random.Random(2)
+    vectors = [(k, [rnd.gauss(0, 1) for _ in range(64)]) for k in (0, 1, 2, 3, 4, 5, 3)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_similarities_by_the_id_alone_give_the_rows_of_a_plain_join(spark, tmp_path):
+    sf = scoring_tables(spark, tmp_path)
+    pairs = inp.line_pairs(spark, sf).drop("lang").where("src <> '' AND tgt <> ''")
+    s = inp.sims(spark, sf)
+    plain = pairs.withColumn("pair_idx", F.col("pair_id") % s.count()).join(s, "pair_idx").drop("pair_idx")
+    got = inp.with_sims(pairs, spark, sf)
+    assert got.columns == plain.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_scoring_shuffles_the_texts_once_and_keeps_no_copy(spark, tmp_path, monkeypatch):
+    sf = scoring_tables(spark, tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(inp, "materialise", lambda df, name: 1 / 0)
+    try:
+        assert text_shuffles(inp.with_sims(inp.line_pairs(spark, sf), spark, sf)) == 1
+        scored = QUERIES["score_pairs"](spark, sf)
+        assert text_shuffles(scored) == 1
+        sunk = QUERIES["sink_scored"](spark, sf)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert scored.count() and sorted(map(str, scored.collect())) == sorted(map(str, sunk.collect()))
